@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from callscope.functions import constants as K
-
-
-def _pattern(word: str) -> str:
-    return rf"(?iu)(?<![{K.WORD_CHARS}]){word}(?![{K.WORD_CHARS}])"
+from callscope.functions.text import FIRST_LINE, word_pattern
 
 
 def register(spark: SparkSession) -> None:
@@ -16,12 +13,11 @@ def register(spark: SparkSession) -> None:
 
     Their bodies are SQL expressions, so the optimizer sees through the calls.
     """
-    words = " ".join(f"WHEN text RLIKE r'{_pattern(w)}' THEN '{w}'" for w in K.LABELS)
-    line = rf"[^{K.SPACE_CHARS}](?:[^{K.LINE_ENDS}]*[^{K.SPACE_CHARS}])?"
+    words = " ".join(f"WHEN text RLIKE r'{word_pattern(w)}' THEN '{w}'" for w in K.LABELS)
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION extract_label(text STRING) RETURNS STRING
         RETURN CASE WHEN text IS NULL THEN '' {words}
-        ELSE substring(regexp_extract(text, r'{line}', 0), 1, {K.LABEL_FALLBACK_CHARS}) END"""
+        ELSE substring(regexp_extract(text, r'{FIRST_LINE}', 0), 1, {K.LABEL_FALLBACK_CHARS}) END"""
     )
     spark.sql(
         """CREATE OR REPLACE TEMPORARY FUNCTION cache_hit_pct(cached BIGINT, total BIGINT)

@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from callscope.functions import constants as K
 
-_FIRST_LINE = rf"[^{K.SPACE_CHARS}](?:[^{K.LINE_ENDS}]*[^{K.SPACE_CHARS}])?"
+FIRST_LINE = rf"[^{K.SPACE_CHARS}](?:[^{K.LINE_ENDS}]*[^{K.SPACE_CHARS}])?"
 _STRICT = rf"^(?:{'|'.join(K.LABELS)})$"
 
 
+def word_pattern(word: str) -> str:
+    """A pattern that looks for the word first and only then at what stands before it."""
+    return rf"(?iu){word}(?<![{K.WORD_CHARS}]{word})(?![{K.WORD_CHARS}])"
+
+
 def has_word(text: Column, word: str) -> Column:
     """Whether ``word`` stands alone anywhere in ``text``, in any case."""
-    return text.rlike(rf"(?iu)(?<![{K.WORD_CHARS}]){word}(?![{K.WORD_CHARS}])")
+    return text.rlike(word_pattern(word))
 
 
 def first_line(text: Column) -> Column:
     """The first line that is not blank, stripped; empty when there is none."""
-    return F.regexp_extract(text, _FIRST_LINE, 0)
+    return F.regexp_extract(text, FIRST_LINE, 0)
 
 
 def extract_label(text: Column) -> Column:

@@ -131,9 +131,11 @@ def warm_sessions(calls: DataFrame, retention: str, **cut: int) -> DataFrame:
     """
     keys = ["cache_key"]
     sliced = slice_hot_keys(calls, keys, ORDER[0], **cut)
-    gaps = _gap_columns(sliced_previous(sliced, keys, ORDER, "started_at", "_before"), retention)
+    gaps = sliced_previous(sliced, keys, ORDER, "started_at", "_before").map(
+        lambda part: _gap_columns(part, retention)
+    )
     starts = F.col("expected_cold").cast("bigint")
-    numbered = sliced_running_sum(gaps, keys, ORDER, starts, "session_no").drop(SLICE)
+    numbered = sliced_running_sum(gaps, keys, ORDER, starts, "session_no").rows.drop(SLICE)
     return numbered.groupBy("cache_key", "session_no").agg(
         F.min("started_at").alias("first_call_at"),
         F.max("started_at").alias("last_call_at"),

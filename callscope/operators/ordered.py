@@ -10,7 +10,8 @@ task cuts the same way.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,21 @@ SLICES_PER_SHARE = 8
 FLOOR = 1_000_000
 
 
+@dataclass(frozen=True)
+class Sliced:
+    """A table with slice numbers, and its rows of hot keys alone.
+
+    ``hot`` is an inner join with the hot keys: where there are none, run-time
+    re-planning drops everything derived from it before any row is read.
+    """
+
+    rows: DataFrame
+    hot: DataFrame
+
+    def map(self, step: Callable[[DataFrame], DataFrame]) -> Sliced:
+        return Sliced(step(self.rows), step(self.hot))
+
+
 def _position(df: DataFrame, at: str) -> Column:
     """``at`` as a number that grows with it; NULL first, as in an ascending sort."""
     if isinstance(df.schema[at].dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -41,34 +57,38 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     )
 
 
-def _lookup(df: DataFrame, small: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Left join of a side whose size the constants above bound, NULL keys included."""
+def _lookup(df: DataFrame, small: DataFrame, columns: Sequence[str], how: str = "left") -> DataFrame:
+    """Join with a side whose size the constants above bound, NULL keys included."""
     keyed = small.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)],
         *[c for c in small.columns if c not in columns],
     )
-    return df.join(F.broadcast(keyed), _same(df, keyed, columns), "left").drop(
+    return df.join(F.broadcast(keyed), _same(df, keyed, columns), how).drop(
         *[f"_k{i}" for i in range(len(columns))]
     )
 
 
-def _cut(
-    df: DataFrame, keys: Sequence[str], at: str, total: Column, share: int, floor: int
-) -> DataFrame:
-    """Number the equal-width slices of every hot key; NULL for the other rows."""
-    ranges = df.select(*keys, _position(df, at).alias("_at")).groupBy(*keys).agg(
+def _ranges(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    return df.select(*keys, _position(df, at).alias("_at")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")
     )
-    hot = ranges.where((F.col("_n") > floor) & (F.col("_n") * share > total)).select(
-        *keys,
-        "_lo",
-        "_hi",
-        (F.ceil(F.col("_n") * share / total) * SLICES_PER_SHARE).cast("double").alias("_slices"),
+
+
+def _hot_keys(
+    ranges: DataFrame, keys: Sequence[str], total: Column, share: int, floor: int
+) -> DataFrame:
+    slices = F.ceil(F.col("_n") * share / total) * SLICES_PER_SHARE
+    return ranges.where((F.col("_n") > floor) & (F.col("_n") * share > total)).select(
+        *keys, "_lo", "_hi", slices.cast("double").alias("_slices")
     )
+
+
+def _cut(df: DataFrame, hot_keys: DataFrame, keys: Sequence[str], at: str, how: str) -> DataFrame:
+    """Number the equal-width slices of every hot key; NULL for the other rows."""
     along = (_position(df, at) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
     number = F.floor(F.coalesce(along, F.lit(-1.0)) * F.col("_slices")).cast("bigint")
     return (
-        _lookup(df, hot, keys)
+        _lookup(df, hot_keys, keys, how)
         .withColumn("_cut", F.when(F.col("_slices").isNotNull(), number))
         .drop("_lo", "_hi", "_slices")
     )
@@ -82,92 +102,101 @@ def slice_hot_keys(
     share: int = SHARE,
     floor: int = FLOOR,
     levels: int = 1,
-) -> DataFrame:
+) -> Sliced:
     """Add ``_slice``: NULL for an ordinary key, else a number that grows with ``at``.
 
     Slices have equal width in ``at``. Where a hot key's rows come in bursts, a
-    second level cuts its overfull slices again, at one more pass over the keys.
+    second level cuts its overfull slices again, at one more pass over its rows.
     """
     keys = list(keys)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    out = _cut(df, keys, at, total, share, floor).withColumnRenamed("_cut", SLICE)
+    ranges = _ranges(df, keys, at)
+    total = ranges.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    hot_keys = _hot_keys(ranges, keys, total, share, floor)
+    sliced = Sliced(
+        *[
+            _cut(df, hot_keys, keys, at, how).withColumnRenamed("_cut", SLICE)
+            for how in ("left", "inner")
+        ]
+    )
     for _ in range(levels - 1):
-        finer = _cut(out, [*keys, SLICE], at, total, share, floor)
+        finer_keys = [*keys, SLICE]
+        finer = _hot_keys(_ranges(sliced.hot, finer_keys, at), finer_keys, total, share, floor)
         room = 1 << 20  # more than the slices one level can make
-        out = finer.withColumn(
-            SLICE,
-            F.when(
-                F.col(SLICE).isNotNull(),
-                F.col(SLICE) * room + room // 2 + F.coalesce(F.col("_cut"), F.lit(0)),
-            ),
-        ).drop("_cut")
-    return out
+        number = F.col(SLICE) * room + room // 2 + F.coalesce(F.col("_cut"), F.lit(0))
+        sliced = sliced.map(
+            lambda part, keys=finer_keys, hot=finer: _cut(part, hot, keys, at, "left")
+            .withColumn(SLICE, number)
+            .drop("_cut")
+        )
+    return sliced
 
 
 def _local(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
-def _carried(sliced: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
-    """One row per slice of a hot key; empty when no key is hot."""
-    return sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(*aggregates)
+def _before(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _before(keys: Sequence[str]):
-    return (
-        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
+def _carry(hot: DataFrame, keys: Sequence[str], aggregate: Column, carried: Column) -> DataFrame:
+    """One row per slice of a hot key, with what the slices before it hand over."""
+    return hot.groupBy(*keys, SLICE).agg(aggregate.alias("_carry")).withColumn("_carry", carried)
 
 
 def sliced_running_sum(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str
-) -> DataFrame:
+    sliced: Sliced, keys: Sequence[str], order: Sequence[str], value: Column, name: str
+) -> Sliced:
     """Sum of ``value`` from the key's first row up to this one."""
     keys = list(keys)
-    held = sliced.withColumn("_value", value)
-    carry = _carried(held, keys, F.sum("_value").alias("_carry")).withColumn(
-        "_carry", F.sum("_carry").over(_before(keys))
-    )
+    held = sliced.map(lambda part: part.withColumn("_value", value))
+    carry = _carry(held.hot, keys, F.sum("_value"), F.sum("_carry").over(_before(keys)))
     within = F.sum("_value").over(
         _local(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = _lookup(held.withColumn(name, within), carry, [*keys, SLICE])
-    return out.withColumn(name, F.col(name) + F.coalesce(F.col("_carry"), F.lit(0))).drop(
-        "_value", "_carry"
-    )
 
+    def step(part: DataFrame) -> DataFrame:
+        out = _lookup(part.withColumn(name, within), carry, [*keys, SLICE])
+        return out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop(
+            "_value", "_carry"
+        )
 
-def sliced_ordinal(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
-) -> DataFrame:
+    return held.map(step)
+
+
+def sliced_ordinal(sliced: Sliced, keys: Sequence[str], order: Sequence[str], name: str) -> Sliced:
     """Position of the row within its key, from 1."""
     keys = list(keys)
-    carry = _carried(sliced, keys, F.count(F.lit(1)).alias("_carry")).withColumn(
-        "_carry", F.sum("_carry").over(_before(keys))
-    )
+    carry = _carry(sliced.hot, keys, F.count(F.lit(1)), F.sum("_carry").over(_before(keys)))
     within = F.row_number().over(_local(keys, order)).cast("bigint")
-    out = _lookup(sliced.withColumn(name, within), carry, [*keys, SLICE])
-    return out.withColumn(name, F.col(name) + F.coalesce(F.col("_carry"), F.lit(0))).drop("_carry")
+
+    def step(part: DataFrame) -> DataFrame:
+        out = _lookup(part.withColumn(name, within), carry, [*keys, SLICE])
+        return out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+
+    return sliced.map(step)
 
 
 def sliced_previous(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str
-) -> DataFrame:
+    sliced: Sliced, keys: Sequence[str], order: Sequence[str], column: str, name: str
+) -> Sliced:
     """``column`` of the key's row before this one, NULL on its first row."""
     keys = list(keys)
     # An aggregate with an ordering struct keeps one row per slice on the map side.
     last = F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order))
-    carry = _carried(sliced, keys, last.alias("_carry")).withColumn(
-        "_carry", F.lag("_carry").over(Window.partitionBy(*keys).orderBy(SLICE))
-    )
+    along = Window.partitionBy(*keys).orderBy(SLICE)
+    carry = _carry(sliced.hot, keys, last, F.lag("_carry").over(along))
     window = _local(keys, order)
-    local = sliced.withColumn("_first", F.row_number().over(window) == 1).withColumn(
-        name, F.lag(column).over(window)
-    )
-    out = _lookup(local, carry, [*keys, SLICE])
-    return out.withColumn(
-        name, F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(name))
-    ).drop("_first", "_carry")
+
+    def step(part: DataFrame) -> DataFrame:
+        local = part.withColumn("_first", F.row_number().over(window) == 1).withColumn(
+            name, F.lag(column).over(window)
+        )
+        out = _lookup(local, carry, [*keys, SLICE])
+        before = F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(name))
+        return out.withColumn(name, before).drop("_first", "_carry")
+
+    return sliced.map(step)
 
 
 def ordinal(
@@ -175,7 +204,7 @@ def ordinal(
 ) -> DataFrame:
     """Add ``name``, the position of each row within its key along ``order``."""
     sliced = slice_hot_keys(df, keys, order[0], **cut)
-    return sliced_ordinal(sliced, keys, order, name).drop(SLICE)
+    return sliced_ordinal(sliced, keys, order, name).rows.drop(SLICE)
 
 
 def previous(
@@ -183,7 +212,7 @@ def previous(
 ) -> DataFrame:
     """Add ``name``, the value ``column`` had on the key's row before."""
     sliced = slice_hot_keys(df, keys, order[0], **cut)
-    return sliced_previous(sliced, keys, order, column, name).drop(SLICE)
+    return sliced_previous(sliced, keys, order, column, name).rows.drop(SLICE)
 
 
 def running_sum(
@@ -191,4 +220,4 @@ def running_sum(
 ) -> DataFrame:
     """Add ``name``, the sum of ``value`` over the key's rows up to this one."""
     sliced = slice_hot_keys(df, keys, order[0], **cut)
-    return sliced_running_sum(sliced, keys, order, value, name).drop(SLICE)
+    return sliced_running_sum(sliced, keys, order, value, name).rows.drop(SLICE)

@@ -32,18 +32,14 @@ def read_policy(policy: DataFrame) -> list[Rule]:
     return [Rule(*row) for row in rows]
 
 
-def matched_categories(text: Column, rules: Sequence[Rule]) -> Column:
-    """The distinct categories that apply, sorted."""
-    hits = [F.when(text.rlike(rule.pattern), F.lit(rule.category)) for rule in rules]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+def policy_severity(hits: Sequence[Column], rules: Sequence[Rule]) -> Column:
+    """Severity of the strictest rule that applies; the default verdict's without any.
 
-
-def policy_severity(text: Column, rules: Sequence[Rule]) -> Column:
-    """Severity of the strictest rule that applies; the default verdict's without any."""
-    # Strictest first: coalesce stops at the first rule that applies.
-    by_severity = sorted(rules, key=lambda rule: -K.SEVERITY[rule.verdict])
-    hits = [F.when(text.rlike(r.pattern), F.lit(K.SEVERITY[r.verdict])) for r in by_severity]
-    return F.coalesce(*hits, F.lit(K.SEVERITY[K.DEFAULT_VERDICT]))
+    ``hits`` says per rule whether it applies. Strictest first: coalesce stops there.
+    """
+    pairs = sorted(zip(hits, rules), key=lambda pair: -K.SEVERITY[pair[1].verdict])
+    found = [F.when(hit, F.lit(K.SEVERITY[rule.verdict])) for hit, rule in pairs]
+    return F.coalesce(*found, F.lit(K.SEVERITY[K.DEFAULT_VERDICT]))
 
 
 def verdict_of(severity: Column) -> Column:
@@ -52,18 +48,30 @@ def verdict_of(severity: Column) -> Column:
     return F.coalesce(*words, F.lit(K.DEFAULT_VERDICT))
 
 
-def apply_policy(messages: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
-    """Add ``verdict`` and ``categories``: block over review over allow.
+def policy_verdict(text: Column, rules: Sequence[Rule]) -> Column:
+    """Block over review over allow; allow when no rule applies.
 
     Rules become literal patterns of one projection, each compiled once per task;
     a join on ``rlike`` would pair every message with every rule and compile a
     pattern per pair. Works on batches and streams alike.
     """
-    return messages.withColumns(
-        {
-            "verdict": verdict_of(policy_severity(F.col(text), rules)),
-            "categories": matched_categories(F.col(text), rules),
-        }
+    return verdict_of(policy_severity([text.rlike(rule.pattern) for rule in rules], rules))
+
+
+def apply_policy(messages: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
+    """Add ``verdict`` and the sorted ``categories`` that apply, one match per rule."""
+    matched = F.array(*[F.col(text).rlike(rule.pattern) for rule in rules])
+    hits = [F.col("_hits")[i] for i in range(len(rules))]
+    categories = F.array(*[F.when(hit, F.lit(rule.category)) for hit, rule in zip(hits, rules)])
+    return (
+        messages.withColumn("_hits", matched)
+        .withColumns(
+            {
+                "verdict": verdict_of(policy_severity(hits, rules)),
+                "categories": F.array_sort(F.array_distinct(F.array_compact(categories))),
+            }
+        )
+        .drop("_hits")
     )
 
 

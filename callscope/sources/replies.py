@@ -57,7 +57,9 @@ def _usage(reply: Column) -> list[Column]:
     return [F.coalesce(*fields, zero).alias(name) for name, fields in layouts.items()]
 
 
-def _failure(status: Column, broken: Column) -> Column:
+def _failure(status: Column, body: Column, reply: Column) -> Column:
+    # The reply is looked at once: a filter on the error would parse per mention.
+    broken = body.isNull() | reply["_corrupt_record"].isNotNull()
     return F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string"))).when(
         broken, F.lit("malformed body")
     )
@@ -66,11 +68,10 @@ def _failure(status: Column, broken: Column) -> Column:
 def _parse(raw: DataFrame, text: Column) -> DataFrame:
     reply = F.col("_reply")
     kept = [c for c in raw.columns if c != "body"]
-    broken = reply.isNull() | reply["_corrupt_record"].isNotNull()
     rows = raw.withColumn("_reply", _parsed(F.col("body"))).select(
         *kept,
         "body",
-        _failure(F.col("status"), broken).alias("error"),
+        _failure(F.col("status"), F.col("body"), reply).alias("error"),
         text.alias("response_text"),
         *_usage(reply),
     )
