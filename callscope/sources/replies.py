@@ -59,7 +59,8 @@ def _usage(reply: Column) -> list[Column]:
 
 def _failure(status: Column, body: Column, reply: Column) -> Column:
     # The reply is looked at once: a filter on the error would parse per mention.
-    broken = body.isNull() | reply["_corrupt_record"].isNotNull()
+    blank = F.coalesce(~body.rlike(r"[^\x00-\x20]"), F.lit(True))
+    broken = blank | reply["_corrupt_record"].isNotNull()
     return F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string"))).when(
         broken, F.lit("malformed body")
     )

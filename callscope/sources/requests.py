@@ -118,16 +118,16 @@ def build_chat_requests(
 
 
 def write_requests(
-    requests: DataFrame, path: str, *, salts: int = 64, max_records_per_file: int = 1_000_000
+    requests: DataFrame, path: str, *, max_records_per_file: int = 1_000_000
 ) -> None:
     """Write JSON-lines shards, one folder per cache key.
 
-    A worker that reads one folder keeps hitting one cached prefix. The salt
-    spreads a key that holds most of the requests over ``salts`` writing tasks.
+    A worker that reads one folder keeps hitting one cached prefix. Rows are
+    gathered per key by rebalancing, which splits a key that holds most of the
+    requests over as many writing tasks as its size asks for.
     """
-    salt = F.pmod(F.xxhash64("msg_id"), F.lit(salts))
     (
-        requests.repartition("cache_key", salt)
+        requests.hint("rebalance", "cache_key")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("cache_key")
