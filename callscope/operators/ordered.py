@@ -51,6 +51,27 @@ def _position(df: DataFrame, at: str) -> Column:
     return F.col(at).cast("double")
 
 
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One value per row that sorts as ``order`` does, to aggregate by.
+
+    A time and an id fold into one number, which hash aggregation keeps in place;
+    with a struct as extremum Spark would sort every task's rows first.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    kinds = [df.schema[c].dataType for c in order]
+    timed = isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType))
+    if len(order) == 2 and timed and isinstance(kinds[1], T.IntegralType):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+        numbers = [
+            F.coalesce(number, F.lit(-(1 << 62))).cast("decimal(20,0)")
+            for number in (micros, F.col(order[1]).cast("bigint"))
+        ]
+        # Wider than the ids, so that the time always decides first.
+        return numbers[0] * F.lit("20000000000000000000").cast("decimal(20,0)") + numbers[1]
+    return F.struct(*order)
+
+
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return reduce(
         lambda a, b: a & b, [left[c].eqNullSafe(right[f"_k{i}"]) for i, c in enumerate(columns)]
@@ -110,7 +131,7 @@ def slice_hot_keys(
     """
     keys = list(keys)
     ranges = _ranges(df, keys, at)
-    total = ranges.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()
     hot_keys = _hot_keys(ranges, keys, total, share, floor)
     sliced = Sliced(
         *[
@@ -182,8 +203,7 @@ def sliced_previous(
 ) -> Sliced:
     """``column`` of the key's row before this one, NULL on its first row."""
     keys = list(keys)
-    # An aggregate with an ordering struct keeps one row per slice on the map side.
-    last = F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order))
+    last = F.max_by(column, order_key(sliced.hot, order))
     along = Window.partitionBy(*keys).orderBy(SLICE)
     carry = _carry(sliced.hot, keys, last, F.lag("_carry").over(along))
     window = _local(keys, order)
@@ -193,7 +213,7 @@ def sliced_previous(
             name, F.lag(column).over(window)
         )
         out = _lookup(local, carry, [*keys, SLICE])
-        before = F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(name))
+        before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(name))
         return out.withColumn(name, before).drop("_first", "_carry")
 
     return sliced.map(step)

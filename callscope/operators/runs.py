@@ -7,11 +7,12 @@ sums do not depend on the order rows arrive in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import metrics as M
-from callscope.operators.ordered import ordinal
+from callscope.operators.lookup import lookup
+from callscope.operators.ordered import order_key, ordinal
 
 ORDER = ("started_at", "call_id")
 
@@ -26,37 +27,32 @@ def call_ordinal(calls: DataFrame, name: str = "call_no", **cut: int) -> DataFra
     return ordinal(calls, ["run_id"], ORDER, name, **cut)
 
 
-def first_calls(calls: DataFrame) -> DataFrame:
-    """The first call of each run, by an aggregate: one row per run leaves each task."""
-    columns = [c for c in calls.columns if c != "run_id"]
-    first = F.min_by(F.struct(*columns), F.struct(*ORDER))
-    return calls.groupBy("run_id").agg(first.alias("_first")).select("run_id", "_first.*")
-
-
 def warmups(calls: DataFrame) -> DataFrame:
-    """Runs whose first call succeeded, with its id and latency as the baseline."""
-    first = first_calls(calls.select("run_id", "latency_ms", "error", *ORDER))
-    return first.where(F.col("error").isNull()).select(
-        "run_id",
-        F.col("call_id").alias("warmup_call_id"),
-        F.col("latency_ms").alias("cold_latency_ms"),
+    """Runs whose first call succeeded, with its id and latency as the baseline.
+
+    One hash aggregation: at most one row per run leaves each task.
+    """
+    at = order_key(calls, ORDER)
+    ok_latency = F.when(~M.is_error(F.col("error")), F.col("latency_ms"))
+    first = calls.groupBy("run_id").agg(
+        F.min_by("call_id", at).alias("warmup_call_id"),
+        F.min_by(ok_latency, at).alias("cold_latency_ms"),
     )
+    return first.where(F.col("cold_latency_ms").isNotNull())
 
 
-def attach_baseline(calls: DataFrame, warmup_rows: DataFrame) -> DataFrame:
+def attach_baseline(calls: DataFrame, warmup_rows: DataFrame, **cut: int) -> DataFrame:
     """Every call of a run with a good warm-up, with that warm-up's latency.
 
     A run whose warm-up failed yields no rows. Runs are as many as the log has, so
-    the join carries no broadcast hint: the measured size decides at run time, and
-    a run with very many calls is split there.
+    they are not broadcast, apart from those that hold a large share of the calls.
     """
-    baseline = warmup_rows.select("run_id", "cold_latency_ms")
-    return calls.join(baseline, "run_id")
+    return lookup(calls, warmup_rows.select("run_id", "cold_latency_ms"), "run_id", **cut)
 
 
-def calls_after_warmup(calls: DataFrame) -> DataFrame:
+def calls_after_warmup(calls: DataFrame, **cut: int) -> DataFrame:
     """Calls of warmed-up runs without the warm-up itself, baseline attached."""
-    joined = calls.join(warmups(calls), "run_id")
+    joined = lookup(calls, warmups(calls), "run_id", **cut)
     return joined.where(F.col("call_id") != F.col("warmup_call_id")).drop("warmup_call_id")
 
 
@@ -78,13 +74,13 @@ def tagged(calls: DataFrame, policy: str, name: str = "warm_tag") -> DataFrame:
     return calls.withColumn(name, tag)
 
 
-def call_speedup(calls: DataFrame) -> DataFrame:
+def call_speedup(calls: DataFrame, **cut: int) -> DataFrame:
     """Each successful call against the first successful one of its run."""
     ok = ok_calls(calls)
-    first = first_calls(ok.select("run_id", "latency_ms", *ORDER)).select(
-        "run_id", F.col("latency_ms").alias("first_latency_ms")
+    first = ok.groupBy("run_id").agg(
+        F.min_by("latency_ms", order_key(calls, ORDER)).alias("first_latency_ms")
     )
-    return ok.join(first, "run_id").withColumn(
+    return lookup(ok, first, "run_id", **cut).withColumn(
         "speedup", M.speedup(F.col("first_latency_ms"), F.col("latency_ms"))
     )
 
@@ -101,12 +97,12 @@ def run_summary(calls: DataFrame, mode: str) -> DataFrame:
                        succeeded; warm are all other successes; needs one.
     """
     ok = ~M.is_error(F.col("error"))
-    order = F.struct(*ORDER)
+    at = order_key(calls, ORDER)
     if mode == "first_vs_rest":
-        first = F.min_by("latency_ms", F.when(ok, order))
+        first = F.min_by("latency_ms", F.when(ok, at))
         usable = F.lit(True)
     elif mode == "baseline":
-        first = F.min_by(F.when(ok, F.col("latency_ms")), order)
+        first = F.min_by(F.when(ok, F.col("latency_ms")), at)
         usable = F.col("cold_latency_ms").isNotNull()
     else:
         raise ValueError(f"unknown summary mode: {mode}")
@@ -135,7 +131,7 @@ def summary_against(calls: DataFrame, warmup_rows: DataFrame) -> DataFrame:
         F.sum("latency_ms").alias("_sum"), F.count(F.lit(1)).alias("warm_calls")
     )
     warm = M.mean(F.col("_sum"), F.col("warm_calls"))
-    return attach_baseline(per_run, warmup_rows).select(
+    return per_run.join(warmup_rows, "run_id").select(
         "run_id",
         "warm_calls",
         F.col("cold_latency_ms").cast("double").alias("cold_latency_ms"),
@@ -161,8 +157,6 @@ def slowest_calls(calls: DataFrame, k: int, keys: tuple[str, ...] = ("cache_key"
 
     The rank filter lets every task keep only its own k best before the shuffle.
     """
-    from pyspark.sql import Window
-
     window = Window.partitionBy(*keys).orderBy(
         F.desc("latency_ms"), "cached_tokens", "call_id"
     )

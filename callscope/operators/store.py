@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import metrics as M
-from callscope.operators.ordered import running_sum
+from callscope.operators.lookup import lookup
+from callscope.operators.ordered import order_key, running_sum
 from callscope.session import durable
 
 
@@ -39,18 +40,19 @@ def leak_ids(created: DataFrame, deleted: DataFrame) -> DataFrame:
     return created.select("response_id").subtract(deleted.select("response_id"))
 
 
-def dangling_parents(live: DataFrame) -> DataFrame:
+def dangling_parents(live: DataFrame, **cut: int) -> DataFrame:
     """Live responses whose parent is no longer stored."""
     parents = live.select(F.col("response_id").alias("previous_response_id"))
     followers = live.where(F.col("previous_response_id").isNotNull())
-    return followers.join(parents, "previous_response_id", "left_anti").select(*live.columns)
+    return lookup(followers, parents, "previous_response_id", "left_anti", **cut).select(
+        *live.columns
+    )
 
 
 def first_stored(store: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """The first response of each run: the one a follow-up chains to."""
-    columns = [c for c in store.columns if c not in keys]
-    first = F.min_by(F.struct(*columns), F.struct(*order))
-    return store.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*")
+    """Id of the first response of each run: the one a follow-up chains to."""
+    first = F.min_by("response_id", order_key(store, order))
+    return store.groupBy(*keys).agg(first.alias("response_id"))
 
 
 def output_token_stats(store: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -80,45 +82,44 @@ def chat_context(
     return running_sum(store, list(keys), list(order), chars, "context_chars", **cut)
 
 
-def _links(store: DataFrame, text: str) -> DataFrame:
-    """Each response with what it alone adds to a chain, and its parent as next stop."""
-    return store.select(
+def _links(store: DataFrame, text: str, **cut: int) -> DataFrame:
+    """Each response with what it alone adds to a chain, and its parent as next stop.
+
+    A parent that is not stored ends the chain here and now.
+    """
+    rows = store.select(
         F.col("response_id").alias("id"),
         F.col("previous_response_id").alias("up"),
-        F.col("response_id").alias("root"),
-        F.lit(1).cast("bigint").alias("links"),
         F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("chars"),
-        F.lit(False).alias("dangling"),
+    )
+    stored = rows.select(F.col("id").alias("up"), F.lit(True).alias("_stored"))
+    checked = lookup(rows, stored, "up", "left", **cut)
+    return checked.select(
+        "id",
+        F.when(F.col("_stored"), F.col("up")).alias("up"),
+        F.col("id").alias("root"),
+        F.lit(1).cast("bigint").alias("links"),
+        "chars",
+        (F.col("up").isNotNull() & F.col("_stored").isNull()).alias("dangling"),
     )
 
 
-def _double(links: DataFrame) -> DataFrame:
+def _moving(links: DataFrame) -> DataFrame:
+    return links.where(F.col("up").isNotNull())
+
+
+def _double(links: DataFrame, **cut: int) -> DataFrame:
     """Let every response jump twice as far, adding up what lies between."""
-    far = links.select(
-        F.col("id").alias("up"),
-        F.col("up").alias("far_up"),
-        F.col("root").alias("far_root"),
-        F.col("links").alias("far_links"),
-        F.col("chars").alias("far_chars"),
-        F.col("dangling").alias("far_dangling"),
-    )
-    arrived = links.where(F.col("up").isNull())
-    # Many responses may share one stop; the stops are unique, so run-time
-    # re-planning splits such a partition without repeating the other side's work.
-    moving = links.where(F.col("up").isNotNull()).join(far, "up", "left")
-    moved = moving.select(
+    far = links.select(F.col("id").alias("up"), F.struct(*links.columns[1:]).alias("far"))
+    moved = lookup(_moving(links), far, "up", **cut).select(
         "id",
-        F.col("far_up").alias("up"),
-        F.coalesce("far_root", "root").alias("root"),
-        (F.col("links") + F.coalesce("far_links", F.lit(0))).alias("links"),
-        (F.col("chars") + F.coalesce("far_chars", F.lit(0))).alias("chars"),
-        F.coalesce("far_dangling", F.lit(True)).alias("dangling"),
+        F.col("far.up").alias("up"),
+        F.col("far.root").alias("root"),
+        (F.col("links") + F.col("far.links")).alias("links"),
+        (F.col("chars") + F.col("far.chars")).alias("chars"),
+        F.col("far.dangling").alias("dangling"),
     )
-    return arrived.unionByName(moved)
-
-
-def _is_moving(links: DataFrame) -> bool:
-    return not links.where(F.col("up").isNotNull()).isEmpty()
+    return links.where(F.col("up").isNull()).unionByName(moved)
 
 
 def _rounds(links: DataFrame) -> range:
@@ -126,7 +127,7 @@ def _rounds(links: DataFrame) -> range:
     return range(links.count().bit_length() + 2)
 
 
-def chain_links(store: DataFrame, text: str = "text") -> DataFrame:
+def chain_links(store: DataFrame, text: str = "text", **cut: int) -> DataFrame:
     """Root, depth and context size of every response in any tree of chains.
 
     Responses jump to their ancestors in doubling steps, so the number of rounds
@@ -134,11 +135,11 @@ def chain_links(store: DataFrame, text: str = "text") -> DataFrame:
     kept in the shared folder so that a lost executor repeats one round at most.
     A chain whose parent was deleted ends there and is marked dangling.
     """
-    links = durable(_links(store, text))
+    links = durable(_links(store, text, **cut))
     for _ in _rounds(links):
-        if not _is_moving(links):
+        if _moving(links).isEmpty():
             break
-        links = durable(_double(links))
+        links = durable(_double(links, **cut))
     else:
         raise ValueError("responses refer to each other in a circle")
     return links.select(
@@ -150,30 +151,32 @@ def chain_links(store: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def rebuild_context(follow_ups: DataFrame, store: DataFrame, text: str = "text") -> DataFrame:
-    """The stored context each follow-up refers to, one row per ancestor, nearest last.
+def rebuild_context(
+    follow_ups: DataFrame, store: DataFrame, text: str = "text", **cut: int
+) -> DataFrame:
+    """The stored context each follow-up refers to, one row per ancestor.
 
-    ``follow_ups`` has ``request_id`` and ``previous_response_id``. With every
-    doubling of the jumps the known ancestors of all follow-ups double as well.
+    ``follow_ups`` has ``request_id`` and ``previous_response_id``; ``hops_back``
+    is 1 for the response it names. With every doubling of the jumps the known
+    ancestors of all follow-ups double as well.
     """
-    links = durable(_links(store, text))
-    present = links.select("id")
-    paths = follow_ups.select(
-        "request_id", F.col("previous_response_id").alias("id"), F.lit(1).cast("bigint").alias("hops")
-    ).join(present, "id")
+    links = durable(_links(store, text, **cut))
+    asked = follow_ups.select("request_id", F.col("previous_response_id").alias("id"))
+    start = lookup(asked, links.select("id"), "id", **cut)
+    paths = start.withColumn("hops", F.lit(1).cast("bigint"))
     for _ in _rounds(links):
-        # Only jumps of the full length count: shorter ones end at a root.
-        jumps = links.where(F.col("up").isNotNull()).select("id", "up", F.col("links").alias("far"))
-        further = (
-            paths.join(jumps, "id")
-            .select("request_id", F.col("up").alias("id"), (F.col("hops") + F.col("far")).alias("hops"))
-            .join(present, "id")
+        # A response that still moves has jumped the full length of this round.
+        jumps = _moving(links).select("id", "up", F.col("links").alias("far"))
+        further = lookup(paths, jumps, "id", **cut).select(
+            "request_id", F.col("up").alias("id"), (F.col("hops") + F.col("far")).alias("hops")
         )
         paths = durable(paths.unionByName(further))
-        if not _is_moving(links):
+        if _moving(links).isEmpty():
             break
-        links = durable(_double(links))
+        links = durable(_double(links, **cut))
     else:
         raise ValueError("responses refer to each other in a circle")
-    back = paths.select("request_id", F.col("id").alias("response_id"), F.col("hops").alias("hops_back"))
-    return back.join(store, "response_id")
+    back = paths.select(
+        "request_id", F.col("id").alias("response_id"), F.col("hops").alias("hops_back")
+    )
+    return lookup(back, store, "response_id", **cut)

@@ -522,8 +522,7 @@ def gap_summary(spark, sf_dir):
 
 @query
 def first_stored(spark, sf_dir):
-    first = store.first_stored(V.load_stored(spark, sf_dir), ("conv_id",), ("turn",))
-    return first.select("conv_id", "response_id", "role")
+    return store.first_stored(V.load_stored(spark, sf_dir), ("conv_id",), ("turn",))
 
 
 @query

@@ -481,7 +481,7 @@ BODIES: dict[str, str] = {
           count(*) FILTER (expected_cold AND observed_cold) AS both, max(gap_us) AS longest_gap_us
         FROM ({_GAPS}) GROUP BY cache_key""",
     "first_stored": """
-        SELECT conv_id, response_id, role FROM stored s
+        SELECT conv_id, response_id FROM stored s
         WHERE turn = (SELECT min(turn) FROM stored f WHERE f.conv_id = s.conv_id)""",
     "slowest_calls": """
         SELECT cache_key, rank, call_id, CAST(latency_ms AS DOUBLE) AS latency_ms

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import constants as K
 from callscope.functions.text import wrap_user_text
+from callscope.operators.lookup import lookup
 
 
 def read_messages(
@@ -23,14 +24,15 @@ def _optional(df: DataFrame, column: str) -> Column:
     return F.col(column) if column in df.columns else F.lit(None).cast("string")
 
 
-def with_prompt(messages: DataFrame, prompts: DataFrame) -> DataFrame:
+def with_prompt(messages: DataFrame, prompts: DataFrame, **cut: int) -> DataFrame:
     """Attach the system prompt of each message's version, as late as possible.
 
     Messages carry only a version number until here; the long text is joined in
-    where the body is built, and a message without a version keeps none.
+    where the body is built, and a message without a version keeps none. Most
+    messages share one version, so the texts of such versions are broadcast.
     """
     texts = prompts.select("prompt_version", F.col("text").alias("prompt_text"))
-    return messages.join(texts, "prompt_version", "left")
+    return lookup(messages, texts, "prompt_version", "left", **cut)
 
 
 def _item(role: str, text: Column, mode: str | None = None) -> Column:

@@ -103,6 +103,8 @@ def test_operators_on_cut_keys(spark, sf_dir):
         cache.retention_gaps(calls, "1 HOUR").select("call_id", "gap_us", "expected_cold"),
     )
     _equal(cache.warm_sessions(calls, "1 HOUR", share=20, floor=0), cache.warm_sessions(calls, "1 HOUR"))
+    for operator in (runs.calls_after_warmup, runs.call_speedup):
+        _equal(operator(calls, share=500, floor=0), operator(calls))
     _equal(
         store.chat_context(stored, share=2000, floor=0).select("response_id", "context_chars"),
         store.chat_context(stored).select("response_id", "context_chars"),

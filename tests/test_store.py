@@ -95,15 +95,15 @@ def _walk(parents):
     return found
 
 
-@pytest.mark.parametrize("n,seed", [(1, 1), (2, 2), (300, 3)])
-def test_chain_links_and_context_in_trees(spark, n, seed):
+@pytest.mark.parametrize("n,seed,cut", [(1, 1, {}), (300, 3, {}), (300, 4, {"share": 10, "floor": 0})])
+def test_chain_links_and_context_in_trees(spark, n, seed, cut):
     parents = _forest(n, seed, hot=0)
     df = spark.createDataFrame(
         [(k, p, "x" * (k % 5 + 1)) for k, p in parents.items()],
         "response_id bigint, previous_response_id bigint, text string",
     )
     walked = _walk(parents)
-    got = {r.response_id: r for r in store.chain_links(df).collect()}
+    got = {r.response_id: r for r in store.chain_links(df, **cut).collect()}
     assert set(got) == set(parents)
     for node, (path, dangling) in walked.items():
         row = got[node]
@@ -115,7 +115,7 @@ def test_chain_links_and_context_in_trees(spark, n, seed):
     follow_ups = spark.createDataFrame(
         list(asked.items()), "request_id bigint, previous_response_id bigint"
     )
-    context = store.rebuild_context(follow_ups, df).collect()
+    context = store.rebuild_context(follow_ups, df, **cut).collect()
     want = {
         (request, step, hops)
         for request, node in asked.items()
