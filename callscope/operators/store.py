@@ -122,6 +122,11 @@ def _double(links: DataFrame, **cut: int) -> DataFrame:
     return links.where(F.col("up").isNull()).unionByName(moved)
 
 
+def _keep(links: DataFrame) -> DataFrame:
+    """Keep one round. By id, so that the next round's far side is in place already."""
+    return durable(links.repartition("id"))
+
+
 def _rounds(links: DataFrame) -> range:
     """As many doublings as the longest possible chain needs, and one to notice a circle."""
     return range(links.count().bit_length() + 2)
@@ -135,11 +140,11 @@ def chain_links(store: DataFrame, text: str = "text", **cut: int) -> DataFrame:
     kept in the shared folder so that a lost executor repeats one round at most.
     A chain whose parent was deleted ends there and is marked dangling.
     """
-    links = durable(_links(store, text, **cut))
+    links = _keep(_links(store, text, **cut))
     for _ in _rounds(links):
         if _moving(links).isEmpty():
             break
-        links = durable(_double(links, **cut))
+        links = _keep(_double(links, **cut))
     else:
         raise ValueError("responses refer to each other in a circle")
     return links.select(
@@ -160,7 +165,7 @@ def rebuild_context(
     is 1 for the response it names. With every doubling of the jumps the known
     ancestors of all follow-ups double as well.
     """
-    links = durable(_links(store, text, **cut))
+    links = _keep(_links(store, text, **cut))
     asked = follow_ups.select("request_id", F.col("previous_response_id").alias("id"))
     start = lookup(asked, links.select("id"), "id", **cut)
     paths = start.withColumn("hops", F.lit(1).cast("bigint"))
@@ -170,10 +175,10 @@ def rebuild_context(
         further = lookup(paths, jumps, "id", **cut).select(
             "request_id", F.col("up").alias("id"), (F.col("hops") + F.col("far")).alias("hops")
         )
-        paths = durable(paths.unionByName(further))
+        paths = durable(paths.unionByName(further).hint("rebalance"))
         if _moving(links).isEmpty():
             break
-        links = durable(_double(links, **cut))
+        links = _keep(_double(links, **cut))
     else:
         raise ValueError("responses refer to each other in a circle")
     back = paths.select(
