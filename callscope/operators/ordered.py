@@ -122,12 +122,12 @@ def slice_hot_keys(
     *,
     share: int = SHARE,
     floor: int = FLOOR,
-    levels: int = 1,
+    levels: int = 2,
 ) -> Sliced:
     """Add ``_slice``: NULL for an ordinary key, else a number that grows with ``at``.
 
-    Slices have equal width in ``at``. Where a hot key's rows come in bursts, a
-    second level cuts its overfull slices again, at one more pass over its rows.
+    Slices have equal width in ``at``. Where a hot key's rows come in bursts, the
+    second level cuts its overfull slices again, at one more pass over hot rows.
     """
     keys = list(keys)
     ranges = _ranges(df, keys, at)
