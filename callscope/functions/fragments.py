@@ -70,9 +70,8 @@ def empty() -> Column:
 
 def _extend(line: Column, piece: Column) -> Column:
     joined = F.concat(line["text"], piece["text"])
-    return F.when(line["open"], _line(joined, line["more"] | piece["more"], piece["open"])).otherwise(
-        line
-    )
+    longer = _line(joined, line["more"] | piece["more"], piece["open"])
+    return F.when(line["open"], longer).otherwise(line)
 
 
 def merge(a: Column, b: Column) -> Column:

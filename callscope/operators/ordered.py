@@ -51,25 +51,9 @@ def _position(df: DataFrame, at: str) -> Column:
     return F.col(at).cast("double")
 
 
-def order_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """One value per row that sorts as ``order`` does, to aggregate by.
-
-    A time and an id fold into one number, which hash aggregation keeps in place;
-    with a struct as extremum Spark would sort every task's rows first.
-    """
-    if len(order) == 1:
-        return F.col(order[0])
-    kinds = [df.schema[c].dataType for c in order]
-    timed = isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType))
-    if len(order) == 2 and timed and isinstance(kinds[1], T.IntegralType):
-        micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
-        numbers = [
-            F.coalesce(number, F.lit(-(1 << 62))).cast("decimal(20,0)")
-            for number in (micros, F.col(order[1]).cast("bigint"))
-        ]
-        # Wider than the ids, so that the time always decides first.
-        return numbers[0] * F.lit("20000000000000000000").cast("decimal(20,0)") + numbers[1]
-    return F.struct(*order)
+def order_key(order: Sequence[str]) -> Column:
+    """What extremum aggregates compare rows by: never NULL as a whole, ties included."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
@@ -78,7 +62,9 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     )
 
 
-def _lookup(df: DataFrame, small: DataFrame, columns: Sequence[str], how: str = "left") -> DataFrame:
+def _lookup(
+    df: DataFrame, small: DataFrame, columns: Sequence[str], how: str = "left"
+) -> DataFrame:
     """Join with a side whose size the constants above bound, NULL keys included."""
     keyed = small.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)],
@@ -122,12 +108,13 @@ def slice_hot_keys(
     *,
     share: int = SHARE,
     floor: int = FLOOR,
-    levels: int = 2,
+    levels: int = 1,
 ) -> Sliced:
     """Add ``_slice``: NULL for an ordinary key, else a number that grows with ``at``.
 
-    Slices have equal width in ``at``. Where a hot key's rows come in bursts, the
-    second level cuts its overfull slices again, at one more pass over hot rows.
+    Slices have equal width in ``at``, several times as many as an even spread
+    needs. Where a hot key's rows come in sharp bursts, a second level cuts its
+    overfull slices again, at one more pass over hot rows.
     """
     keys = list(keys)
     ranges = _ranges(df, keys, at)
@@ -203,7 +190,7 @@ def sliced_previous(
 ) -> Sliced:
     """``column`` of the key's row before this one, NULL on its first row."""
     keys = list(keys)
-    last = F.max_by(column, order_key(sliced.hot, order))
+    last = F.max_by(column, F.struct(*order))
     along = Window.partitionBy(*keys).orderBy(SLICE)
     carry = _carry(sliced.hot, keys, last, F.lag("_carry").over(along))
     window = _local(keys, order)

@@ -30,9 +30,9 @@ def call_ordinal(calls: DataFrame, name: str = "call_no", **cut: int) -> DataFra
 def warmups(calls: DataFrame) -> DataFrame:
     """Runs whose first call succeeded, with its id and latency as the baseline.
 
-    One hash aggregation: at most one row per run leaves each task.
+    One aggregation: at most one row per run leaves each task.
     """
-    at = order_key(calls, ORDER)
+    at = order_key(ORDER)
     ok_latency = F.when(~M.is_error(F.col("error")), F.col("latency_ms"))
     first = calls.groupBy("run_id").agg(
         F.min_by("call_id", at).alias("warmup_call_id"),
@@ -78,7 +78,7 @@ def call_speedup(calls: DataFrame, **cut: int) -> DataFrame:
     """Each successful call against the first successful one of its run."""
     ok = ok_calls(calls)
     first = ok.groupBy("run_id").agg(
-        F.min_by("latency_ms", order_key(calls, ORDER)).alias("first_latency_ms")
+        F.min_by("latency_ms", order_key(ORDER)).alias("first_latency_ms")
     )
     return lookup(ok, first, "run_id", **cut).withColumn(
         "speedup", M.speedup(F.col("first_latency_ms"), F.col("latency_ms"))
@@ -97,7 +97,7 @@ def run_summary(calls: DataFrame, mode: str) -> DataFrame:
                        succeeded; warm are all other successes; needs one.
     """
     ok = ~M.is_error(F.col("error"))
-    at = order_key(calls, ORDER)
+    at = order_key(ORDER)
     if mode == "first_vs_rest":
         first = F.min_by("latency_ms", F.when(ok, at))
         usable = F.lit(True)

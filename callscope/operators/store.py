@@ -51,7 +51,7 @@ def dangling_parents(live: DataFrame, **cut: int) -> DataFrame:
 
 def first_stored(store: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """Id of the first response of each run: the one a follow-up chains to."""
-    first = F.min_by("response_id", order_key(store, order))
+    first = F.min_by("response_id", order_key(order))
     return store.groupBy(*keys).agg(first.alias("response_id"))
 
 
@@ -71,7 +71,10 @@ def output_token_stats(store: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 
 
 def chat_context(
-    store: DataFrame, keys: tuple[str, ...] = ("conv_id",), order: tuple[str, ...] = ("turn",), **cut: int
+    store: DataFrame,
+    keys: tuple[str, ...] = ("conv_id",),
+    order: tuple[str, ...] = ("turn",),
+    **cut: int,
 ) -> DataFrame:
     """Context size at each turn of a chat whose turns are numbered.
 

@@ -173,7 +173,7 @@ def ttft_ab(ttft: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFrame:
         F.count_if(cold & timed).alias("cold_runs"),
         F.sum(F.when(warm, F.col("ttft_ms"))).alias("_warm_sum"),
         F.count_if(warm & timed).alias("_warm_n"),
-        F.min_by("ttft_ms", F.when(warm & timed, order_key(ttft, ORDER))).alias("_write"),
+        F.min_by("ttft_ms", F.when(warm & timed, order_key(ORDER))).alias("_write"),
     )
     write = F.coalesce(F.col("_write"), F.lit(0))
     reads = F.col("_warm_n") - F.when(F.col("_write").isNotNull(), F.lit(1)).otherwise(F.lit(0))

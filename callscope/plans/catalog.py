@@ -41,9 +41,8 @@ def _double(*columns: str):
 
 @query
 def read_messages(spark, sf_dir):
-    """Messages with their ordinal in the conversation."""
-    path = f"{sf_dir}/conversations.parquet"
-    return requests.read_messages(spark, path, id_col="turn")
+    """Whole documents as messages to classify."""
+    return requests.read_messages(spark, f"{sf_dir}/documents.parquet", id_col="doc_id")
 
 
 @query
@@ -174,7 +173,11 @@ def extract_label(spark, sf_dir):
         ("stored", V.load_stored(spark, sf_dir), "response_id", "text"),
     ]
     parts = [
-        df.select(F.lit(name).alias("source"), F.col(key).alias("id"), X.extract_label(F.col(c)).alias("label"))
+        df.select(
+            F.lit(name).alias("source"),
+            F.col(key).alias("id"),
+            X.extract_label(F.col(c)).alias("label"),
+        )
         for name, df, key, c in texts
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -392,7 +395,8 @@ def _expected(spark, sf_dir):
 
 @query
 def accuracy(spark, sf_dir):
-    return policy.accuracy(_judged(spark, sf_dir), _expected(spark, sf_dir), "doc_id", ("expected",))
+    judged, wanted = _judged(spark, sf_dir), _expected(spark, sf_dir)
+    return policy.accuracy(judged, wanted, "doc_id", ("expected",))
 
 
 @query
@@ -425,7 +429,8 @@ def run_summary_baseline(spark, sf_dir):
 def summary_against(spark, sf_dir):
     """The baseline summary with the warm-ups as a table of their own."""
     call_rows = V.load_calls(spark, sf_dir)
-    return runs.summary_against(runs.calls_after_warmup(call_rows).drop("cold_latency_ms"), runs.warmups(call_rows))
+    measured = runs.calls_after_warmup(call_rows).drop("cold_latency_ms")
+    return runs.summary_against(measured, runs.warmups(call_rows))
 
 
 @query
@@ -471,7 +476,8 @@ def output_tokens(spark, sf_dir):
 
 @query
 def column_widths(spark, sf_dir):
-    return layout.column_widths(_report(spark, sf_dir), ["call_no", "label", "latency", "cache_pct"])
+    columns = ["call_no", "label", "latency", "cache_pct"]
+    return layout.column_widths(_report(spark, sf_dir), columns)
 
 
 @query
@@ -588,6 +594,15 @@ def warm_sessions(spark, sf_dir):
     return _micros(sessions, "first_call_at", "last_call_at")
 
 
+@query
+def warm_sessions_stream(spark, sf_dir):
+    """Sessions read as a stream; read with those that may still grow."""
+    log = V.calls(live.read_log(spark, V.log_path(sf_dir, "events")))
+    closed = live.run_once(live.session_stream(log, RETENTION, DELAY), "sessions")
+    sessions = live.session_view(closed, V.load_calls(spark, sf_dir), RETENTION)
+    return _micros(sessions, "first_call_at", "last_call_at")
+
+
 @query
 def classify_stream(spark, sf_dir):
     log = V.messages(live.read_log(spark, V.log_path(sf_dir, "conversations")))

@@ -235,7 +235,7 @@ SELECT run_id, rn AS call_no, {label("response_text")} AS label,
 FROM ordered WHERE error IS NULL"""
 
 BODIES: dict[str, str] = {
-    "read_messages": "SELECT turn AS msg_id, text FROM conversations",
+    "read_messages": "SELECT doc_id AS msg_id, text FROM documents",
     "requests_responses": f"""
         SELECT msg_id, cache_key, '{{"model":"classifier-model","input":['
           || CASE WHEN prompt_text IS NULL THEN '' ELSE {_item("system", "prompt_text")} || ',' END
@@ -504,6 +504,13 @@ BODIES: dict[str, str] = {
         FROM (SELECT *, sum(CAST(expected_cold AS BIGINT)) OVER (PARTITION BY cache_key
                 ORDER BY started_at, call_id) AS session_no FROM ({_GAPS}))
         GROUP BY cache_key, session_no""",
+    "warm_sessions_stream": f"""
+        SELECT cache_key, epoch_us(min(started_at)) AS first_call_at,
+          epoch_us(max(started_at)) AS last_call_at,
+          count(*) AS calls, count(*) FILTER (cached_tokens > 0) AS hits
+        FROM (SELECT *, sum(CAST(expected_cold AS BIGINT)) OVER (PARTITION BY cache_key
+                ORDER BY started_at, call_id) AS session_no FROM ({_GAPS}))
+        GROUP BY cache_key, session_no""",
     "classify_stream": f"""
         SELECT d.msg_id, {WORDS} AS verdict, coalesce(categories, '') AS categories
         FROM ({_verdict("messages", "msg_id")}) d""",

@@ -201,7 +201,9 @@ def deleted(store: DataFrame) -> DataFrame:
 
 def expected(labels: DataFrame) -> DataFrame:
     verdict = (
-        F.when(F.col("toxic") == 1, "BLOCK").when(F.col("quality") == 0, "REVIEW").otherwise("ALLOW")
+        F.when(F.col("toxic") == 1, "BLOCK")
+        .when(F.col("quality") == 0, "REVIEW")
+        .otherwise("ALLOW")
     )
     return labels.select("doc_id", verdict.alias("expected"))
 
@@ -248,7 +250,8 @@ def raw_replies(call_rows: DataFrame) -> DataFrame:
     """The calls as the replies they came from, failures and broken bodies included."""
     failed = F.col("error").isNotNull()
     broken = F.col("call_id") % 97 == 0
-    upstream = F.concat(F.lit("upstream failure "), F.repeat(F.lit("x"), F.lit(290)), F.col("call_id").cast("string"))
+    filler = F.repeat(F.lit("x"), F.lit(290))
+    upstream = F.concat(F.lit("upstream failure "), filler, F.col("call_id").cast("string"))
     body = (
         F.when(failed, upstream)
         .when(broken, F.lit('{"output": ['))

@@ -11,7 +11,12 @@ from callscope.operators.lookup import lookup
 
 
 def read_messages(
-    spark: SparkSession, path: str, *, id_col: str = "msg_id", text_col: str = "text", fmt: str = "parquet"
+    spark: SparkSession,
+    path: str,
+    *,
+    id_col: str = "msg_id",
+    text_col: str = "text",
+    fmt: str = "parquet",
 ) -> DataFrame:
     """The messages to classify, as ``msg_id`` and ``text``."""
     read = spark.read.format(fmt)

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callscope.functions.text import extract_label
 from callscope.operators import cache, policy, ttft
+from callscope.operators.lookup import lookup
 from callscope.session import new_path
 
 
@@ -80,6 +81,22 @@ def session_stream(calls: DataFrame, retention: str, delay: str) -> DataFrame:
     )
 
 
+def session_view(closed: DataFrame, calls: DataFrame, retention: str, **cut: int) -> DataFrame:
+    """Written sessions, and those that may still grow as the call log has them now.
+
+    The sessions of a key are written in order, so its open ones hold what comes
+    after the last call of its last written session.
+    """
+    key = F.struct("cache_key").alias("_key")  # equal also where both keys are NULL
+    last = closed.groupBy(key).agg(F.max("last_call_at").alias("_last"))
+    rows = calls.select("cache_key", "started_at", "call_id", "cached_tokens", key)
+    later = lookup(rows, last, "_key", "left", **cut).where(
+        F.coalesce(F.col("started_at") > F.col("_last"), F.lit(True))
+    )
+    tail = cache.warm_sessions(later.drop("_key", "_last"), retention, **cut)
+    return closed.unionByName(tail.select(*closed.columns))
+
+
 def chunk_stream(
     chunks: DataFrame, width: str, delay: str, span: int = ttft.SPAN
 ) -> DataFrame:

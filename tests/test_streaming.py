@@ -61,6 +61,8 @@ def test_closed_sessions_equal_batch_sessions(spark, log):
     missing = batch.select(*columns).exceptAll(closed.select(*columns))
     assert closed.select(*columns).exceptAll(batch.select(*columns)).isEmpty()
     assert closed.count() > 100 and missing.count() <= 2 * 7  # the last ones are still open
+    view = live.session_view(closed, spark.read.parquet(log), "1 HOUR")
+    _equal(view, batch.select(*columns))
 
 
 @pytest.mark.parametrize("typed", [False, True])
