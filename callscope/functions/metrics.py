@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from callscope.functions import constants as K
 
 
+_INFINITE = float("inf")
+
+
 def is_error(error: Column) -> Column:
     """Whether a call failed."""
     return error.isNotNull()
@@ -59,7 +62,11 @@ def fmt_ratio(ratio: Column) -> Column:
     up = (rest > half) | ((rest == half) & (tenth % 2 == 1))
     tenths = F.floor(ratio) * 10 + tenth + up.cast("bigint")
     exact = F.concat_ws(".", F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string"))
-    return F.when(ratio >= 1, exact).otherwise(F.format_string("%.1f", ratio))
+    return (
+        F.when(ratio == _INFINITE, F.lit("inf"))
+        .when(ratio >= 1, exact)
+        .otherwise(F.format_string("%.1f", ratio))
+    )
 
 
 def _tag_pct(cached: Column, total: Column) -> Column:
@@ -71,7 +78,9 @@ def _is_faster(latency: Column, cold: Column) -> Column:
 
 
 def _tag_latency(latency: Column, cold: Column) -> Column:
-    faster = F.format_string(K.WARM_FASTER, fmt_ratio(speedup(cold, latency)))
+    # Not guarded as `speedup` is: a call that took no time at all is endlessly faster.
+    plain = F.when(latency == 0, _INFINITE).otherwise(speedup(cold, latency))
+    faster = F.format_string(K.WARM_FASTER, fmt_ratio(plain))
     return F.when(_is_faster(latency, cold), faster).otherwise(F.lit(K.WARM_ACTIVE))
 
 

@@ -439,12 +439,12 @@ def ttft_ab(spark, sf_dir):
 
 
 @query
-def ttft_ab_per_key(spark, sf_dir):
-    """The A/B test per cache key, cold calls told by their isolation."""
+def ttft_ab_per_group(spark, sf_dir):
+    """The A/B test per API and test group, cold calls told by their isolation."""
     proof = V.proof_calls(V.load_calls(spark, sf_dir))
     cond = M.condition_of(F.col("isolation_key"), F.col("cache_key"))
-    rows = proof.withColumn("cond", cond).withColumn("bucket_no", F.col("call_id") % 7)
-    return ttft.ttft_ab(rows, ("api", "bucket_no"))
+    rows = proof.withColumn("cond", cond).withColumn("test_group", F.col("call_id") % 7)
+    return ttft.ttft_ab(rows, ("api", "test_group"))
 
 
 @query

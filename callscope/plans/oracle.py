@@ -408,11 +408,11 @@ BODIES: dict[str, str] = {
     "run_summary_baseline": _BASELINE,
     "summary_against": _BASELINE,
     "ttft_ab": _ab("SELECT * FROM ttft", "api"),
-    "ttft_ab_per_key": _ab(
-        """SELECT api, call_id % 7 AS bucket_no, call_id, started_at, ttft_ms,
+    "ttft_ab_per_group": _ab(
+        """SELECT api, call_id % 7 AS test_group, call_id, started_at, ttft_ms,
            CASE WHEN isolation_key IS NOT NULL OR cache_key LIKE 'iso-%' THEN 'COLD'
                 ELSE 'WARM' END AS cond FROM proof""",
-        "api, bucket_no",
+        "api, test_group",
     ),
     "hit_rate": """
         SELECT cache_key, count(*) AS calls, count(*) FILTER (cached_tokens > 0) AS hits,

@@ -22,12 +22,25 @@ def test_fmt_ratio_equals_binary_rounding(spark):
     random.seed(7)
     values = [1.0, 1.05, 1.15, 1.25, 1.35, 1.45, 1.75, 9.95, 9.949999999999999, 99.95, 2000.25]
     values += [random.uniform(1, 30) for _ in range(500)]
-    values += [k / 20 for k in range(20, 400)] + [123456.75, 5e8 + 0.25]
+    values += [k / 20 for k in range(20, 400)] + [123456.75, 5e8 + 0.25, float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = df.withColumn("s", M.fmt_ratio(F.col("v"))).collect()
     assert [r for r in got if r.s != f"{r.v:.1f}"] == []
 
 
+def test_latency_tag_at_its_edges(spark):
+    """The 0.85 threshold is strict; a call that took no time is endlessly faster."""
+    rows = [
+        (0.0, 10.0, "WARM (inf× faster than cold)"),
+        (8.5, 10.0, "WARM (prompt_cache_key active)"),
+        (8.4, 10.0, "WARM (1.2× faster than cold)"),
+        (0.0, 0.0, "WARM (prompt_cache_key active)"),
+    ]
+    df = spark.createDataFrame(rows, "ms double, cold double, want string")
+    tag = M.warm_tag("latency", latency=F.col("ms"), cold=F.col("cold"))
+    assert df.where(tag != F.col("want")).isEmpty()
+
+
 def test_fmt_ms(spark):
     values = [0.0, 0.0005, 0.0015, 0.0025, 1.2345, 2.8464999, 2.8465, 3.5]
     df = spark.createDataFrame([(v,) for v in values], "v double")

@@ -47,11 +47,6 @@ BASELINE = {
 SAVING = {"G": 39.3, "C1": 40.0, "K2": 47.7, "C2": 40.0, "S3": 28.6}
 API = {"G": "responses", "C1": "chat", "K2": "responses", "C2": "chat", "S3": "responses"}
 
-COLUMNS = (
-    "call_id bigint, run_id string, api string, cache_key string, started_at timestamp, "
-    "latency_ms decimal(18,2), input_tokens bigint, cached_tokens bigint, error string"
-)
-
 
 def frame(spark, rows):
     df = spark.createDataFrame(
