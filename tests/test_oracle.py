@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from callscope.plans.catalog import QUERIES
+from callscope.plans.oracle import ORACLE as SQL
 from compare import connect, differences
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
@@ -18,6 +18,8 @@ def duck(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
