@@ -71,6 +71,8 @@ def fresh(columns: list[str], name: str) -> str:
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``limit`` bytes in a column, one row at least."""
     values = batch.column(column)
+    if pa.types.is_struct(values.type):  # its first field is the text
+        values = values.field(0)
     nested = pa.types.is_list(values.type)
     sizes = pc.list_value_length(values) if nested else pc.binary_length(values)
     start, held = 0, 0
@@ -89,15 +91,17 @@ def with_columns(
     source: str,
     fields: list[tuple[str, str]],
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    drop: str | None = None,
 ) -> DataFrame:
     """``df`` with new columns computed by numpy code from one column, in Arrow batches.
 
     ``make`` is called once per task and gives the function that turns the column's
     values of some rows into the new arrays. The other columns pass through as they
-    are. A new column replaces an old one of its name.
+    are. A new column replaces an old one of its name; ``drop`` names a
+    column that is not passed through.
     """
     names = {n.lower() for n, _ in fields}
-    kept = [c for c in df.columns if c.lower() not in names]
+    kept = [c for c in df.columns if c.lower() not in names and c != drop]
     given = kept if source in kept else [*kept, source]
     frame = df.select(*[F.col(f"`{c}`") for c in given])
     at, width = given.index(source), len(kept)

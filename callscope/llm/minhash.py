@@ -102,7 +102,7 @@ def _set_number(shingles: np.ndarray) -> int | None:
 
 
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the number of shingles, the class (equal for equal sets; two
+    """``docs`` without the text, with the number of shingles, the class (equal for equal sets; two
     different sets share one with probability 2^-64) and the signature of each text."""
 
     def make():
@@ -123,11 +123,11 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
         return work
 
     fields = [("n_shingles", "bigint"), ("class", "bigint"), ("signature", "array<bigint>")]
-    return with_columns(docs, text, fields, make)
+    return with_columns(docs, text, fields, make, drop=text)
 
 
 def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with class and all shingles of each text, as bytes of sorted 64-bit numbers."""
+    """``docs`` without the text, with class and all shingles of each text, as bytes of sorted 64-bit numbers."""
 
     def make():
         shingles = Shingles()
@@ -141,7 +141,7 @@ def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return work
 
-    return with_columns(docs, text, [("class", "bigint"), ("shingles", "binary")], make)
+    return with_columns(docs, text, [("class", "bigint"), ("shingles", "binary")], make, drop=text)
 
 
 def _shared(classes: DataFrame) -> DataFrame:

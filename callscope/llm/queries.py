@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, minhash
-from callscope.llm.common import ready, table
+from callscope.llm import bpe, minhash, mixing, quality, secrets
+from callscope.llm.common import ready, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +52,39 @@ def op9_near_duplicates(spark, sf_dir):
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+@query
+def op1_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    counted = mixing.copies(rows, F.col("size"), text=None)
+    return counted.select(
+        "doc_id",
+        "size",
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_copies") * F.col("size")).alias("taken"),
+    )
+
+
+@query
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = secrets.scan_versions(docs)
+    spans = F.array_join(secrets.listed(), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(f"{r.kind}_spans").cast("long").alias(f"n_{r.kind}") for r in secrets.RULES],
+        F.sha2(spans.cast("binary"), 256).alias("base_sha256"),
+        spans.alias("spans"),
+    )
