@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, minhash, mixing, quality, secrets
+from callscope.llm import bpe, minhash, mixing, planes, quality, secrets, shards
 from callscope.llm.common import ready, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,29 @@ def op7_secrets(spark, sf_dir):
         F.sha2(spans.cast("binary"), 256).alias("base_sha256"),
         spans.alias("spans"),
     )
+
+
+@query
+def op4_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        shards.text_bytes(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return shards.shard(docs, 16, ties=("text_crc32",)).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op8_bit_planes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = planes.new_folder(spark)
+    planes.write(planes.encode(planes.ordered(docs), VOCABULARY, end=1), folder)
+    return planes.crc32_of(planes.read(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
