@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, minhash, mixing, planes, quality, secrets, shards
+from callscope.llm import bpe, minhash, mixing, nndescent, planes, quality, secrets, shards, templates, toplists
 from callscope.llm.common import ready, table, word_count
+from callscope.llm.vectors import is_query, usable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +115,26 @@ def op8_bit_planes(spark, sf_dir):
     folder = planes.new_folder(spark)
     planes.write(planes.encode(planes.ordered(docs), VOCABULARY, end=1), folder)
     return planes.crc32_of(planes.read(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op5_templates(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return templates.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op10_top_lists(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    whole = vectors.select("vec_id", toplists.whole_numbers(F.col("embedding")).alias("vector"))
+    asked = whole.where(is_query()).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    return toplists.top_k(whole, asked, 10)
+
+
+@query
+def op2_nn_descent(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    nonzero = F.exists("embedding", lambda x: x != 0)
+    vectors = rows.where(nonzero).select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.where(is_query()).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    return nndescent.neighbours(vectors, asked, 10)
