@@ -1,11 +1,11 @@
 """Approximate nearest neighbours over a graph built by NN-descent.
 
-Building. Equal vectors are one node. Every node starts with neighbours from small
-blocks: nodes near one of ``LANDMARKS`` sampled landmarks, at most about ``BLOCK`` at a time.
-Then rounds of joins: each node's list is joined with its neighbours' vectors, the
-neighbours of one node are compared with one another, and a pair goes on to the next round only
-if it is better than the worst neighbour that one of the two has. Lists keep ``DEGREE`` neighbours.
-Rounds end when few lists change. Every group is one node's list, so none grows with the data.
+Building. Equal vectors are one node. Every node starts with the nearest of some blocks:
+nodes whose ``CELLS`` nearest landmarks include the same one, about ``BLOCK`` at a time. Then
+rounds of joins: each node's list and some of the nodes that list it are joined with
+their vectors, the members of such a group are compared with one another, and a pair goes
+on only if it is better than the worst neighbour that one of the two has. Lists keep
+``DEGREE`` neighbours. Rounds end when few places change. Groups do not grow with the data.
 
 Searching. A query starts at the landmarks nearest to it. In every hop the nearest
 ``WIDTH`` nodes of its beam that have not been expanded are joined with the graph, and
@@ -14,8 +14,9 @@ expanded. All queries take their hops together. At the end distances are compute
 double precision on the original vectors, and nodes become the ids of their rows: the
 ``k + 1`` smallest of each node, which is all that k results can hold.
 
-The landmarks are a bounded sample (at most ``LANDMARKS`` vectors travel with the tasks);
-every row is indexed. The graph's vectors are in half precision, results are not.
+The landmarks are a bounded sample (at most ``LANDMARKS`` vectors, which travel with the
+tasks); every row is indexed. The graph's vectors are in half precision, scaled into its
+range; results are not.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component take no part, nor do those of another length than most; a query's own id is left out; equal
@@ -33,14 +34,18 @@ from pyspark.sql.window import Window
 from callscope.llm.common import bounded, forget, keep
 from callscope.llm.vectors import best_per_query, matrix
 
-LANDMARKS = 256
-BLOCK = 256
-DEGREE = 16
-ENTRIES = 6
-BEAM = 48
-WIDTH = 6
+#: Landmarks are one for so many nodes, and at most so many.
+SPREAD, LANDMARKS = 1024, 4096
+#: Cells of a node, and nodes compared at once in a cell.
+CELLS, BLOCK = 4, 2048
+DEGREE = 24
+#: Nodes that have a node in their list, of which so many join its group.
+REVERSE = 12
+ENTRIES = 8
+BEAM = 160
+WIDTH = 16
 #: Building stops once a round changes fewer than this share of all list places.
-CHANGED = 0.02
+CHANGED = 0.05
 #: More rounds and hops than any graph has needed; they only stop an endless run.
 ROUNDS = 12
 HOPS = 40
@@ -77,8 +82,8 @@ PAIRS = "node bigint, other bigint, distance float"
 class Graph:
     """The tables of an index: members of each node, vectors, edges and landmarks."""
 
-    def __init__(self, members: DataFrame, nodes: DataFrame, edges: DataFrame, near: np.ndarray, ids: np.ndarray):
-        self.members, self.nodes, self.edges = members, nodes, edges
+    def __init__(self, members: DataFrame, nodes: DataFrame, edges: DataFrame, near: np.ndarray, ids: np.ndarray, scale: float):
+        self.members, self.nodes, self.edges, self.scale = members, nodes, edges, scale
         self.landmarks, self.landmark_ids = near, ids
 
 
@@ -91,14 +96,13 @@ def _members(vectors: DataFrame, k: int) -> DataFrame:
     return first.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _packed(members: DataFrame) -> DataFrame:
-    """``node, half``: the vectors in half precision, scaled into its range."""
+def _packed(members: DataFrame, scale: float) -> DataFrame:
+    """``node, half``: the scaled vectors in half precision."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                rows = matrix(batch.column(1)).astype(np.float32)
-                half = rows.astype(np.float16)
+                half = (matrix(batch.column(1)) * scale).astype(np.float16)
                 yield pa.RecordBatch.from_pydict(
                     {"node": batch.column(0), "half": pa.array([h.tobytes() for h in half], pa.binary())}
                 )
@@ -107,18 +111,19 @@ def _packed(members: DataFrame) -> DataFrame:
 
 
 def _start(nodes: DataFrame, near: np.ndarray) -> DataFrame:
-    """First neighbours: the nearest in each block of the cell of either of two landmarks."""
+    """First neighbours: the nearest in each block of the cells of the nearest landmarks."""
 
     def cells(batches):
         for batch in batches:
             if batch.num_rows:
-                two = np.argsort(_distances(_halves(batch.column("half")), near), axis=1, kind="stable")[:, :2]
-                each = np.repeat(np.arange(batch.num_rows), two.shape[1])
+                apart = _distances(_halves(batch.column("half")), near)
+                first = np.argsort(apart, axis=1, kind="stable")[:, :CELLS]
+                each = np.repeat(np.arange(batch.num_rows), first.shape[1])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": batch.column("node").take(pa.array(each)),
                         "half": batch.column("half").take(pa.array(each)),
-                        "cell": pa.array(two.ravel(), pa.int32()),
+                        "cell": pa.array(first.ravel(), pa.int32()),
                     }
                 )
 
@@ -171,22 +176,30 @@ def _compare(batches):
 def build(vectors: DataFrame, k: int = 10) -> Graph | None:
     """The index of ``vectors`` (``vec_id, vector``)."""
     members = keep(_members(vectors, k), "members")
-    nodes = keep(_packed(members), "nodes")
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(LANDMARKS).collect()
-    if not sample:
+    largest = members.agg(F.max(F.array_max(F.transform("vector", F.abs))), F.count("*")).first()
+    if not largest[1]:
         return None
+    scale, count = 1 / float(largest[0]), largest[1]
+    nodes = keep(_packed(members, scale), "nodes")
+    landmarks = min(LANDMARKS, -(-count // SPREAD))
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(landmarks).collect()
     ids = np.array([r["node"] for r in sample])
     near = np.frombuffer(b"".join(bytes(r["half"]) for r in sample), np.float16).reshape(len(ids), -1)
-    count = nodes.count()
     edges = keep(_lists(_start(nodes, near).withColumn("fresh", F.lit(True))), "edges")
     for _ in range(ROUNDS):
         worst = edges.groupBy("node").agg(
             F.when(F.count("*") >= DEGREE, F.max("distance")).otherwise(float("inf")).cast("float").alias("worst")
         )
         known = nodes.join(worst, "node").select(F.col("node").alias("other"), "half", "worst")
-        # The list of a node, itself included, with the vectors of all in it.
-        own = edges.select("node").distinct().select("node", F.col("node").alias("other"), F.lit(True).alias("fresh"))
-        reached = edges.select("node", "other", "fresh").union(own).join(known, "other")
+        # A group is a node's list, the nearest nodes that list it, and the node itself.
+        nearest = Window.partitionBy("other").orderBy("distance", "node")
+        listing = edges.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= REVERSE)
+        back = listing.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
+        own = nodes.select("node", F.col("node").alias("other"), F.lit(False).alias("fresh"))
+        group = edges.select("node", "other", "fresh").union(back).union(own)
+        group = group.groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
+        active = group.where("fresh").select("node").distinct()
+        reached = group.join(active, "node", "left_semi").join(known, "other")
         gathered = reached.groupBy("node").agg(F.collect_list(F.struct("other", "worst", "fresh", "half")).alias("l"))
         listed = gathered.select(
             F.col("l.other").alias("others"), F.col("l.worst").alias("worst"),
@@ -200,12 +213,12 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
         edges = merged
         if changed < CHANGED * DEGREE * count:
             break
-    return Graph(members, nodes, edges, near, ids)
+    return Graph(members, nodes, edges, near, ids, scale)
 
 
 def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ``queries`` (``query_id, query``)."""
-    near, ids = graph.landmarks, graph.landmark_ids
+    near, ids, scale = graph.landmarks, graph.landmark_ids, graph.scale
     vectors = graph.nodes.select(F.col("node").alias("other"), "half")
     adjacent = keep(
         graph.edges.join(vectors, "other")
@@ -218,7 +231,7 @@ def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
     def enter(batches):
         for batch in batches:
             if batch.num_rows:
-                apart = _distances(matrix(batch.column("query")), near)
+                apart = _distances(matrix(batch.column("query")) * scale, near)
                 best = np.argsort(apart, axis=1, kind="stable")[:, :ENTRIES]
                 each = np.repeat(np.asarray(batch.column("query_id")), best.shape[1])
                 yield pa.RecordBatch.from_pydict(
@@ -235,7 +248,7 @@ def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
             for row in range(batch.num_rows):
                 others = np.asarray(batch.column("others")[row].values)
                 halves = np.frombuffer(b"".join(batch.column("halves")[row].as_py()), np.float16)
-                query = np.asarray(batch.column("query")[row].values)
+                query = np.asarray(batch.column("query")[row].values) * scale
                 apart = _distances(query[None, :], halves.reshape(len(others), -1))[0]
                 found.append((np.full(len(others), batch.column("query_id")[row].as_py()), others, apart))
             if found:
