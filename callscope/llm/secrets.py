@@ -153,19 +153,13 @@ def scan_versions(
     return found, whole
 
 
+def _numbered(n: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("n"), s["end"].alias("end"))
+
+
 def listed(rules: tuple[Rule, ...] = RULES) -> Column:
     """All spans of a row of findings as ``kind:start:end``, by start, then by rule."""
-    every = F.concat(
-        *[
-            F.transform(
-                F.col(f"{r.kind}_spans"),
-                lambda s, n=n: F.struct(
-                    s["start"].alias("start"), F.lit(n).alias("n"), s["end"].alias("end")
-                ),
-            )
-            for n, r in enumerate(rules)
-        ]
-    )
+    every = F.concat(*[F.transform(f"{r.kind}_spans", _numbered(n)) for n, r in enumerate(rules)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     return F.transform(
         F.sort_array(every),
