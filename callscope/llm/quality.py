@@ -33,6 +33,8 @@ BUCKETS = 1 << 16
 RANK = 8
 SAMPLE = 12_000
 EPOCHS = 6
+#: Steps of 64 documents that a small sample is given at least.
+STEPS = 800
 ACCEPT = 0.3
 MEMORY = 400_000
 
@@ -146,13 +148,15 @@ class Machine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Mini-batch AdaGrad on the logistic loss; every pass over the rows in a new order."""
+    """Mini-batch AdaGrad on the logistic loss, both labels weighing the same; every pass
+    over the rows is in a new order."""
     noise = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(WIDTH, np.float32), noise.normal(0, 0.02, (WIDTH, RANK)).astype(np.float32))
     if not rows:
         return machine
-    good = np.mean([y for *_, y in rows])
-    machine.bias = float(np.log((good + 1e-3) / (1 - good + 1e-3)))
+    good = float(np.mean([y for *_, y in rows]))
+    weight = {1.0: 0.5 / max(good, 0.01), 0.0: 0.5 / max(1 - good, 0.01)}
+    epochs = max(epochs, -(-STEPS * 64 // len(rows)))
     linear_sum = np.full(WIDTH, 1e-2, np.float32)
     factor_sum = np.full((WIDTH, RANK), 1e-2, np.float32)
     for _ in range(epochs):
@@ -165,7 +169,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS,
             offsets = np.r_[0, np.cumsum(sizes)]
             margin, sums, vx = machine.margin(index, value, offsets)
             wrong = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - np.array([r[2] for r in part])
-            wrong = np.repeat(wrong.astype(np.float32) / len(part), sizes)
+            wrong *= np.array([weight[r[2]] for r in part]) / len(part)
+            wrong = np.repeat(wrong.astype(np.float32), sizes)
             machine.bias -= 0.05 * float(wrong[offsets[:-1]].sum())
             used, at = np.unique(index, return_inverse=True)
             step = wrong * value
