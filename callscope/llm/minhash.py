@@ -9,14 +9,17 @@ prefixes; they are skipped while pairs are found and only probed when a found pa
 collisions are counted. Candidates are confirmed on their full sets.
 
 No list is turned into all its pairs. Sets that are equal are one class. Then every
-prefix list first links its members to one leader; confirmed links are contracted, and
-what is in one component needs no more pairs. After that, members outside the
-component that most of a list belongs to are compared with the members of the
-list in other components. Every candidate pair is therefore either confirmed or refuted on its
-full sets, or already lies within one component, at every size of list.
+prefix list first links its members to one leader, the member whose coordinates are
+the most common (the original of a group of variants has them); confirmed links are
+contracted, and what is in one component needs no more pairs. After that, members outside
+the component that most of a list belongs to are compared with the members of the list
+in other components. Shingles that no other candidate has bound what a pair can
+share, and rule most pairs out before they are formed. Every candidate pair is
+therefore confirmed or refuted on its full sets, ruled out by an exact bound, or lies
+within one component already, at every size of list.
 
 Two sets with a Jaccard similarity of 0.75 share 48 of 64 coordinates on average; with
-fewer than 28 (probability about 1e-8) a pair would be missed.
+fewer than 30 (probability about 3e-7) a pair would be missed.
 
 Defined results: words are what lies between ASCII blanks, A-Z lower-cased; a text of one
 to four words is one shingle; a null text or one without words has an empty set and
@@ -39,7 +42,7 @@ from callscope.llm.components import components
 
 WORDS = 5
 COORDINATES = 64
-MATCHES = 28
+MATCHES = 30
 #: Similarity as a fraction of integers: 100 * both >= 75 * any.
 PER_CENT = 75
 
@@ -127,7 +130,7 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with class and all shingles of each text, as bytes of sorted 64-bit numbers."""
+    """``docs`` without the text, with class and all shingles of each text, sorted as unsigned numbers."""
 
     def make():
         shingles = Shingles()
@@ -136,17 +139,21 @@ def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
             sets = [shingles.of(value) for value in texts.to_pylist()]
             return [
                 pa.array([_set_number(s) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()),
+                    pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)),
+                ),
             ]
 
         return work
 
-    return with_columns(docs, text, [("class", "bigint"), ("shingles", "binary")], make, drop=text)
+    return with_columns(docs, text, [("class", "bigint"), ("shingles", "array<bigint>")], make, drop=text)
 
 
 def _shared(classes: DataFrame) -> DataFrame:
-    """``class, n, shared, prefix``: the coordinates each class shares with another one,
-    and the rarest of them that any candidate pair must meet in."""
+    """``class, n, weight, shared, prefix``: the coordinates each class shares with another
+    one (in 32 bits), how common they are, and the rarest of them, which any candidate pair
+    must meet in."""
     postings = classes.select("class", "n", F.explode("signature").alias("value"))
     often = postings.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
     gathered = postings.join(often, "value").groupBy("class").agg(
@@ -157,7 +164,8 @@ def _shared(classes: DataFrame) -> DataFrame:
     return gathered.where(F.size("found") >= MATCHES).select(
         "class",
         "n",
-        values.alias("shared"),
+        F.aggregate("found.often", F.lit(0).cast("bigint"), lambda total, x: total + x).alias("weight"),
+        F.transform(values, lambda v: v.bitwiseXOR(F.shiftright(v, 32)).bitwiseAND(0x7FFFFFFF).cast("int")).alias("shared"),
         F.slice(values, F.lit(1), F.size("found") - MATCHES + 1).alias("prefix"),
     )
 
@@ -181,7 +189,7 @@ def _confirmed(pairs: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFram
             a_set, b_set = batch.column("a_set"), batch.column("b_set")
             linked = []
             for x, y in zip(a_set, b_set):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 n = int((y[at] == x).sum())
                 linked.append(100 * n >= PER_CENT * (len(x) + len(y) - n))
@@ -190,9 +198,22 @@ def _confirmed(pairs: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFram
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _similar_size(a, b):
-    """Sets whose sizes alone do not rule the similarity out."""
-    return (100 * F.least(a, b)) >= (PER_CENT * F.greatest(a, b))
+def _may_link(n, s, other_n, other_s):
+    """Whether two sets can be similar enough: they have at most the smaller number of
+    shingles that are not theirs alone in common."""
+    both = F.least(s, other_s, n, other_n)
+    return (100 * both) >= (PER_CENT * (n + other_n - both))
+
+
+def _not_alone(sets: DataFrame) -> DataFrame:
+    """``class, s``: how many shingles of each set occur in another one."""
+    each = sets.select("class", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("class").alias("class"))
+    counts = alone.where("often = 1").groupBy("class").agg(F.count("*").alias("alone"))
+    sizes = sets.select("class", F.size("shingles").cast("bigint").alias("n"))
+    return sizes.join(counts, "class", "left").select(
+        "class", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")
+    )
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,14 +244,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         "sets",
     )
 
-    lists = shared.select("class", "n", F.explode("prefix").alias("value"))
-    leader = lists.groupBy("value").agg(
-        F.min_by("class", F.struct("n", "class")).alias("a"), F.min("n").alias("a_n")
+    possible = (
+        shared.join(_not_alone(sets), "class")
+        .where(_may_link(F.col("n"), F.col("s"), F.col("s"), F.col("s")))
     )
+    lists = keep(possible.select("class", "n", "s", "weight", F.explode("prefix").alias("value")), "lists")
+    leader = lists.groupBy("value").agg(F.max(F.struct("weight", "class", "n", "s")).alias("l"))
     starred = (
         lists.join(leader, "value")
-        .where((F.col("class") != F.col("a")) & _similar_size(F.col("n"), F.col("a_n")))
-        .select("a", F.col("class").alias("b"))
+        .where(
+            (F.col("class") != F.col("l.class"))
+            & _may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"))
+        )
+        .select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"))
         .distinct()
     )
     links = keep(_confirmed(starred, shared, sets), "confirmed")
@@ -250,11 +276,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
     open_lists = keep(placed.join(main, "value"), "open")
     outside = open_lists.where("root != main").select(
-        "value", F.col("class").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root")
+        "value",
+        F.col("class").alias("x"),
+        F.col("n").alias("x_n"),
+        F.col("s").alias("x_s"),
+        F.col("root").alias("x_root"),
     )
     rest = (
         outside.join(open_lists, "value")
-        .where((F.col("root") != F.col("x_root")) & _similar_size(F.col("n"), F.col("x_n")))
+        .where(
+            (F.col("root") != F.col("x_root"))
+            & _may_link(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"))
+        )
         .select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b"))
         .distinct()
     )

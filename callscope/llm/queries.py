@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from callscope.llm import bpe, minhash, mixing, nndescent, planes, quality, secrets, shards, templates, toplists
 from callscope.llm.common import ready, table, word_count
+from callscope.llm.oracle import ORACLE
 from callscope.llm.vectors import is_query, usable
 
+__all__ = ["ORACLE", "QUERIES", "VOCABULARY"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
