@@ -38,7 +38,7 @@ def _line(text: Column, more: Column, open_: Column) -> Column:
     """Start of a line: its first characters, whether text follows them, whether it goes on."""
     return F.struct(
         _left(text, _LINE).alias("text"),
-        (more | F.substring(text, _LINE + 1, 1 << 30).rlike(_NOT_BLANK)).alias("more"),
+        (more | F.substring(text, F.lit(_LINE + 1), F.length(text)).rlike(_NOT_BLANK)).alias("more"),
         open_.alias("open"),
     )
 

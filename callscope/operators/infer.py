@@ -6,56 +6,102 @@ import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscope.functions import constants as K
 from callscope.functions.text import extract_label
 from callscope.operators.policy import Rule
 
-Predict = Callable[[str], str]
+
+class Reply(NamedTuple):
+    """What one call came back with; ``error`` says why there is no text."""
+
+    text: str | None
+    input_tokens: int | None = None
+    cached_tokens: int | None = None
+    output_tokens: int | None = None
+    error: str | None = None
+
+
+Predict = Callable[[list[str]], Sequence[Reply]]
+
+_COUNTS = ("input_tokens", "cached_tokens", "output_tokens")
+_REPLY = (
+    T.StructType()
+    .add("response_text", "string")
+    .add("input_tokens", "long")
+    .add("cached_tokens", "long")
+    .add("output_tokens", "long")
+    .add("latency_ms", "decimal(18,2)")
+    .add("error", "string")
+)
+
+
+def _send(predict: Predict, texts: list[str | None]) -> tuple[Sequence[Reply], Decimal]:
+    started = time.perf_counter()
+    try:
+        replies = predict(texts)
+        if len(replies) != len(texts):
+            raise ValueError(f"{len(replies)} replies to {len(texts)} texts")
+    except Exception as failure:  # the run goes on, whatever the model raised
+        said = str(failure) or type(failure).__name__
+        replies = [Reply(None, error=said)] * len(texts)
+    return replies, Decimal(f"{(time.perf_counter() - started) * 1000:.2f}")
 
 
 def classify_batch(
-    messages: DataFrame, make_predict: Callable[[], Predict], text: str = "text"
+    messages: DataFrame,
+    make_predict: Callable[[], Predict],
+    text: str = "text",
+    batch_size: int = 64,
 ) -> DataFrame:
-    """Reply, label and latency per message; a failed call becomes an error row.
+    """A call row per message: reply, label, token counts, latency, error.
 
-    ``make_predict`` runs once per partition, in the worker, and returns the
-    function that sends one text: a client is built there, never pickled. A
+    ``make_predict`` runs once per partition, in the worker, and returns the function
+    that sends a list of texts: a client is built there, never pickled. What it raises is the
+    error of every text in that list; a reply may also carry an error of its own. A call's
+    latency is that of its list. The other columns pass through as Arrow arrays, untouched. A
     partition that is run again after a loss sends its messages again.
     """
-    columns = [field for field in messages.schema if field.name != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-    schema += ", response_text string, latency_ms decimal(18,2), error string"
-    names = [field.name for field in columns]
+    names = {f.name for f in _REPLY}
+    kept = [f for f in messages.schema if f.name != text and f.name not in names]
+    schema = T.StructType([*kept, *_REPLY])
+    sent = messages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").cast("string"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make_predict()
-        for batch in batches:
-            replies, latencies, errors = [], [], []
-            for value in batch[text]:
-                started = time.perf_counter()
-                try:
-                    replies.append(predict(value))
-                    errors.append(None)
-                except Exception as failure:  # the run goes on, whatever the model raised
-                    replies.append(None)
-                    errors.append(str(failure) or type(failure).__name__)
-                elapsed = (time.perf_counter() - started) * 1000
-                latencies.append(Decimal(f"{elapsed:.2f}"))
-            yield batch[names].assign(response_text=replies, latency_ms=latencies, error=errors)
-
-    replied = messages.mapInPandas(run, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_size):
+                batch = whole.slice(start, batch_size)
+                replies, latency = _send(predict, batch.column(len(kept)).to_pylist())
+                good = [r.error is None for r in replies]
+                arrays = [
+                    pa.array([r.text if ok else None for r, ok in zip(replies, good)], pa.string()),
+                    *[
+                        pa.array([getattr(r, c) if ok else None for r, ok in zip(replies, good)], pa.int64())
+                        for c in _COUNTS
+                    ],
+                    pa.array([latency] * len(replies), pa.decimal128(18, 2)),
+                    pa.array([r.error for r in replies], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays], names=schema.names)
+
+    replied = sent.mapInArrow(run, schema)
     return replied.withColumn(
         "label", F.when(F.col("error").isNull(), extract_label(F.col("response_text")))
     )
 
 
 def rule_predictor(rules: Sequence[Rule]) -> Callable[[], Predict]:
-    """A model stand-in that answers with the strictest verdict of the rules."""
+    """A model stand-in that answers with the strictest verdict of the rules.
+
+    It counts a character as a token and caches nothing.
+    """
 
     plain = [(K.SEVERITY[rule.verdict], rule.verdict, rule.pattern) for rule in rules]
     default = K.DEFAULT_VERDICT
@@ -63,10 +109,11 @@ def rule_predictor(rules: Sequence[Rule]) -> Callable[[], Predict]:
     def make() -> Predict:
         compiled = [(level, word, re.compile(pattern)) for level, word, pattern in plain]
 
-        def predict(value: str) -> str:
+        def answer(value: str) -> Reply:
             hits = [(level, word) for level, word, pattern in compiled if pattern.search(value)]
-            return max(hits)[1] if hits else default
+            word = max(hits)[1] if hits else default
+            return Reply(word, len(value), 0, 1)
 
-        return predict
+        return lambda texts: [answer(value) for value in texts]
 
     return make

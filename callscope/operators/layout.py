@@ -26,16 +26,14 @@ def column_widths(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def layout_lines(table: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows as text lines with every column padded to its width."""
-    widths = column_widths(table, columns)
+    widths = column_widths(table, columns).select(F.struct(*columns)).scalar()
+    # As a generated column the widths are one sub-query, not one per mention.
+    beside = table.select("*", F.explode_outer(F.array(widths)).alias("_widths"))
     cells = [
-        F.rpad(
-            F.coalesce(F.col(c).cast("string"), F.lit("")),
-            widths.select(F.col(c).cast("int")).scalar(),
-            F.lit(" "),
-        )
+        F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(f"_widths.{c}").cast("int"), F.lit(" "))
         for c in columns
     ]
-    return table.select(*keep, F.concat_ws(SEPARATOR, *cells).alias("line"))
+    return beside.select(*keep, F.concat_ws(SEPARATOR, *cells).alias("line"))
 
 
 def prompt_size(prompts: DataFrame, messages: DataFrame) -> DataFrame:

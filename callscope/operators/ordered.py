@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,9 +52,23 @@ def _position(df: DataFrame, at: str) -> Column:
     return F.col(at).cast("double")
 
 
-def order_key(order: Sequence[str]) -> Column:
-    """What extremum aggregates compare rows by: never NULL as a whole, ties included."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """What extremum aggregates compare rows by: never NULL as a whole, ties included.
+
+    A time and an id become one number of fixed length (NULL first, as in a sort): an
+    aggregate that compares by a structure cannot be hashed and would sort its rows.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    kinds = [df.schema[c].dataType for c in order]
+    timed = isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType))
+    if len(order) != 2 or not timed or not isinstance(kinds[1], T.IntegralType):
+        return F.struct(*order)
+    whole = T.DecimalType(38, 0)
+    at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    time = F.coalesce(at, F.lit(-(10**18))).cast("decimal(19,0)")
+    place = F.coalesce(F.col(order[1]).cast("decimal(19,0)") + F.lit(Decimal(2**63 + 1)), F.lit(Decimal(0)))
+    return ((time * F.lit(Decimal(2**33)) * F.lit(Decimal(2**32))).cast(whole) + place).cast(whole)
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:

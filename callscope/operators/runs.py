@@ -32,7 +32,7 @@ def warmups(calls: DataFrame) -> DataFrame:
 
     One aggregation: at most one row per run leaves each task.
     """
-    at = order_key(ORDER)
+    at = order_key(calls, ORDER)
     ok_latency = F.when(~M.is_error(F.col("error")), F.col("latency_ms"))
     first = calls.groupBy("run_id").agg(
         F.min_by("call_id", at).alias("warmup_call_id"),
@@ -78,7 +78,7 @@ def call_speedup(calls: DataFrame, **cut: int) -> DataFrame:
     """Each successful call against the first successful one of its run."""
     ok = ok_calls(calls)
     first = ok.groupBy("run_id").agg(
-        F.min_by("latency_ms", order_key(ORDER)).alias("first_latency_ms")
+        F.min_by("latency_ms", order_key(ok, ORDER)).alias("first_latency_ms")
     )
     return lookup(ok, first, "run_id", **cut).withColumn(
         "speedup", M.speedup(F.col("first_latency_ms"), F.col("latency_ms"))
@@ -97,7 +97,7 @@ def run_summary(calls: DataFrame, mode: str) -> DataFrame:
                        succeeded; warm are all other successes; needs one.
     """
     ok = ~M.is_error(F.col("error"))
-    at = order_key(ORDER)
+    at = order_key(calls, ORDER)
     if mode == "first_vs_rest":
         first = F.min_by("latency_ms", F.when(ok, at))
         usable = F.lit(True)
@@ -155,7 +155,8 @@ def compare_apis(
 def slowest_calls(calls: DataFrame, k: int, keys: tuple[str, ...] = ("cache_key",)) -> DataFrame:
     """The k slowest successful calls per key, with their rank.
 
-    The rank filter lets every task keep only its own k best before the shuffle.
+    The rank filter lets every task keep only its own k best before the shuffle, at
+    any k: the session settings lift the planner's bound on it.
     """
     window = Window.partitionBy(*keys).orderBy(
         F.desc("latency_ms"), "cached_tokens", "call_id"

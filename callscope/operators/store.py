@@ -6,7 +6,7 @@ response. Every id is unique, so the look-ups below join on a unique right side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import metrics as M
@@ -30,6 +30,15 @@ def delete(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select("response_id"), "response_id", "left_anti")
 
 
+def delete_outcomes(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """What became of each id to delete: ``deleted`` or ``not found``."""
+    stored = store.select("response_id", F.lit("deleted").alias("outcome"))
+    asked = ids.select("response_id").distinct()
+    return asked.join(stored, "response_id", "left").withColumn(
+        "outcome", F.coalesce("outcome", F.lit("not found"))
+    )
+
+
 def leak_audit(created: DataFrame, deleted: DataFrame) -> DataFrame:
     """Responses created but never deleted."""
     return created.join(deleted.select("response_id"), "response_id", "left_anti")
@@ -50,23 +59,31 @@ def dangling_parents(live: DataFrame, **cut: int) -> DataFrame:
 
 
 def first_stored(store: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """Id of the first response of each run: the one a follow-up chains to."""
-    first = F.min_by("response_id", order_key(order))
-    return store.groupBy(*keys).agg(first.alias("response_id"))
+    """Id of the first response of each run, if it completed: what a follow-up chains to."""
+    at = order_key(store, order)
+    done = F.col("status") == "completed" if "status" in store.columns else F.lit(True)
+    first = store.groupBy(*keys).agg(
+        F.min_by("response_id", at).alias("response_id"), F.min_by(done, at).alias("_done")
+    )
+    return first.where("_done").drop("_done")
 
 
 def output_token_stats(store: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Spread of the output tokens per completion."""
-    quantiles = F.percentile_approx("output_tokens", [0.5, 0.95], 10_000)
-    stats = store.groupBy(*keys).agg(
+    """Spread of the output tokens per completion; the quantiles are exact at any size.
+
+    A quantile's aggregate holds one count per distinct number of tokens, not per row.
+    """
+
+    def quantile(share: float) -> Column:
+        return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY output_tokens)").cast("bigint")
+
+    return store.groupBy(*keys).agg(
         F.count("output_tokens").alias("responses"),
         F.min("output_tokens").alias("min_tokens"),
         M.mean(F.sum("output_tokens"), F.count("output_tokens")).alias("mean_tokens"),
         F.max("output_tokens").alias("max_tokens"),
-        quantiles.alias("_q"),
-    )
-    return stats.withColumns({"p50_tokens": F.col("_q")[0], "p95_tokens": F.col("_q")[1]}).drop(
-        "_q"
+        quantile(0.5).alias("p50_tokens"),
+        quantile(0.95).alias("p95_tokens"),
     )
 
 

@@ -1,8 +1,10 @@
 """Time to first token: from stream chunks to an A/B verdict.
 
-Chunks have ``request_id, seq, ts, event_type, delta``; ``seq`` numbers the chunks
-of a request from 1. A request's chunks are reduced in levels of ``SPAN`` pieces,
-so no task ever holds all chunks of a long request.
+Requests have ``request_id, sent_at``, the moment the call was sent: that is where every
+time starts, as waiting and prefill come before the first chunk. Chunks have
+``request_id, seq, ts, event_type, delta``; ``seq`` numbers the chunks of a request
+from 1. A request's chunks are reduced in levels of ``SPAN`` pieces, so no task ever
+holds all chunks of a long request.
 """
 
 from __future__ import annotations
@@ -68,7 +70,6 @@ def _summarize_group(groups: DataFrame, typed: bool) -> DataFrame:
     joined = ordered.select(
         "request_id",
         "piece",
-        F.array_min(times).alias("start_at"),
         F.array_max(times).alias("end_at"),
         _first_token_at(F.col("rows"), typed).alias("token_at"),
         F.size("rows").cast("bigint").alias("chunks"),
@@ -78,13 +79,12 @@ def _summarize_group(groups: DataFrame, typed: bool) -> DataFrame:
     return joined.withColumn("text", fragments.summarize(F.col("text")))
 
 
-_FIELDS = ("start_at", "end_at", "token_at", "chunks", "done", "text")
+_FIELDS = ("end_at", "token_at", "chunks", "done", "text")
 
 
 def _merge(a: Column, b: Column) -> Column:
     """Two neighbouring pieces; what follows a completion is not read."""
     both = F.struct(
-        F.least(a["start_at"], b["start_at"]).alias("start_at"),
         F.greatest(a["end_at"], b["end_at"]).alias("end_at"),
         F.coalesce(a["token_at"], b["token_at"]).alias("token_at"),
         (a["chunks"] + b["chunks"]).alias("chunks"),
@@ -112,17 +112,27 @@ def _merge_level(pieces: DataFrame, span: int | None) -> DataFrame:
 
 
 def ttft_from_groups(
-    groups: DataFrame, typed: bool = False, span: int = SPAN, levels: int = LEVELS
+    groups: DataFrame,
+    requests: DataFrame,
+    typed: bool = False,
+    span: int = SPAN,
+    levels: int = LEVELS,
 ) -> DataFrame:
-    """Timing, label and chunk count per request from grouped chunks."""
+    """Timing, label and chunk count per request from grouped chunks.
+
+    Requests join after their chunks are reduced to one row. A request without chunks
+    has no token and no times; chunks without a request have no start to count from.
+    """
     pieces = _summarize_group(groups, typed)
     for level in range(levels):
         pieces = _merge_level(pieces, None if level == levels - 1 else span)
-    start, end = F.unix_micros("start_at"), F.unix_micros("end_at")
+    sent = requests.select("request_id", "sent_at")
+    timed = sent.join(pieces, "request_id", "full")
+    start, end = F.unix_micros("sent_at"), F.unix_micros("end_at")
     token = F.unix_micros("token_at")
-    return pieces.select(
+    return timed.withColumn("text", F.coalesce("text", fragments.empty())).select(
         "request_id",
-        "chunks",
+        F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
         (token - start).alias("ttft_us"),
         (end - start).alias("total_us"),
         F.col("token_at").isNull().alias("no_token"),
@@ -132,15 +142,19 @@ def ttft_from_groups(
 
 
 def ttft_from_chunks(
-    chunks: DataFrame, typed: bool = False, span: int = SPAN, levels: int = LEVELS
+    chunks: DataFrame,
+    requests: DataFrame,
+    typed: bool = False,
+    span: int = SPAN,
+    levels: int = LEVELS,
 ) -> DataFrame:
-    """Time to first token, total time and label of every request.
+    """Time to first token, total time and label of every request, from its sending on.
 
     ``typed`` reads typed events: only text deltas count, the first even if empty,
     and nothing after the completion event. Otherwise the first non-empty delta
-    counts. The start is the request's first chunk.
+    counts.
     """
-    return ttft_from_groups(group_chunks(chunks, span), typed, span, levels)
+    return ttft_from_groups(group_chunks(chunks, span), requests, typed, span, levels)
 
 
 def fill_missing_first_token(ttft: DataFrame) -> DataFrame:
@@ -149,7 +163,11 @@ def fill_missing_first_token(ttft: DataFrame) -> DataFrame:
 
 
 def ttft_tag(ttft: DataFrame, keys: tuple[str, ...] = ("api",), **cut: int) -> DataFrame:
-    """Number the calls of each condition; the first warm one is the cache write."""
+    """Number the calls of each condition; the first warm one is the cache write.
+
+    ``keys`` name what shares a cached prefix. A read has its ``read_speedup`` against
+    the mean of the cold calls of its keys, 0 where either time is missing or 0.
+    """
     numbered = ordinal(ttft, [*keys, "cond"], ORDER, "run_no", **cut)
     warm = F.col("cond") == K.WARM
     tag = (
@@ -157,26 +175,48 @@ def ttft_tag(ttft: DataFrame, keys: tuple[str, ...] = ("api",), **cut: int) -> D
         .when(warm, F.concat(F.lit("read "), (F.col("run_no") - 1).cast("string")))
         .otherwise(F.concat(F.lit("run "), F.col("run_no").cast("string")))
     )
-    return numbered.withColumn("tag", tag)
+    cold = F.col("cond") == K.COLD
+    timed = F.count_if(cold & F.col("ttft_ms").isNotNull())
+    means = ttft.groupBy(*keys).agg(
+        M.mean(F.sum(F.when(cold, F.col("ttft_ms"))), F.nullif(timed, F.lit(0))).alias("_cold")
+    )
+    named = means.select(*[F.col(k).alias(f"_{k}") for k in keys], "_cold")
+    same = [numbered[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+    speedup = F.coalesce(M.speedup(F.col("_cold"), F.col("ttft_ms")), F.lit(0.0))
+    return (
+        numbered.join(named, same)
+        .withColumn("tag", tag)
+        .withColumn("read_speedup", F.when(warm & (F.col("run_no") > 1), speedup))
+        .drop("_cold", *[f"_{k}" for k in keys])
+    )
 
 
-def ttft_ab(ttft: DataFrame, keys: tuple[str, ...] = ("api",)) -> DataFrame:
-    """Mean cold and warm time to first token, their ratio and the verdict.
+def ttft_ab(
+    ttft: DataFrame, keys: tuple[str, ...] = ("api",), session: tuple[str, ...] = ("cache_key",)
+) -> DataFrame:
+    """Mean cold and warm time to first token, their ratio and the verdict, per ``keys``.
 
-    The first warm call writes the cache and is left out of the warm mean. One
-    aggregation; groups as coarse as one API are summed up on the map side.
+    The first warm call of every session writes that session's cache and is left out of
+    the warm mean; ``session`` names the columns that share a cached prefix within
+    ``keys``. One aggregation per session, whose few sums are then added up per key.
     """
     cold, warm = F.col("cond") == K.COLD, F.col("cond") == K.WARM
     timed = F.col("ttft_ms").isNotNull()
-    grouped = ttft.groupBy(*keys).agg(
+    own = [c for c in session if c not in keys]
+    per_session = ttft.groupBy(*keys, *own).agg(
         F.sum(F.when(cold, F.col("ttft_ms"))).alias("_cold_sum"),
         F.count_if(cold & timed).alias("cold_runs"),
         F.sum(F.when(warm, F.col("ttft_ms"))).alias("_warm_sum"),
         F.count_if(warm & timed).alias("_warm_n"),
-        F.min_by("ttft_ms", F.when(warm & timed, order_key(ORDER))).alias("_write"),
+        F.min_by("ttft_ms", F.when(warm & timed, order_key(ttft, ORDER))).alias("_write"),
+    )
+    grouped = per_session.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("_cold_sum", "cold_runs", "_warm_sum", "_warm_n")],
+        F.sum("_write").alias("_write"),
+        F.count("_write").alias("_writes"),
     )
     write = F.coalesce(F.col("_write"), F.lit(0))
-    reads = F.col("_warm_n") - F.when(F.col("_write").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    reads = F.col("_warm_n") - F.col("_writes")
     means = grouped.select(
         *keys,
         "cold_runs",

@@ -294,8 +294,10 @@ def format_compliance(spark, sf_dir):
 
 @query
 def attach_baseline(spark, sf_dir):
-    warmed = runs.calls_after_warmup(V.load_calls(spark, sf_dir))
-    return warmed.select("call_id", "run_id", *_double("cold_latency_ms"))
+    """Every call of a run with a good warm-up, warm-ups as a table of their own."""
+    call_rows = V.load_calls(spark, sf_dir)
+    based = runs.attach_baseline(call_rows, runs.warmups(call_rows))
+    return based.select("call_id", "run_id", *_double("cold_latency_ms"))
 
 
 @query
@@ -315,7 +317,10 @@ def _store(spark, sf_dir):
 @query
 def retrieve(spark, sf_dir):
     created, gone = _store(spark, sf_dir)
-    got = store.retrieve(created.select("response_id"), store.delete(created, gone))
+    ids = created.select("response_id")
+    # Only what is shown of a text goes through the look-up.
+    created = created.withColumn("shown", X.long_preview(F.col("text"))).drop("text")
+    got = store.retrieve(ids, store.delete(created, gone))
     return got.select(
         "response_id",
         "found",
@@ -324,10 +329,18 @@ def retrieve(spark, sf_dir):
         "input_tokens",
         "output_tokens",
         F.unix_micros("created_ts").alias("created_us"),
-        X.long_preview(F.col("text")).alias("shown"),
+        "shown",
     )
 
 
+@query
+def delete_outcomes(spark, sf_dir):
+    """Outcome per id; some ids to delete were never stored."""
+    created, gone = _store(spark, sf_dir)
+    ids = gone.unionByName(gone.select((-1 - F.col("response_id")).alias("response_id")))
+    return store.delete_outcomes(created, ids)
+
+
 @query
 def delete_stored(spark, sf_dir):
     created, gone = _store(spark, sf_dir)
@@ -385,8 +398,12 @@ def compare_apis(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
+    """Verdicts of the documents that have a label; only those are judged."""
+    labelled = V.table(spark, sf_dir, "labels").select("doc_id")
+    documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
     verdict = policy.policy_verdict(F.col("text"), V.RULES)
-    return V.table(spark, sf_dir, "documents").select("doc_id", verdict.alias("label"))
+    wanted = documents.join(labelled, "doc_id", "left_semi")
+    return wanted.select("doc_id", verdict.alias("label"))
 
 
 def _expected(spark, sf_dir):
@@ -466,7 +483,9 @@ def label_distribution(spark, sf_dir):
 
 @query
 def key_hygiene(spark, sf_dir):
-    return cache.key_hygiene(V.load_calls(spark, sf_dir), "prompt_version")
+    """Keys against prompt texts; each version is one row before its text is joined."""
+    used = V.load_calls(spark, sf_dir).select("cache_key", "prompt_version").distinct()
+    return cache.key_hygiene(used.join(V.load_openings(spark, sf_dir), "prompt_version"), "text")
 
 
 @query
@@ -503,8 +522,8 @@ def call_ordinal(spark, sf_dir):
 
 @query
 def ttft_tag(spark, sf_dir):
-    tagged = ttft.ttft_tag(V.ttft(V.load_calls(spark, sf_dir)))
-    return tagged.select("call_id", "api", "cond", "tag")
+    tagged = ttft.ttft_tag(V.ttft(V.load_calls(spark, sf_dir)), ("api", "cache_key"))
+    return tagged.select("call_id", "api", "cond", "tag", "read_speedup")
 
 
 @query
@@ -552,12 +571,13 @@ def _micros(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def ttft_from_chunks(spark, sf_dir):
-    return ttft.ttft_from_chunks(V.load_chunks(spark, sf_dir))
+    return ttft.ttft_from_chunks(V.load_chunks(spark, sf_dir), V.load_requests(spark, sf_dir))
 
 
 @query
 def ttft_typed_events(spark, sf_dir):
-    timed = ttft.ttft_from_chunks(V.load_chunks(spark, sf_dir), typed=True)
+    requests_sent = V.load_requests(spark, sf_dir)
+    timed = ttft.ttft_from_chunks(V.load_chunks(spark, sf_dir), requests_sent, typed=True)
     return ttft.fill_missing_first_token(timed)
 
 
@@ -572,7 +592,8 @@ def ttft_from_chunks_stream(spark, sf_dir):
     gathered = live.run_once(
         live.chunk_stream(live.read_log(spark, path), WINDOW, DELAY), "chunk-groups"
     )
-    return live.ttft_view(gathered, spark.read.parquet(path), WINDOW)
+    chunks = spark.read.parquet(path)
+    return live.ttft_view(gathered, chunks, V.load_requests(spark, sf_dir), WINDOW)
 
 
 @query
@@ -623,4 +644,4 @@ def classify_batch(spark, sf_dir):
     """Whole documents sent to a model stand-in, one client per partition."""
     documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
     answered = infer.classify_batch(documents, infer.rule_predictor(V.RULES))
-    return answered.select("doc_id", "label", "error")
+    return answered.select("doc_id", "label", "input_tokens", "cached_tokens", "error")

@@ -43,8 +43,13 @@ proof AS (
          CASE WHEN user_tokens < 50 AND api = 'responses' THEN concat('iso-', call_id // 4)
               ELSE cache_key END AS cache_key
   FROM calls),
+sent AS (
+  SELECT CASE WHEN answered THEN user_id ELSE -1 - user_id END AS request_id,
+         epoch_us(min(ts)) - 250000 - (user_id % 5) * 100000 AS sent_us
+  FROM base, (VALUES (true), (false)) AS v(answered)
+  WHERE answered OR user_id % 50 = 0 GROUP BY user_id, answered),
 ttft AS (
-  SELECT api, call_id, started_at, latency_ms AS ttft_ms,
+  SELECT api, cache_key, call_id, started_at, latency_ms AS ttft_ms,
          CASE WHEN user_tokens < 50 THEN 'COLD' ELSE 'WARM' END AS cond
   FROM calls),
 chunks AS (
@@ -141,7 +146,8 @@ FROM (SELECT {keys},
           / nullif(count(*) FILTER (cond = 'COLD'), 0) AS cold_ttft_ms,
         CAST(sum(ttft_ms) FILTER (cond = 'WARM' AND n > 1) AS DOUBLE)
           / nullif(count(*) FILTER (cond = 'WARM' AND n > 1), 0) AS warm_ttft_ms
-      FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, cond ORDER BY started_at, call_id) AS n
+      FROM (SELECT *, row_number() OVER (
+              PARTITION BY {keys}, cache_key, cond ORDER BY started_at, call_id) AS n
             FROM ({source})) GROUP BY {keys})"""
 
 
@@ -198,17 +204,18 @@ def _ttft(typed: bool) -> str:
         if typed
         else "SELECT * FROM chunks"
     )
-    ttft = "epoch_us(token_at) - epoch_us(start_at)"
-    total = "epoch_us(end_at) - epoch_us(start_at)"
+    ttft = "epoch_us(token_at) - sent_us"
+    total = "epoch_us(end_at) - sent_us"
     if typed:
         ttft = f"coalesce({ttft}, {total})"
     return f"""
-SELECT request_id, chunks, {ttft} AS ttft_us, {total} AS total_us,
+SELECT request_id, coalesce(chunks, 0) AS chunks, {ttft} AS ttft_us, {total} AS total_us,
        token_at IS NULL AS no_token, length(text) AS text_chars, {label("text")} AS label
-FROM (SELECT request_id, count(*) AS chunks, min(ts) AS start_at, max(ts) AS end_at,
+FROM (SELECT request_id, sent_us, chunks, token_at, end_at, coalesce(text, '') AS text
+      FROM sent FULL JOIN (SELECT request_id, count(*) AS chunks, max(ts) AS end_at,
              arg_min(ts, seq) FILTER ({token}) AS token_at,
              coalesce(string_agg(delta, '' ORDER BY seq) FILTER ({text}), '') AS text
-      FROM ({read}) GROUP BY request_id)"""
+      FROM ({read}) GROUP BY request_id) USING (request_id))"""
 
 
 _GAPS = """
@@ -343,7 +350,8 @@ BODIES: dict[str, str] = {
             / count(*) AS compliance
         FROM calls GROUP BY api""",
     "attach_baseline": """
-        SELECT call_id, run_id, CAST(cold_latency_ms AS DOUBLE) AS cold_latency_ms FROM warmed""",
+        SELECT call_id, run_id, CAST(cold_latency_ms AS DOUBLE) AS cold_latency_ms
+        FROM calls JOIN warmups USING (run_id)""",
     "with_warmup": """
         SELECT run_id, call_id, CAST(cold_latency_ms AS DOUBLE) AS cold_latency_ms FROM warmed
         UNION ALL SELECT run_id, warmup_call_id, NULL FROM warmups""",
@@ -356,6 +364,9 @@ BODIES: dict[str, str] = {
             THEN substr(l.text, 1, 120) || ' … [' || length(l.text) || ' chars stored in full]'
             ELSE l.text END AS shown
         FROM stored s LEFT JOIN live l USING (response_id)""",
+    "delete_outcomes": """
+        SELECT response_id, 'deleted' AS outcome FROM deleted
+        UNION ALL SELECT -1 - response_id, 'not found' FROM deleted""",
     "delete_stored": "SELECT response_id, role FROM live",
     "leak_audit": """
         SELECT role, count(*) AS leaked, CAST(sum(input_tokens) AS BIGINT) AS input_tokens
@@ -409,7 +420,7 @@ BODIES: dict[str, str] = {
     "summary_against": _BASELINE,
     "ttft_ab": _ab("SELECT * FROM ttft", "api"),
     "ttft_ab_per_group": _ab(
-        """SELECT api, call_id % 7 AS test_group, call_id, started_at, ttft_ms,
+        """SELECT api, call_id % 7 AS test_group, cache_key, call_id, started_at, ttft_ms,
            CASE WHEN isolation_key IS NOT NULL OR cache_key LIKE 'iso-%' THEN 'COLD'
                 ELSE 'WARM' END AS cond FROM proof""",
         "api, test_group",
@@ -432,12 +443,13 @@ BODIES: dict[str, str] = {
         SELECT api, {label("response_text")} AS label, count(*) AS calls FROM good GROUP BY 1, 2""",
     "key_hygiene": """
         SELECT 'key with several prefixes' AS finding, cache_key AS value,
-          count(DISTINCT prompt_version) AS others
-        FROM calls GROUP BY cache_key HAVING count(DISTINCT prompt_version) > 1
+          count(DISTINCT text) AS others
+        FROM calls JOIN conversations ON conv_id = prompt_version AND turn = 0
+        GROUP BY cache_key HAVING count(DISTINCT text) > 1
         UNION ALL
-        SELECT 'prefix under several keys', sha256(CAST(prompt_version AS VARCHAR)),
-          count(DISTINCT cache_key)
-        FROM calls GROUP BY prompt_version HAVING count(DISTINCT cache_key) > 1""",
+        SELECT 'prefix under several keys', sha256(text), count(DISTINCT cache_key)
+        FROM calls JOIN conversations ON conv_id = prompt_version AND turn = 0
+        GROUP BY text HAVING count(DISTINCT cache_key) > 1""",
     "output_tokens": """
         SELECT role, count(*) AS responses, min(output_tokens) AS min_tokens,
           CAST(sum(output_tokens) AS DOUBLE) / count(*) AS mean_tokens,
@@ -466,9 +478,15 @@ BODIES: dict[str, str] = {
     "call_ordinal": "SELECT call_id, rn AS call_no FROM ordered",
     "ttft_tag": """
         SELECT call_id, api, cond, CASE WHEN cond = 'COLD' THEN 'run ' || n
-          WHEN n = 1 THEN 'write' ELSE 'read ' || (n - 1) END AS tag
-        FROM (SELECT *, row_number() OVER (PARTITION BY api, cond ORDER BY started_at, call_id) AS n
-              FROM ttft)""",
+          WHEN n = 1 THEN 'write' ELSE 'read ' || (n - 1) END AS tag,
+          CASE WHEN cond = 'WARM' AND n > 1
+               THEN coalesce(cold / nullif(CAST(ttft_ms AS DOUBLE), 0), 0) END AS read_speedup
+        FROM (SELECT *, row_number() OVER (
+                PARTITION BY api, cache_key, cond ORDER BY started_at, call_id) AS n
+              FROM ttft)
+        JOIN (SELECT api, cache_key, CAST(sum(ttft_ms) FILTER (cond = 'COLD') AS DOUBLE)
+                / nullif(count(ttft_ms) FILTER (cond = 'COLD'), 0) AS cold
+              FROM ttft GROUP BY api, cache_key) USING (api, cache_key)""",
     "call_speedup": """
         SELECT call_id, coalesce(CAST(first_value(latency_ms) OVER (PARTITION BY run_id
           ORDER BY started_at, call_id) AS DOUBLE) / nullif(CAST(latency_ms AS DOUBLE), 0), 0)
@@ -515,7 +533,9 @@ BODIES: dict[str, str] = {
         SELECT d.msg_id, {WORDS} AS verdict, coalesce(categories, '') AS categories
         FROM ({_verdict("messages", "msg_id")}) d""",
     "label_stream": f"SELECT call_id, {label('response_text')} AS label FROM calls",
-    "classify_batch": f"SELECT doc_id, label, CAST(NULL AS VARCHAR) AS error FROM {_judged()}",
+    "classify_batch": f"""
+        SELECT doc_id, label, length(text) AS input_tokens, CAST(0 AS BIGINT) AS cached_tokens,
+          CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
 ORACLE = {name: VIEWS + body for name, body in BODIES.items()}

@@ -102,7 +102,12 @@ def proof_calls(call_rows: DataFrame) -> DataFrame:
 def ttft(call_rows: DataFrame) -> DataFrame:
     cond = F.when(F.col("user_tokens") < 50, K.COLD).otherwise(K.WARM)
     return call_rows.select(
-        "api", "call_id", "started_at", F.col("latency_ms").alias("ttft_ms"), cond.alias("cond")
+        "api",
+        "cache_key",
+        "call_id",
+        "started_at",
+        F.col("latency_ms").alias("ttft_ms"),
+        cond.alias("cond"),
     )
 
 
@@ -140,6 +145,22 @@ def load_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(table(spark, sf_dir, "events"))
 
 
+def chunk_requests(events: DataFrame) -> DataFrame:
+    """When the requests of the chunks were sent: 250 to 650 ms before their first chunk.
+
+    Every fiftieth user sent another request, which was never answered.
+    """
+    user = F.col("user_id")
+    first = events.groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"))
+    sent = F.timestamp_micros(F.col("at") - 250_000 - (user % 5) * 100_000).alias("sent_at")
+    unanswered = first.where(user % 50 == 0).select((-1 - user).alias("request_id"), sent)
+    return first.select(user.alias("request_id"), sent).unionByName(unanswered)
+
+
+def load_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_requests(table(spark, sf_dir, "events"))
+
+
 def _response_id(turn: Column) -> Column:
     return F.col("conv_id") * 1000 + turn
 
@@ -172,6 +193,12 @@ def load_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts(table(spark, sf_dir, "conversations"))
 
 
+def load_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn of every conversation, as the prompt its number stands for."""
+    first = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+    return first.select(F.col("conv_id").alias("prompt_version"), "text")
+
+
 def stored(conversations: DataFrame) -> DataFrame:
     """Every turn as a stored response that follows the turn before."""
     turn = F.col("turn")
@@ -226,7 +253,7 @@ def _reply_responses() -> Column:
     )
     reply = F.struct(
         F.lit(K.MESSAGE_ITEM).alias("type"),
-        F.array(part(F.substring(text, 1, 3)), part(F.substring(text, 4, 1 << 30))).alias("content"),
+        F.array(part(F.substring(text, 1, 3)), part(F.expr("substring(response_text, 4)"))).alias("content"),
     )
     return F.to_json(
         F.struct(F.array(thinking, reply).alias("output"), usage.alias("usage"))

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A rank filter cuts every task's rows before the shuffle, whatever the rank.
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     # Streamed sessions of one key are merged in every task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

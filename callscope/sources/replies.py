@@ -115,5 +115,27 @@ def normalize_usage(raw: DataFrame) -> DataFrame:
 
 
 def capture_errors(raw: DataFrame) -> DataFrame:
-    """Only the failed calls, with what they said."""
-    return parse_replies(raw).where(F.col("error").isNotNull())
+    """Only the failed calls, with what they said.
+
+    A body is parsed once, and only to see whether it is whole; a filter on the error
+    itself would be pushed below its projection and parse once more.
+    """
+    reply = F.from_json(
+        F.col("body"),
+        "_corrupt_record string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
+    )
+    failure = _failure(F.col("status"), F.col("body"), reply)
+    kept = [F.col(c) for c in raw.columns if c != "body"]
+    failed = raw.select(*kept, "body", F.explode_outer(F.array(failure)).alias("error"))
+    return failed.where(F.col("error").isNotNull()).select(
+        *kept,
+        "error",
+        F.substring("body", 1, K.ERROR_PREVIEW).alias("error_body"),
+        F.lit(None).cast("string").alias("response_text"),
+        *[
+            F.lit(None).cast("bigint").alias(c)
+            for c in ("input_tokens", "cached_tokens", "output_tokens")
+        ],
+        F.lit(None).cast("string").alias("label"),
+    )

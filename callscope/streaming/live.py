@@ -111,6 +111,7 @@ def chunk_stream(
 def ttft_view(
     closed: DataFrame,
     chunks: DataFrame,
+    requests: DataFrame,
     width: str,
     typed: bool = False,
     span: int = ttft.SPAN,
@@ -123,7 +124,7 @@ def ttft_view(
     groups = pieces.groupBy("request_id", "piece").agg(
         F.flatten(F.collect_list("rows")).alias("rows")
     )
-    return ttft.ttft_from_groups(groups, typed, span, levels)
+    return ttft.ttft_from_groups(groups, requests, typed, span, levels)
 
 
 def classify_stream(messages: DataFrame, rules: Sequence[policy.Rule]) -> DataFrame:

@@ -70,11 +70,18 @@ def test_filters_reach_the_scan(spark, sf_dir):
 )
 def test_summaries_shuffle_once_and_only_partial_aggregates(spark, sf_dir, make):
     plan = executed(make(V.load_calls(spark, sf_dir)))
-    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+    assert "Window" not in plan and "Join" not in plan
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    # The A/B test is summed up per session, then per report key.
+    assert plan.count("Exchange") == (2 if "_write" in plan else 1)
     below = plan[plan.index("Exchange") :]
     assert "partial_" in below
 
 
+def test_call_speedup_hashes_its_first_calls(spark, sf_dir):
+    assert "SortAggregate" not in executed(runs.call_speedup(V.load_calls(spark, sf_dir)))
+
+
 def test_ordinary_keys_cost_one_window_and_no_join(spark, sf_dir):
     plan = executed(runs.call_ordinal(V.load_calls(spark, sf_dir)))
     assert plan.count("Window ") == 1 and "Join" not in plan
@@ -85,6 +92,8 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf_dir):
     plan = executed(runs.slowest_calls(V.load_calls(spark, sf_dir), 3))
     shuffle, partial = plan.index("Exchange"), plan.index("3, Partial")
     assert partial > shuffle
+    many = executed(runs.slowest_calls(V.load_calls(spark, sf_dir), 1_001))
+    assert many.index("1001, Partial") > many.index("Exchange")
     assert "TakeOrdered" in planned(runs.slowest_overall(V.load_calls(spark, sf_dir), 3))
 
 
@@ -115,9 +124,18 @@ def test_lookup_equals_a_plain_join(spark, how, cut):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_policy_compiles_its_patterns_once(spark, sf_dir):
-    plan = planned(QUERIES["apply_policy"](spark, sf_dir))
-    assert plan.count("RLIKE") == 3
+@pytest.mark.parametrize("name", ["apply_policy", "accuracy", "confusion"])
+def test_policy_matches_its_patterns_once(spark, sf_dir, name):
+    assert executed(QUERIES[name](spark, sf_dir)).count("RLIKE") == 3
+
+
+def test_failed_bodies_are_parsed_once(spark, sf_dir):
+    assert executed(QUERIES["error_rows"](spark, sf_dir)).count("from_json") == 1
+
+
+def test_layout_lines_find_their_widths_in_one_pass(spark, sf_dir):
+    plan = planned(QUERIES["layout_lines"](spark, sf_dir))
+    assert len(set(re.findall(r"Subquery subquery#\d+", plan))) == 1
 
 
 def test_chains_survive_without_local_checkpoints(spark, sf_dir):

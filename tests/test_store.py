@@ -133,3 +133,16 @@ def test_a_circle_is_refused(spark):
     )
     with pytest.raises(ValueError):
         store.chain_links(df)
+
+
+def test_quantiles_are_exact_beyond_a_million_rows(spark):
+    tokens = spark.range(2_000_000).select(F.lit("a").alias("role"), F.col("id").alias("output_tokens"))
+    row = store.output_token_stats(tokens, ("role",)).first()
+    assert (row.p50_tokens, row.p95_tokens) == (999_999, 1_899_999)
+
+
+def test_outcome_per_deletion(spark):
+    kept = spark.createDataFrame([(1,), (2,)], "response_id bigint")
+    asked = spark.createDataFrame([(2,), (2,), (3,)], "response_id bigint")
+    found = {r.response_id: r.outcome for r in store.delete_outcomes(kept, asked).collect()}
+    assert found == {2: "deleted", 3: "not found"}

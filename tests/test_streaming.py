@@ -71,11 +71,11 @@ def test_chunks(spark, sf_dir, tmp_path, typed):
     _write_in_order(V.load_chunks(spark, sf_dir), "ts", 4, path)
     stream = live.read_log(spark, path, files_per_batch=1)
     closed = live.run_once(live.chunk_stream(stream, "1 DAY", "1 HOUR", span=16), "groups")
-    chunks = spark.read.parquet(path)
+    chunks, requests = spark.read.parquet(path), V.load_requests(spark, sf_dir)
     assert closed.count() > 0
     _equal(
-        live.ttft_view(closed, chunks, "1 DAY", typed, span=16, levels=2),
-        ttft.ttft_from_chunks(chunks, typed),
+        live.ttft_view(closed, chunks, requests, "1 DAY", typed, span=16, levels=2),
+        ttft.ttft_from_chunks(chunks, requests, typed),
     )
 
 

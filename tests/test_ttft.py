@@ -30,6 +30,7 @@ def recorded(spark):
     df = spark.createDataFrame(rows, "api string, cond string, at double, call_id int, ms double")
     return df.select(
         "api",
+        F.lit("one").alias("cache_key"),
         "cond",
         "call_id",
         F.timestamp_seconds("at").alias("started_at"),
@@ -53,6 +54,28 @@ def test_ab_without_warm_reads(recorded):
     assert all(row.warm_reads == 0 and row.speedup == 0.0 for row in cold_only)
 
 
+def test_every_session_has_a_write_of_its_own(spark):
+    """Two keys, writes 1000 ms, reads 500 ms, cold calls 1000 ms."""
+    rows = [
+        (key, cond, i, ms)
+        for key in ("a", "b")
+        for i, (cond, ms) in enumerate([("COLD", 1000), ("WARM", 1000), ("WARM", 500), ("WARM", 500)])
+    ]
+    df = spark.createDataFrame(rows, "cache_key string, cond string, call_id int, ms int").select(
+        F.lit("x").alias("api"), "cache_key", "cond", "call_id",
+        F.timestamp_seconds("call_id").alias("started_at"),
+        F.col("ms").cast("decimal(18,2)").alias("ttft_ms"),
+    )
+    row = ttft.ttft_ab(df).first()
+    assert (row.warm_ttft_ms, row.speedup, row.warm_reads, row.cold_runs) == (500.0, 2.0, 4, 2)
+    tagged = ttft.ttft_tag(df, ("api", "cache_key")).where("cache_key = 'a'").orderBy("call_id").collect()
+    assert [(r.tag, r.read_speedup) for r in tagged] == [
+        ("run 1", None), ("write", None), ("read 1", 2.0), ("read 2", 2.0),
+    ]
+    nothing = ttft.ttft_tag(df.withColumn("ttft_ms", F.lit(0).cast("decimal(18,2)")), ("api", "cache_key"))
+    assert {r.read_speedup for r in nothing.where("tag LIKE 'read%'").collect()} == {0.0}
+
+
 def test_tags(recorded):
     tagged = ttft.ttft_tag(recorded).where("api = 'chat-1'").orderBy("cond", "call_id").collect()
     assert [r.tag for r in tagged] == [
@@ -85,6 +108,14 @@ def chunks(spark):
     return df.withColumn("ts", F.timestamp_seconds("at")).drop("at").repartition(5)
 
 
+@pytest.fixture(scope="module")
+def requests(spark):
+    """Requests sent half a second before their first chunk; the last one got none."""
+    rows = [(r, 100.0 * r + 1 / 8 - 0.5) for r in [*REQUESTS, 99]]
+    df = spark.createDataFrame(rows, "request_id bigint, at double")
+    return df.withColumn("sent_at", F.timestamp_seconds("at")).drop("at")
+
+
 def brute_force(spark, typed):
     """Timing in plain Python; the label from the whole text of each request."""
     rows = []
@@ -103,12 +134,13 @@ def brute_force(spark, typed):
             (
                 request,
                 len(read),
-                (tokens[0] - first) * 125_000 if tokens else None,
-                (last - first) * 125_000,
+                500_000 + (tokens[0] - first) * 125_000 if tokens else None,
+                500_000 + (last - first) * 125_000,
                 not tokens,
                 "".join(d for _, d in text),
             )
         )
+    rows.append((99, 0, None, None, True, ""))
     df = spark.createDataFrame(
         rows,
         "request_id bigint, chunks bigint, ttft_us bigint, total_us bigint, no_token boolean, text string",
@@ -122,13 +154,25 @@ def brute_force(spark, typed):
 
 @pytest.mark.parametrize("typed", [False, True])
 @pytest.mark.parametrize("span,levels", [(1024, 3), (2, 6), (3, 2), (4, 1), (7, 3)])
-def test_chunks_in_any_grouping(spark, chunks, typed, span, levels):
-    got = ttft.ttft_from_chunks(chunks, typed, span, levels).collect()
+def test_chunks_in_any_grouping(spark, chunks, requests, typed, span, levels):
+    got = ttft.ttft_from_chunks(chunks, requests, typed, span, levels).collect()
     assert sorted(got) == sorted(brute_force(spark, typed).collect())
 
 
-def test_missing_first_token_falls_back_to_total(chunks):
-    filled = ttft.fill_missing_first_token(ttft.ttft_from_chunks(chunks, typed=True))
+def test_first_token_is_timed_from_the_sending(chunks, requests):
+    """Request 3's text begins with its third chunk, request 5's with its first."""
+    timed = {r.request_id: r for r in ttft.ttft_from_chunks(chunks, requests).collect()}
+    assert timed[5].ttft_us == 500_000
+    assert timed[3].ttft_us == 500_000 + 2 * 125_000
+    unsent = ttft.ttft_from_chunks(chunks, requests.where("request_id != 5")).collect()
+    row = next(r for r in unsent if r.request_id == 5)
+    assert row.ttft_us is None and not row.no_token and row.chunks == 53
+
+
+def test_missing_first_token_falls_back_to_total(chunks, requests):
+    timed = ttft.ttft_from_chunks(chunks, requests, typed=True)
+    filled = ttft.fill_missing_first_token(timed)
     rows = {r.request_id: r for r in filled.collect()}
+    assert rows[99].no_token and rows[99].ttft_us is None and rows[99].chunks == 0
     assert rows[4].no_token and rows[4].ttft_us == rows[4].total_us
     assert not rows[2].no_token
