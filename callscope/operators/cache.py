@@ -130,7 +130,7 @@ def warm_sessions(calls: DataFrame, retention: str, **cut: int) -> DataFrame:
     of the log is cut into slices and its sessions are summed up on the map side.
     """
     keys = ["cache_key"]
-    sliced = slice_hot_keys(calls, keys, ORDER[0], **cut)
+    sliced = slice_hot_keys(calls, keys, ORDER, **cut)
     gaps = sliced_previous(sliced, keys, ORDER, "started_at", "_before").map(
         lambda part: _gap_columns(part, retention)
     )

@@ -1,11 +1,12 @@
 """Ordinal, previous value and running sum per key, safe for hot keys.
 
 A plain window puts all rows of a key into one task. Here a key that holds a
-large share of the table is cut into slices along its order column; each slice
-is one window partition, and what it needs from earlier slices (a count, a last
-value, a sum) comes from a small carry table. Other keys keep a single slice.
-Every figure the cut depends on is a count, minimum or maximum, so a recomputed
-task cuts the same way.
+large share of the table is cut into slices along its whole order (time and tie-break as
+one number, so rows of one instant are cut too); each slice is one window partition, and
+what it needs from earlier slices (a count, a last value, a sum) comes from a small carry
+table. Other keys keep a single slice. Slices that are still too full, as beside a
+stray early row, are cut again within their own bounds, level after level. Every figure
+the cut depends on is a count, minimum or maximum, so a recomputed task cuts the same way.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHARE = 20_000
 SLICES_PER_SHARE = 8
 # Keys with fewer rows than this are never cut.
 FLOOR = 1_000_000
+# How often an overfull slice is cut again; each level zooms in on the rows it holds.
+LEVELS = 3
 
 
 @dataclass(frozen=True)
@@ -45,11 +48,17 @@ class Sliced:
         return Sliced(step(self.rows), step(self.hot))
 
 
-def _position(df: DataFrame, at: str) -> Column:
-    """``at`` as a number that grows with it; NULL first, as in an ascending sort."""
-    if isinstance(df.schema[at].dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(at).cast("timestamp")).cast("double")
-    return F.col(at).cast("double")
+def _position(df: DataFrame, order: Sequence[str]) -> Column:
+    """The place in the order as a number that grows along it; NULL first, as in a sort.
+
+    An order of another shape than a time and an id is cut along its first column only.
+    """
+    key = order_key(df, order)
+    if isinstance(df.select(key.alias("k")).schema["k"].dataType, T.DecimalType):
+        return key
+    if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double")
+    return F.col(order[0]).cast("double")
 
 
 def order_key(df: DataFrame, order: Sequence[str]) -> Column:
@@ -90,8 +99,8 @@ def _lookup(
     )
 
 
-def _ranges(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    return df.select(*keys, _position(df, at).alias("_at")).groupBy(*keys).agg(
+def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.select(*keys, _position(df, order).alias("_at")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")
     )
 
@@ -105,9 +114,13 @@ def _hot_keys(
     )
 
 
-def _cut(df: DataFrame, hot_keys: DataFrame, keys: Sequence[str], at: str, how: str) -> DataFrame:
+def _cut(
+    df: DataFrame, hot_keys: DataFrame, keys: Sequence[str], order: Sequence[str], how: str
+) -> DataFrame:
     """Number the equal-width slices of every hot key; NULL for the other rows."""
-    along = (_position(df, at) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    # Differences are exact; only then does a share of the width become a double.
+    behind = (_position(df, order) - F.col("_lo")).cast("double")
+    along = behind / ((F.col("_hi") - F.col("_lo")).cast("double") + 1)
     number = F.floor(F.coalesce(along, F.lit(-1.0)) * F.col("_slices")).cast("bigint")
     return (
         _lookup(df, hot_keys, keys, how)
@@ -119,35 +132,34 @@ def _cut(df: DataFrame, hot_keys: DataFrame, keys: Sequence[str], at: str, how:
 def slice_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
-    at: str,
+    order: Sequence[str],
     *,
     share: int = SHARE,
     floor: int = FLOOR,
-    levels: int = 1,
+    levels: int = LEVELS,
 ) -> Sliced:
-    """Add ``_slice``: NULL for an ordinary key, else a number that grows with ``at``.
+    """Add ``_slice``: NULL for an ordinary key, else a number that grows along ``order``.
 
-    Slices have equal width in ``at``, several times as many as an even spread
-    needs. Where a hot key's rows come in sharp bursts, a second level cuts its
-    overfull slices again, at one more pass over hot rows.
+    Slices of a level have equal width, several times as many as an even spread
+    needs; each further level takes one more pass over the rows of hot keys.
     """
     keys = list(keys)
-    ranges = _ranges(df, keys, at)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    ranges = _ranges(df, keys, order)
+    total = ranges.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     hot_keys = _hot_keys(ranges, keys, total, share, floor)
     sliced = Sliced(
         *[
-            _cut(df, hot_keys, keys, at, how).withColumnRenamed("_cut", SLICE)
+            _cut(df, hot_keys, keys, order, how).withColumnRenamed("_cut", SLICE)
             for how in ("left", "inner")
         ]
     )
     for _ in range(levels - 1):
         finer_keys = [*keys, SLICE]
-        finer = _hot_keys(_ranges(sliced.hot, finer_keys, at), finer_keys, total, share, floor)
+        finer = _hot_keys(_ranges(sliced.hot, finer_keys, order), finer_keys, total, share, floor)
         room = 1 << 20  # more than the slices one level can make
         number = F.col(SLICE) * room + room // 2 + F.coalesce(F.col("_cut"), F.lit(0))
         sliced = sliced.map(
-            lambda part, keys=finer_keys, hot=finer: _cut(part, hot, keys, at, "left")
+            lambda part, keys=finer_keys, hot=finer: _cut(part, hot, keys, order, "left")
             .withColumn(SLICE, number)
             .drop("_cut")
         )
@@ -225,7 +237,7 @@ def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, **cut: int
 ) -> DataFrame:
     """Add ``name``, the position of each row within its key along ``order``."""
-    sliced = slice_hot_keys(df, keys, order[0], **cut)
+    sliced = slice_hot_keys(df, keys, order, **cut)
     return sliced_ordinal(sliced, keys, order, name).rows.drop(SLICE)
 
 
@@ -233,7 +245,7 @@ def previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, **cut: int
 ) -> DataFrame:
     """Add ``name``, the value ``column`` had on the key's row before."""
-    sliced = slice_hot_keys(df, keys, order[0], **cut)
+    sliced = slice_hot_keys(df, keys, order, **cut)
     return sliced_previous(sliced, keys, order, column, name).rows.drop(SLICE)
 
 
@@ -241,5 +253,5 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, **cut: int
 ) -> DataFrame:
     """Add ``name``, the sum of ``value`` over the key's rows up to this one."""
-    sliced = slice_hot_keys(df, keys, order[0], **cut)
+    sliced = slice_hot_keys(df, keys, order, **cut)
     return sliced_running_sum(sliced, keys, order, value, name).rows.drop(SLICE)

@@ -520,6 +520,30 @@ def call_ordinal(spark, sf_dir):
     return runs.call_ordinal(V.load_calls(spark, sf_dir)).select("call_id", "call_no")
 
 
+#: Settings under which the keys of small tables are cut, as hot keys of large ones are.
+CUT = {"share": 500, "floor": 0}
+
+
+@query
+def call_ordinal_cut(spark, sf_dir):
+    """Numbered in slices: every run that holds more than 1 in 500 calls is cut."""
+    return runs.call_ordinal(V.load_calls(spark, sf_dir), **CUT).select("call_id", "call_no")
+
+
+@query
+def warm_sessions_cut(spark, sf_dir):
+    sessions = cache.warm_sessions(V.load_calls(spark, sf_dir), RETENTION, **CUT)
+    return _micros(sessions, "first_call_at", "last_call_at")
+
+
+@query
+def attach_baseline_cut(spark, sf_dir):
+    """Joined by broadcast for every run that holds more than 1 in 500 calls."""
+    call_rows = V.load_calls(spark, sf_dir)
+    based = runs.attach_baseline(call_rows, runs.warmups(call_rows), **CUT)
+    return based.select("call_id", "run_id", *_double("cold_latency_ms"))
+
+
 @query
 def ttft_tag(spark, sf_dir):
     tagged = ttft.ttft_tag(V.ttft(V.load_calls(spark, sf_dir)), ("api", "cache_key"))

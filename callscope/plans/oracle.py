@@ -538,4 +538,7 @@ BODIES: dict[str, str] = {
           CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
+# The cut variants answer the same questions.
+BODIES |= {f"{name}_cut": BODIES[name] for name in ("call_ordinal", "warm_sessions", "attach_baseline")}
+
 ORACLE = {name: VIEWS + body for name, body in BODIES.items()}

@@ -67,14 +67,14 @@ def test_running_sum(skewed, cut):
 
 
 def test_hot_keys_are_cut_and_others_are_not(skewed):
-    sliced = ordered.slice_hot_keys(skewed, ["key"], "at", share=10, floor=0)
+    sliced = ordered.slice_hot_keys(skewed, ["key"], ["at"], share=10, floor=0)
     per_key = {
         r.key: (r.slices, r.rows)
         for r in sliced.rows.groupBy("key")
         .agg(F.countDistinct(ordered.SLICE).alias("slices"), F.count("*").alias("rows"))
         .collect()
     }
-    assert per_key["hot"][0] > 2  # its two bursts fall into few of the equal slices
+    assert per_key["hot"][0] > 2
     assert per_key["k1"][0] == 0
     assert sliced.hot.select("key").distinct().count() == 1
 
@@ -82,7 +82,7 @@ def test_hot_keys_are_cut_and_others_are_not(skewed):
 def test_second_level_cuts_bursts(skewed):
     def widest(levels):
         sliced = ordered.slice_hot_keys(
-            skewed, ["key"], "at", share=100, floor=0, levels=levels
+            skewed, ["key"], ["at"], share=100, floor=0, levels=levels
         )
         sizes = sliced.hot.where("key = 'hot'").groupBy(ordered.SLICE).count()
         return sizes.agg(F.max("count")).first()[0]
@@ -109,3 +109,21 @@ def test_operators_on_cut_keys(spark, sf_dir):
         store.chat_context(stored, share=2000, floor=0).select("response_id", "context_chars"),
         store.chat_context(stored).select("response_id", "context_chars"),
     )
+
+
+@pytest.mark.parametrize("shape", ["ties", "burst beside a stray row", "stray row and ties"])
+def test_default_levels_cut_ties_and_bursts(spark, shape):
+    at = {
+        "ties": F.lit(1_000),
+        "burst beside a stray row": F.when(F.col("id") == 0, 0).otherwise(10**9 + F.col("id")),
+        "stray row and ties": F.when(F.col("id") == 0, 0).otherwise(10**9),
+    }[shape]
+    rows = spark.range(10_000).select(
+        F.lit("hot").alias("key"), F.timestamp_seconds(at).alias("at"), "id"
+    )
+    sliced = ordered.slice_hot_keys(rows, ["key"], ORDER, share=100, floor=0)
+    sizes = [r["count"] for r in sliced.rows.groupBy(ordered.SLICE).count().collect()]
+    assert max(sizes) <= 10_000 / 50 and sum(sizes) == 10_000
+    plain = Window.partitionBy("key").orderBy(*ORDER)
+    want = rows.withColumn("n", F.row_number().over(plain).cast("bigint"))
+    _equal(ordered.ordinal(rows, ["key"], ORDER, "n", share=100, floor=0), want)
