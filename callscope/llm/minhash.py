@@ -13,8 +13,10 @@ prefix list first links its members to one leader, the member whose coordinates
 the most common (the original of a group of variants has them); confirmed links are
 contracted, and what is in one component needs no more pairs. After that, members outside
 the component that most of a list belongs to are compared with the members of the list
-in other components. Shingles that no other candidate has bound what a pair can
-share, and rule most pairs out before they are formed. Every candidate pair is
+in other components. A pair is formed in one of its common
+lists only, and only if it can share enough: the shingles are counted in ``PARTS`` parts of
+their hash range, leaving out those that no other candidate has, and two sets have at
+most the sum of the smaller counts in common. Every candidate pair is
 therefore confirmed or refuted on its full sets, ruled out by an exact bound, or lies
 within one component already, at every size of list.
 
@@ -43,6 +45,8 @@ from callscope.llm.components import components
 WORDS = 5
 COORDINATES = 64
 MATCHES = 30
+#: Parts of the shingles' hash range that bound what two sets have in common.
+PARTS = 32
 #: Similarity as a fraction of integers: 100 * both >= 75 * any.
 PER_CENT = 75
 
@@ -130,15 +134,19 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with class and all shingles of each text, sorted as unsigned numbers."""
+    """``docs`` without the text, with class, all shingles of each text (sorted as unsigned
+    numbers) and their number in each part of the hash range."""
 
     def make():
         shingles = Shingles()
 
         def work(texts: pa.Array) -> list[pa.Array]:
             sets = [shingles.of(value) for value in texts.to_pylist()]
+            high = np.uint64(64 - PARTS.bit_length() + 1)
+            parts = [np.bincount((s >> high).astype(np.int64), minlength=PARTS) for s in sets]
             return [
                 pa.array([_set_number(s) for s in sets], pa.int64()),
+                pa.array([p.tolist() for p in parts], pa.list_(pa.int32())),
                 pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()),
                     pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)),
@@ -147,7 +155,8 @@ def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return work
 
-    return with_columns(docs, text, [("class", "bigint"), ("shingles", "array<bigint>")], make, drop=text)
+    fields = [("class", "bigint"), ("parts", "array<int>"), ("shingles", "array<bigint>")]
+    return with_columns(docs, text, fields, make, drop=text)
 
 
 def _shared(classes: DataFrame) -> DataFrame:
@@ -206,14 +215,35 @@ def _may_link(n, s, other_n, other_s):
 
 
 def _not_alone(sets: DataFrame) -> DataFrame:
-    """``class, s``: how many shingles of each set occur in another one."""
+    """``class, parts, s``: how many shingles of each set occur in another one, by part
+    and in all."""
     each = sets.select("class", F.explode("shingles").alias("shingle"))
     alone = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("class").alias("class"))
-    counts = alone.where("often = 1").groupBy("class").agg(F.count("*").alias("alone"))
-    sizes = sets.select("class", F.size("shingles").cast("bigint").alias("n"))
-    return sizes.join(counts, "class", "left").select(
-        "class", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")
+    part = F.shiftrightunsigned("shingle", 64 - PARTS.bit_length() + 1).cast("int")
+    counts = (
+        alone.where("often = 1")
+        .groupBy("class", part.alias("part"))
+        .agg(F.count("*").cast("int").alias("alone"))
+        .groupBy("class")
+        .agg(F.map_from_entries(F.collect_list(F.struct("part", "alone"))).alias("alone"))
+    )
+    none = F.create_map().cast("map<int,int>")
+    left = sets.select("class", "parts").join(counts, "class", "left").withColumn(
+        "alone", F.coalesce("alone", none)
+    )
+    rest = F.transform(
+        "parts", lambda n, i: n - F.coalesce(F.try_element_at(F.col("alone"), i), F.lit(0))
     )
+    return left.select("class", rest.alias("parts")).withColumn(
+        "s", F.aggregate("parts", F.lit(0).cast("bigint"), lambda total, x: total + x)
+    )
+
+
+def _may_share(n, parts, other_n, other_parts):
+    """The same by parts: what two sets can have in common is the sum of the smaller counts."""
+    smaller = F.zip_with(parts, other_parts, lambda a, b: F.least(a, b))
+    both = F.aggregate(smaller, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    return (100 * both) >= (PER_CENT * (n + other_n - both))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,7 +270,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         full_sets(read, "text")
         .join(shared.select("class"), "class", "left_semi")
         .groupBy("class")
-        .agg(F.first("shingles").alias("shingles")),
+        .agg(F.first("parts").alias("parts"), F.first("shingles").alias("shingles")),
         "sets",
     )
 
@@ -248,7 +278,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         shared.join(_not_alone(sets), "class")
         .where(_may_link(F.col("n"), F.col("s"), F.col("s"), F.col("s")))
     )
-    lists = keep(possible.select("class", "n", "s", "weight", F.explode("prefix").alias("value")), "lists")
+    possible = keep(possible.drop("shared"), "possible")
+    lists = possible.select("class", "n", "s", "weight", F.explode("prefix").alias("value"))
     leader = lists.groupBy("value").agg(F.max(F.struct("weight", "class", "n", "s")).alias("l"))
     starred = (
         lists.join(leader, "value")
@@ -274,19 +305,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         .where("kinds > 1")
         .select("value", F.col("main.root").alias("main"))
     )
-    open_lists = keep(placed.join(main, "value"), "open")
+    bounds = possible.select("class", "prefix", "parts")
+    open_lists = keep(placed.join(main, "value").drop("weight").join(bounds, "class"), "open")
     outside = open_lists.where("root != main").select(
         "value",
-        F.col("class").alias("x"),
-        F.col("n").alias("x_n"),
-        F.col("s").alias("x_s"),
-        F.col("root").alias("x_root"),
+        *[F.col(c).alias(x) for c, x in (("class", "x"), ("n", "x_n"), ("s", "x_s"), ("root", "x_root"))],
+        F.col("prefix").alias("x_prefix"),
+        F.col("parts").alias("x_parts"),
     )
+    # Of two members outside the main component one stands on the left, in one list.
+    once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("class"))
+    here = F.array_min(F.array_intersect("x_prefix", "prefix")) == F.col("value")
     rest = (
         outside.join(open_lists, "value")
         .where(
             (F.col("root") != F.col("x_root"))
+            & once
             & _may_link(F.col("n"), F.col("s"), F.col("x_n"), F.col("x_s"))
+            & here
+            & _may_share(F.col("n"), F.col("parts"), F.col("x_n"), F.col("x_parts"))
         )
         .select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b"))
         .distinct()
