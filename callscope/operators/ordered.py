@@ -35,17 +35,13 @@ LEVELS = 3
 
 @dataclass(frozen=True)
 class Sliced:
-    """A table with slice numbers, and its rows of hot keys alone.
-
-    ``hot`` is an inner join with the hot keys: where there are none, run-time
-    re-planning drops everything derived from it before any row is read.
-    """
+    """A table with slice numbers, and its rows of hot keys alone; none without hot keys."""
 
     rows: DataFrame
-    hot: DataFrame
+    hot: DataFrame | None
 
     def map(self, step: Callable[[DataFrame], DataFrame]) -> Sliced:
-        return Sliced(step(self.rows), step(self.hot))
+        return Sliced(step(self.rows), None if self.hot is None else step(self.hot))
 
 
 def _position(df: DataFrame, order: Sequence[str]) -> Column:
@@ -107,11 +103,18 @@ def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
 
 def _hot_keys(
     ranges: DataFrame, keys: Sequence[str], total: Column, share: int, floor: int
-) -> DataFrame:
+) -> DataFrame | None:
+    """The hot keys, fewer than ``share`` by their definition, as a table of the driver.
+
+    Found once and eagerly: all branches of a plan then cut alike, and without hot keys the
+    plan is that of a plain window.
+    """
     slices = F.ceil(F.col("_n") * share / total) * SLICES_PER_SHARE
-    return ranges.where((F.col("_n") > floor) & (F.col("_n") * share > total)).select(
+    hot = ranges.where((F.col("_n") > floor) & (F.col("_n") * share > total)).select(
         *keys, "_lo", "_hi", slices.cast("double").alias("_slices")
     )
+    found = hot.collect()
+    return hot.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def _cut(
@@ -147,6 +150,9 @@ def slice_hot_keys(
     ranges = _ranges(df, keys, order)
     total = ranges.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     hot_keys = _hot_keys(ranges, keys, total, share, floor)
+    if hot_keys is None:
+        return Sliced(df.withColumn(SLICE, F.lit(None).cast("bigint")), None)
+    total = F.lit(df.count())
     sliced = Sliced(
         *[
             _cut(df, hot_keys, keys, order, how).withColumnRenamed("_cut", SLICE)
@@ -156,6 +162,8 @@ def slice_hot_keys(
     for _ in range(levels - 1):
         finer_keys = [*keys, SLICE]
         finer = _hot_keys(_ranges(sliced.hot, finer_keys, order), finer_keys, total, share, floor)
+        if finer is None:
+            break
         room = 1 << 20  # more than the slices one level can make
         number = F.col(SLICE) * room + room // 2 + F.coalesce(F.col("_cut"), F.lit(0))
         sliced = sliced.map(
@@ -174,11 +182,19 @@ def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _carry(hot: DataFrame, keys: Sequence[str], aggregate: Column, carried: Column) -> DataFrame:
+def _carry(
+    hot: DataFrame | None, keys: Sequence[str], aggregate: Column, carried: Column
+) -> DataFrame | None:
     """One row per slice of a hot key, with what the slices before it hand over."""
+    if hot is None:
+        return None
     return hot.groupBy(*keys, SLICE).agg(aggregate.alias("_carry")).withColumn("_carry", carried)
 
 
+def _add(out: DataFrame, name: str) -> DataFrame:
+    return out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+
+
 def sliced_running_sum(
     sliced: Sliced, keys: Sequence[str], order: Sequence[str], value: Column, name: str
 ) -> Sliced:
@@ -191,10 +207,8 @@ def sliced_running_sum(
     )
 
     def step(part: DataFrame) -> DataFrame:
-        out = _lookup(part.withColumn(name, within), carry, [*keys, SLICE])
-        return out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop(
-            "_value", "_carry"
-        )
+        out = part.withColumn(name, within).drop("_value")
+        return out if carry is None else _add(_lookup(out, carry, [*keys, SLICE]), name)
 
     return held.map(step)
 
@@ -206,8 +220,8 @@ def sliced_ordinal(sliced: Sliced, keys: Sequence[str], order: Sequence[str], na
     within = F.row_number().over(_local(keys, order)).cast("bigint")
 
     def step(part: DataFrame) -> DataFrame:
-        out = _lookup(part.withColumn(name, within), carry, [*keys, SLICE])
-        return out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+        out = part.withColumn(name, within)
+        return out if carry is None else _add(_lookup(out, carry, [*keys, SLICE]), name)
 
     return sliced.map(step)
 
@@ -223,6 +237,8 @@ def sliced_previous(
     window = _local(keys, order)
 
     def step(part: DataFrame) -> DataFrame:
+        if carry is None:
+            return part.withColumn(name, F.lag(column).over(window))
         local = part.withColumn("_first", F.row_number().over(window) == 1).withColumn(
             name, F.lag(column).over(window)
         )

@@ -1,8 +1,10 @@
 """Structured Streaming jobs over call logs, token chunks and messages.
 
 Every job appends to files in the shared folder. A window is written once the
-watermark has passed it; what is still open is computed from the log itself when
-the result is read, so that a view is whole at any time.
+watermark has passed it, and rows that come later than that are dropped by the stream. A
+view counts the rows of the log per window, key or request; what was written with fewer
+rows, or not yet, is computed from the log itself. So a view is whole at any time, late
+rows included, and all that agrees is taken as written.
 """
 
 from __future__ import annotations
@@ -46,21 +48,25 @@ def run_once(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _still_open(log: DataFrame, at: str, closed: DataFrame, width: str) -> DataFrame:
-    """Rows of the log that belong to no window written yet."""
-    last = closed.agg(F.max("window_start") + F.expr(f"INTERVAL {width}")).scalar()
-    return log.where(F.coalesce(F.col(at) >= last, F.lit(True)))
-
-
 def health_stream(calls: DataFrame, width: str, delay: str) -> DataFrame:
     """Windowed cache health of a live call log; rows later than ``delay`` are dropped."""
     return cache.cache_health(calls.withWatermark("started_at", delay), width)
 
 
 def health_view(closed: DataFrame, calls: DataFrame, width: str) -> DataFrame:
-    """Written windows, and those still open as the call log has them now."""
-    tail = cache.cache_health(_still_open(calls, "started_at", closed, width), width)
-    return cache.health_rates(closed.unionByName(tail))
+    """Written windows that hold all their calls; the others as the call log has them now."""
+    start = F.window("started_at", width)["start"]
+    counted = calls.groupBy(start.alias("_start"), F.col("cache_key").alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    same = F.col("window_start").eqNullSafe(F.col("_start")) & F.col("cache_key").eqNullSafe(
+        F.col("_key")
+    )
+    whole = closed.join(counted, same & (F.col("calls") == F.col("_n")), "left_semi")
+    written = whole.select("window_start", F.col("cache_key").alias("_key"))
+    rows = calls.withColumn("_start", start).join(written, same, "left_anti")
+    tail = cache.cache_health(rows.drop("_start"), width)
+    return cache.health_rates(whole.unionByName(tail))
 
 
 def session_stream(calls: DataFrame, retention: str, delay: str) -> DataFrame:
@@ -85,16 +91,30 @@ def session_view(closed: DataFrame, calls: DataFrame, retention: str, **cut: int
     """Written sessions, and those that may still grow as the call log has them now.
 
     The sessions of a key are written in order, so its open ones hold what comes
-    after the last call of its last written session.
+    after the last call of its last written session. A key whose log has more calls
+    up to there than were written has late ones: it is read from the log anew.
     """
     key = F.struct("cache_key").alias("_key")  # equal also where both keys are NULL
-    last = closed.groupBy(key).agg(F.max("last_call_at").alias("_last"))
+    last = closed.groupBy(key).agg(
+        F.max("last_call_at").alias("_last"), F.sum("calls").alias("_written")
+    )
     rows = calls.select("cache_key", "started_at", "call_id", "cached_tokens", key)
-    later = lookup(rows, last, "_key", "left", **cut).where(
-        F.coalesce(F.col("started_at") > F.col("_last"), F.lit(True))
+    beside = lookup(rows, last, "_key", "left", **cut)
+    upto = F.count_if(F.col("started_at") <= F.col("_last"))
+    late = (
+        beside.where(F.col("_last").isNotNull())
+        .groupBy("_key")
+        .agg(upto.alias("_have"), F.first("_written").alias("_written"))
+        .where("_have != _written")
+        .select("_key", F.lit(True).alias("_late"))
     )
-    tail = cache.warm_sessions(later.drop("_key", "_last"), retention, **cut)
-    return closed.unionByName(tail.select(*closed.columns))
+    marked = lookup(beside, late, "_key", "left", **cut)
+    after = F.coalesce(F.col("started_at") > F.col("_last"), F.lit(True))
+    later = marked.where(F.coalesce("_late", F.lit(False)) | after)
+    fresh = later.select("cache_key", "started_at", "call_id", "cached_tokens")
+    tail = cache.warm_sessions(fresh, retention, **cut)
+    whole = closed.withColumn("_key", key).join(late, "_key", "left_anti").drop("_key")
+    return whole.unionByName(tail.select(*closed.columns))
 
 
 def chunk_stream(
@@ -117,9 +137,25 @@ def ttft_view(
     span: int = ttft.SPAN,
     levels: int = ttft.LEVELS,
 ) -> DataFrame:
-    """Time to first token from written chunk groups and the chunks still open."""
-    tail = ttft.group_chunks(_still_open(chunks, "ts", closed, width), span)
-    pieces = closed.select("request_id", "piece", "rows").unionByName(tail)
+    """Time to first token from written chunk groups and the chunks still open.
+
+    A window's chunks of a request count as written if there are as many as in the
+    log; the others are gathered from the log. ``width`` is that of the stream.
+    """
+    start = F.window("ts", width)["start"]
+    same = F.col("window_start").eqNullSafe(F.col("_start")) & F.col("request_id").eqNullSafe(
+        F.col("_request")
+    )
+    counted = chunks.groupBy(start.alias("_start"), F.col("request_id").alias("_request")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    held = closed.groupBy("window_start", "request_id").agg(F.sum(F.size("rows")).alias("_held"))
+    whole = held.join(counted, same & (F.col("_held") == F.col("_n")), "left_semi")
+    written = whole.select("window_start", F.col("request_id").alias("_request"))
+    missing = chunks.withColumn("_start", start).join(written, same, "left_anti").drop("_start")
+    kept = closed.join(whole.drop("_held"), ["window_start", "request_id"], "left_semi")
+    tail = ttft.group_chunks(missing, span)
+    pieces = kept.select("request_id", "piece", "rows").unionByName(tail)
     # Windows may have cut a group of chunks; it stays within the span once rejoined.
     groups = pieces.groupBy("request_id", "piece").agg(
         F.flatten(F.collect_list("rows")).alias("rows")

@@ -99,3 +99,50 @@ def test_a_restarted_stream_goes_on_where_it_stopped(spark, sf_dir, tmp_path):
         live.append_to(stream, sink, state).awaitTermination()
     written = spark.read.parquet(sink)
     assert written.count() == calls.count() == written.select("call_id").distinct().count()
+
+
+def _one_file_each(rows, path):
+    for row in rows:
+        row.coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_rows_are_in_the_views(spark, tmp_path):
+    """Five calls in five files, one older than the watermark: none is lost."""
+    path = str(tmp_path / "late")
+    hours = [1, 30, 60, 2, 90]
+    calls = [
+        spark.createDataFrame([(i, h * 3600, 5, "k")], "call_id bigint, at bigint, cached_tokens bigint, cache_key string")
+        .select(
+            "call_id", "cache_key", "cached_tokens", F.timestamp_seconds("at").alias("started_at"),
+            F.lit(None).cast("string").alias("error"), F.lit(1).cast("decimal(18,2)").alias("latency_ms"),
+        )
+        for i, h in enumerate(hours)
+    ]
+    _one_file_each(calls, path)
+    log = spark.read.parquet(path)
+    closed = live.run_once(live.health_stream(live.read_log(spark, path, 1), "1 DAY", "1 HOUR"), "health")
+    assert closed.agg(F.sum("calls")).first()[0] < 4  # the late one is not in its window
+    _equal(live.health_view(closed, log, "1 DAY"), cache.health_rates(cache.cache_health(log, "1 DAY")))
+    written = live.run_once(live.session_stream(live.read_log(spark, path, 1), "3 HOURS", "1 HOUR"), "sessions")
+    want = cache.warm_sessions(log, "3 HOURS").select(*written.columns)
+    assert want.agg(F.sum("calls")).first()[0] == 5
+    _equal(live.session_view(written, log, "3 HOURS"), want)
+
+
+def test_late_chunks_are_in_the_view(spark, tmp_path):
+    path = str(tmp_path / "late")
+    times = [1, 40, 80, 2, 120]
+    rows = [
+        spark.createDataFrame([(1, i + 1, h * 3600, f"t{i} ")], "request_id bigint, seq bigint, at bigint, delta string")
+        .select("request_id", "seq", F.timestamp_seconds("at").alias("ts"), F.lit("x").alias("event_type"), "delta")
+        for i, h in enumerate(times)
+    ]
+    _one_file_each(rows, path)
+    log = spark.read.parquet(path)
+    requests = spark.createDataFrame([(1, 0)], "request_id bigint, at bigint").select(
+        "request_id", F.timestamp_seconds("at").alias("sent_at")
+    )
+    closed = live.run_once(live.chunk_stream(live.read_log(spark, path, 1), "1 DAY", "1 HOUR"), "groups")
+    got = live.ttft_view(closed, log, requests, "1 DAY")
+    assert got.first().chunks == 5
+    _equal(got, ttft.ttft_from_chunks(log, requests))
