@@ -42,10 +42,11 @@ DEGREE = 24
 #: Nodes that have a node in their list, of which so many join its group.
 REVERSE = 12
 ENTRIES = 8
-BEAM = 160
-WIDTH = 16
-#: Building stops once a round changes fewer than this share of all list places.
-CHANGED = 0.05
+BEAM = 384
+WIDTH = 32
+#: Building stops once a round changes fewer than this share of all list places, but not
+#: before so many rounds: how good the start was differs with the data.
+CHANGED, LEAST_ROUNDS = 0.05, 2
 #: More rounds and hops than any graph has needed; they only stop an endless run.
 ROUNDS = 12
 HOPS = 40
@@ -186,7 +187,7 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
     ids = np.array([r["node"] for r in sample])
     near = np.frombuffer(b"".join(bytes(r["half"]) for r in sample), np.float16).reshape(len(ids), -1)
     edges = keep(_lists(_start(nodes, near).withColumn("fresh", F.lit(True))), "edges")
-    for _ in range(ROUNDS):
+    for done in range(1, ROUNDS + 1):
         worst = edges.groupBy("node").agg(
             F.when(F.count("*") >= DEGREE, F.max("distance")).otherwise(float("inf")).cast("float").alias("worst")
         )
@@ -211,7 +212,7 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
         changed = merged.where("fresh").count()
         forget(edges)
         edges = merged
-        if changed < CHANGED * DEGREE * count:
+        if done >= LEAST_ROUNDS and changed < CHANGED * DEGREE * count:
             break
     return Graph(members, nodes, edges, near, ids, scale)
 
