@@ -22,6 +22,8 @@ length 0 in its chunk; an empty table gives no chunk.
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +39,9 @@ from callscope.llm.bpe import WordIds
 from callscope.llm.common import slices, with_columns
 from callscope.session import new_path
 
+#: Between a letter or digit and a mark that is no part of a contraction or special token.
+JOINTS = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[&%#*$!.,;:?])")
+
 BLOCK = 4096
 CHUNK = 1 << 18
 LEVEL = 3
@@ -73,6 +78,8 @@ def from_planes(planes: list[bytes], blocks: int, count: int) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    # A task has one core; the library's own threads would only compete for it.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -81,11 +88,23 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _pieces(text: str) -> list[str]:
+    """What a text is encoded as, piece by piece; in lower case where that is surely the
+    library's (Latin-1 without special tokens)."""
+    try:
+        text.encode("latin-1")
+        text = text if "<|" in text else text.lower()
+    except UnicodeEncodeError:
+        pass
+    return JOINTS.sub(" ", text).replace("\n", " ").split(" ")
+
+
 def encode(docs: DataFrame, path: str, end: int = 1, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of the whole text and the ``end`` id, in place of the text.
 
-    The vocabulary's words end at white space, so a text is the sequence of its
-    blank-separated pieces; each distinct one is encoded once per task.
+    The vocabulary's words end at white space, and a mark after a letter or digit begins
+    a new word, so a text is the sequence of the pieces between blanks and such places;
+    each distinct one is encoded once per task.
     """
 
     def make():
@@ -101,7 +120,7 @@ def encode(docs: DataFrame, path: str, end: int = 1, text: str = "text", ids: st
         def work(texts: pa.Array) -> list[pa.Array]:
             pieces, counts = [], []
             for value in texts.to_pylist():
-                found = value.replace("\n", " ").split(" ") if value else []
+                found = _pieces(value) if value else []
                 pieces += found
                 counts.append(len(found))
             flat, offsets = known.gather(pieces, counts)
