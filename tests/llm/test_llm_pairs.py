@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from callscope.llm import minhash, nndescent, templates, toplists
+from callscope.llm import minhash, templates, toplists
 from callscope.llm.components import components
 from callscope.llm.queries import QUERIES
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from callscope.llm import bpe, mixing, planes, quality, secrets, shards
-from callscope.llm.common import slices, with_columns, word_count
+from callscope.llm.common import slices, word_count
 from callscope.llm.queries import ORACLE, QUERIES, VOCABULARY
 
 TEXTS = [
