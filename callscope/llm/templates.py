@@ -13,7 +13,7 @@ notices, sidebars and comments. Then the article's blocks are read in page order
 
 Defined results: null or empty html gives an empty text; a null url is a host of its
 own; markup that is cut off or not closed is read as far as it goes; pages
-without an article or main element give the text of their body; repeated rows are pages of
+without an article or main element or role main give the text of their body; repeated rows are pages of
 their own. Other columns are kept.
 """
 
@@ -74,13 +74,14 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "junk", "parts", "pieces", "holds", "hash")
+    __slots__ = ("tag", "label", "junk", "main", "parts", "pieces", "holds", "hash")
 
-    def __init__(self, tag: str, label: str = "", junk: bool = False):
+    def __init__(self, tag: str, label: str = "", junk: bool = False, main: bool = False):
         self.tag, self.label, self.junk = tag, label, junk
+        self.main = main or tag in ("article", "main")  # marked as the article
         self.parts: list = []  # texts and nodes in order
         self.pieces: list[str] = []  # what the hash is made of
-        self.holds = tag in ("article", "main")  # itself or anything in it
+        self.holds = self.main  # itself or anything in it
         self.hash = 0
 
 
@@ -93,9 +94,11 @@ def _marked(tag: str, attributes: str) -> tuple[str, bool, bool]:
     names = [n for n in re.split(r"[\s#]+", label) if n and not re.match(r"(?:has|with|no|is)[-_]", n)]
     role = found.get("role", "")
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
-    words = JUNK_WORDS if tag not in KEPT else JUNK_ARTICLES if tag == "article" else frozenset()
+    main = role == "main"
+    kept = tag in KEPT or main
+    words = JUNK_WORDS if not kept else JUNK_ARTICLES if tag == "article" else frozenset()
     junk = any(w in words for n in names for w in WORDS.findall(n))
-    return label, junk or (tag not in KEPT and (hidden or role in ROLES)), role == "main"
+    return label, junk or (not kept and (hidden or role in ROLES)), main
 
 
 def parse(page: str) -> Node:
@@ -117,7 +120,7 @@ def parse(page: str) -> Node:
                 while len(stack) > depth:
                     close()
                 return
-            if stack[depth].tag in limits:
+            if stack[depth].tag in limits or (stack[depth].main and "main" in limits):
                 return
 
     def text(value: str) -> None:
@@ -161,8 +164,9 @@ def parse(page: str) -> Node:
             continue
         label, junk, main = _marked(tag, attributes) if attributes else ("", False, False)
         inside = any(n.holds for n in stack)
-        node = Node(tag, label, junk or tag in JUNK or (tag == "header" and not inside))
-        node.holds = (node.holds or main) and not node.junk
+        junk = junk or (not main and (tag in JUNK or (tag == "header" and not inside)))
+        node = Node(tag, label, junk, main)
+        node.holds = node.main and not node.junk
         stack[-1].parts.append(node)
         stack.append(node)
         if tag in RAW:
@@ -212,7 +216,7 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
             if not part.holds and (part.junk or (part.hash in template and part.tag in CONTAINERS)):
                 flush() if part.tag not in INLINE else None
                 continue
-            chosen = chosen or part.tag in ("article", "main")
+            chosen = chosen or part.main
             if part.tag not in INLINE:
                 flush()
                 todo.append((None, chosen))

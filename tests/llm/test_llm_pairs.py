@@ -187,6 +187,13 @@ def test_main_text_of_one_page():
     assert templates.main_text("<a '" * 2000) is not None
 
 
+def test_role_main_alone_marks_the_article():
+    page = '<body><div>menu</div><div role="main" class="no-sidebar widget"><h1>A</h1><p>text</p></div><p>end</p></body>'
+    assert templates.main_text(page) == "A\ntext"
+    assert templates.main_text("<a><div role=main><p>one</a> two</p></div><p>end</p>") == "one two"
+    assert templates.main_text("<form role=main>all</form>rest") == "all"
+
+
 def test_recurring_subtrees_go(spark):
     def page(n, host):
         box = "<div><b>Read our magazine</b></div>" if host == "a" else ""
