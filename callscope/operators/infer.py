@@ -42,16 +42,19 @@ _REPLY = (
 )
 
 
-def _send(predict: Predict, texts: list[str | None]) -> tuple[Sequence[Reply], Decimal]:
+def _send(predict: Predict, texts: list[str | None]) -> tuple[list[Reply], list[Decimal]]:
+    """A reply and a latency per text; the texts of a list that fails are sent one by one."""
     started = time.perf_counter()
     try:
-        replies = predict(texts)
+        replies = list(predict(texts))
         if len(replies) != len(texts):
             raise ValueError(f"{len(replies)} replies to {len(texts)} texts")
     except Exception as failure:  # the run goes on, whatever the model raised
-        said = str(failure) or type(failure).__name__
-        replies = [Reply(None, error=said)] * len(texts)
-    return replies, Decimal(f"{(time.perf_counter() - started) * 1000:.2f}")
+        if len(texts) > 1:
+            each = [_send(predict, [text]) for text in texts]
+            return [r for replies, _ in each for r in replies], [t for _, took in each for t in took]
+        replies = [Reply(None, error=str(failure) or type(failure).__name__)]
+    return replies, [Decimal(f"{(time.perf_counter() - started) * 1000:.2f}")] * len(texts)
 
 
 def classify_batch(
@@ -63,9 +66,10 @@ def classify_batch(
     """A call row per message: reply, label, token counts, latency, error.
 
     ``make_predict`` runs once per partition, in the worker, and returns the function
-    that sends a list of texts: a client is built there, never pickled. What it raises is the
-    error of every text in that list; a reply may also carry an error of its own. A call's
-    latency is that of its list. The other columns pass through as Arrow arrays, untouched. A
+    that sends a list of texts: a client is built there, never pickled. When it raises, the
+    texts of that list are sent again one by one, and what it raises then is the error of
+    that text; a reply may also carry an error of its own. A call's latency is that of its
+    list, or of the text where it was sent alone. The other columns pass through as Arrow arrays, untouched. A
     partition that is run again after a loss sends its messages again.
     """
     names = {f.name for f in _REPLY}
@@ -78,7 +82,7 @@ def classify_batch(
         for whole in batches:
             for start in range(0, whole.num_rows, batch_size):
                 batch = whole.slice(start, batch_size)
-                replies, latency = _send(predict, batch.column(len(kept)).to_pylist())
+                replies, latencies = _send(predict, batch.column(len(kept)).to_pylist())
                 good = [r.error is None for r in replies]
                 arrays = [
                     pa.array([r.text if ok else None for r, ok in zip(replies, good)], pa.string()),
@@ -86,7 +90,7 @@ def classify_batch(
                         pa.array([getattr(r, c) if ok else None for r, ok in zip(replies, good)], pa.int64())
                         for c in _COUNTS
                     ],
-                    pa.array([latency] * len(replies), pa.decimal128(18, 2)),
+                    pa.array(latencies, pa.decimal128(18, 2)),
                     pa.array([r.error for r in replies], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays], names=schema.names)
@@ -100,7 +104,8 @@ def classify_batch(
 def rule_predictor(rules: Sequence[Rule]) -> Callable[[], Predict]:
     """A model stand-in that answers with the strictest verdict of the rules.
 
-    It counts a character as a token and caches nothing.
+    It counts a character as a token and caches nothing. A null text hits no rule, as in the
+    policy, and has no count.
     """
 
     plain = [(K.SEVERITY[rule.verdict], rule.verdict, rule.pattern) for rule in rules]
@@ -109,7 +114,9 @@ def rule_predictor(rules: Sequence[Rule]) -> Callable[[], Predict]:
     def make() -> Predict:
         compiled = [(level, word, re.compile(pattern)) for level, word, pattern in plain]
 
-        def answer(value: str) -> Reply:
+        def answer(value: str | None) -> Reply:
+            if value is None:
+                return Reply(default, None, 0, 1)
             hits = [(level, word) for level, word, pattern in compiled if pattern.search(value)]
             word = max(hits)[1] if hits else default
             return Reply(word, len(value), 0, 1)

@@ -121,3 +121,32 @@ def test_batch_sends_lists_and_keeps_other_columns_as_they_are(spark):
 def test_rule_predictor_equals_the_policy(messages):
     rows = infer.classify_batch(messages, infer.rule_predictor(RULES)).collect()
     assert all(r.label == r.want for r in rows)
+
+
+def test_null_text_costs_no_neighbour(spark):
+    rows = [(i, None if i == 3 else f"never {i}") for i in range(10)]
+    messages = spark.createDataFrame(rows, "msg_id bigint, text string").coalesce(1)
+    found = {r.msg_id: r for r in infer.classify_batch(messages, infer.rule_predictor(RULES)).collect()}
+    assert all(r.error is None for r in found.values())
+    assert {i: (r.label, r.input_tokens) for i, r in found.items()} == {
+        i: ("ALLOW", None) if i == 3 else ("BLOCK", 7) for i in range(10)
+    }
+
+
+def test_failed_lists_are_sent_one_by_one(spark):
+    rows = [(i, f"text {i}") for i in range(10)]
+    messages = spark.createDataFrame(rows, "msg_id bigint, text string").coalesce(1)
+
+    def make():
+        def predict(texts):
+            if "text 3" in texts:
+                raise TimeoutError("too slow")
+            return [infer.Reply("ALLOW", 1, 0, 1) for _ in texts]
+
+        return predict
+
+    found = {r.msg_id: r for r in infer.classify_batch(messages, make, batch_size=4).collect()}
+    assert {i: (r.label, r.error) for i, r in found.items()} == {
+        i: (None, "too slow") if i == 3 else ("ALLOW", None) for i in range(10)
+    }
+    assert all(r.latency_ms >= 0 for r in found.values())
