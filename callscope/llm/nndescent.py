@@ -15,11 +15,12 @@ double precision on the original vectors, and nodes become the ids of their rows
 ``k + 1`` smallest of each node, which is all that k results can hold.
 
 The landmarks are a bounded sample (at most ``LANDMARKS`` vectors, which travel with the
-tasks); every row is indexed. The graph's vectors are in half precision, scaled into its
-range; results are not.
+tasks); every row is indexed. The graph's vectors are in single precision, unscaled, and
+all distances in double precision, so vectors of any lengths stand beside one another.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
-component take no part, nor do those of another length than most; a query's own id is left out; equal
+component take no part, nor do those of another length than most (of two lengths
+equally common, the smaller counts); a query's own id is left out; equal
 distances rank by the smaller id; an empty table gives no rows.
 """
 
@@ -53,38 +54,38 @@ HOPS = 40
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` to all rows of ``b``, in single precision."""
-    a, b = a.astype(np.float32), b.astype(np.float32)
+    """Euclidean distances of all rows of ``a`` to all rows of ``b``."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     return np.sqrt(np.maximum(squares, 0))
 
 
-def _halves(column) -> np.ndarray:
-    """Packed half-precision vectors as the rows of a matrix."""
+def _rows(column) -> np.ndarray:
+    """Packed vectors as the rows of a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     values = column.to_pylist()
     if not values:
-        return np.zeros((0, 0), np.float16)
-    return np.frombuffer(b"".join(values), np.float16).reshape(len(values), -1)
+        return np.zeros((0, 0), np.float32)
+    return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
 
 
 def _pairs(nodes: np.ndarray, others: np.ndarray, distance: np.ndarray) -> dict:
     return {
         "node": pa.array(nodes, pa.int64()),
         "other": pa.array(others, pa.int64()),
-        "distance": pa.array(distance.astype(np.float32), pa.float32()),
+        "distance": pa.array(distance, pa.float64()),
     }
 
 
-PAIRS = "node bigint, other bigint, distance float"
+PAIRS = "node bigint, other bigint, distance double"
 
 
 class Graph:
     """The tables of an index: members of each node, vectors, edges and landmarks."""
 
-    def __init__(self, members: DataFrame, nodes: DataFrame, edges: DataFrame, near: np.ndarray, ids: np.ndarray, scale: float):
-        self.members, self.nodes, self.edges, self.scale = members, nodes, edges, scale
+    def __init__(self, members: DataFrame, nodes: DataFrame, edges: DataFrame, near: np.ndarray, ids: np.ndarray, width: int):
+        self.members, self.nodes, self.edges, self.width = members, nodes, edges, width
         self.landmarks, self.landmark_ids = near, ids
 
 
@@ -97,18 +98,25 @@ def _members(vectors: DataFrame, k: int) -> DataFrame:
     return first.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _packed(members: DataFrame, scale: float) -> DataFrame:
-    """``node, half``: the scaled vectors in half precision."""
+def _width(vectors: DataFrame) -> int | None:
+    """The most common number of components."""
+    sizes = vectors.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("rows"))
+    first = sizes.where("width > 0").orderBy(F.desc("rows"), "width").first()
+    return first and first["width"]
+
+
+def _packed(members: DataFrame) -> DataFrame:
+    """``node, packed``: the vectors in single precision."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                half = (matrix(batch.column(1)) * scale).astype(np.float16)
+                rows = matrix(batch.column(1)).astype(np.float32)
                 yield pa.RecordBatch.from_pydict(
-                    {"node": batch.column(0), "half": pa.array([h.tobytes() for h in half], pa.binary())}
+                    {"node": batch.column(0), "packed": pa.array([r.tobytes() for r in rows], pa.binary())}
                 )
 
-    return members.select("node", "vector").mapInArrow(run, "node bigint, half binary")
+    return members.select("node", "vector").mapInArrow(run, "node bigint, packed binary")
 
 
 def _start(nodes: DataFrame, near: np.ndarray) -> DataFrame:
@@ -117,23 +125,23 @@ def _start(nodes: DataFrame, near: np.ndarray) -> DataFrame:
     def cells(batches):
         for batch in batches:
             if batch.num_rows:
-                apart = _distances(_halves(batch.column("half")), near)
+                apart = _distances(_rows(batch.column("packed")), near)
                 first = np.argsort(apart, axis=1, kind="stable")[:, :CELLS]
                 each = np.repeat(np.arange(batch.num_rows), first.shape[1])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": batch.column("node").take(pa.array(each)),
-                        "half": batch.column("half").take(pa.array(each)),
+                        "packed": batch.column("packed").take(pa.array(each)),
                         "cell": pa.array(first.ravel(), pa.int32()),
                     }
                 )
 
-    placed = keep(nodes.mapInArrow(cells, "node bigint, half binary, cell int"), "cells")
+    placed = keep(nodes.mapInArrow(cells, "node bigint, packed binary, cell int"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
     blocks = placed.join(F.broadcast(sizes), "cell").withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
 
     def nearest(block: pa.Table) -> pa.Table:
-        ids, rows = np.asarray(block["node"]), _halves(block["half"])
+        ids, rows = np.asarray(block["node"]), _rows(block["packed"])
         apart = _distances(rows, rows)
         np.fill_diagonal(apart, np.inf)
         count = min(DEGREE, len(ids) - 1)
@@ -144,7 +152,7 @@ def _start(nodes: DataFrame, near: np.ndarray) -> DataFrame:
             _pairs(np.repeat(ids, count), ids[best.ravel()], np.take_along_axis(apart, best, 1).ravel())
         )
 
-    return blocks.select("node", "half", "cell", "share").groupBy("cell", "share").applyInArrow(nearest, PAIRS)
+    return blocks.select("node", "packed", "cell", "share").groupBy("cell", "share").applyInArrow(nearest, PAIRS)
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
@@ -162,8 +170,8 @@ def _compare(batches):
             others = np.asarray(batch.column("others")[row].values)
             worst = np.asarray(batch.column("worst")[row].values)
             fresh = np.asarray(batch.column("fresh")[row].values)
-            halves = np.frombuffer(b"".join(batch.column("halves")[row].as_py()), np.float16)
-            rows = halves.reshape(len(others), -1)
+            vectors = np.frombuffer(b"".join(batch.column("vectors")[row].as_py()), np.float32)
+            rows = vectors.reshape(len(others), -1)
             apart = _distances(rows, rows)
             # A pair of old neighbours has been compared before.
             better = (apart < worst[:, None]) & (fresh[:, None] | fresh[None, :])
@@ -176,22 +184,22 @@ def _compare(batches):
 
 def build(vectors: DataFrame, k: int = 10) -> Graph | None:
     """The index of ``vectors`` (``vec_id, vector``)."""
-    members = keep(_members(vectors, k), "members")
-    largest = members.agg(F.max(F.array_max(F.transform("vector", F.abs))), F.count("*")).first()
-    if not largest[1]:
+    width = _width(vectors)
+    if width is None:
         return None
-    scale, count = 1 / float(largest[0]), largest[1]
-    nodes = keep(_packed(members, scale), "nodes")
+    members = keep(_members(vectors.where(F.size("vector") == width), k), "members")
+    count = members.count()
+    nodes = keep(_packed(members), "nodes")
     landmarks = min(LANDMARKS, -(-count // SPREAD))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(landmarks).collect()
     ids = np.array([r["node"] for r in sample])
-    near = np.frombuffer(b"".join(bytes(r["half"]) for r in sample), np.float16).reshape(len(ids), -1)
+    near = np.frombuffer(b"".join(bytes(r["packed"]) for r in sample), np.float32).reshape(len(ids), -1)
     edges = keep(_lists(_start(nodes, near).withColumn("fresh", F.lit(True))), "edges")
     for done in range(1, ROUNDS + 1):
         worst = edges.groupBy("node").agg(
-            F.when(F.count("*") >= DEGREE, F.max("distance")).otherwise(float("inf")).cast("float").alias("worst")
+            F.when(F.count("*") >= DEGREE, F.max("distance")).otherwise(float("inf")).alias("worst")
         )
-        known = nodes.join(worst, "node").select(F.col("node").alias("other"), "half", "worst")
+        known = nodes.join(worst, "node").select(F.col("node").alias("other"), "packed", "worst")
         # A group is a node's list, the nearest nodes that list it, and the node itself.
         nearest = Window.partitionBy("other").orderBy("distance", "node")
         listing = edges.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= REVERSE)
@@ -201,10 +209,10 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
         group = group.groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
         active = group.where("fresh").select("node").distinct()
         reached = group.join(active, "node", "left_semi").join(known, "other")
-        gathered = reached.groupBy("node").agg(F.collect_list(F.struct("other", "worst", "fresh", "half")).alias("l"))
+        gathered = reached.groupBy("node").agg(F.collect_list(F.struct("other", "worst", "fresh", "packed")).alias("l"))
         listed = gathered.select(
             F.col("l.other").alias("others"), F.col("l.worst").alias("worst"),
-            F.col("l.fresh").alias("fresh"), F.col("l.half").alias("halves"),
+            F.col("l.fresh").alias("fresh"), F.col("l.packed").alias("vectors"),
         )
         found = listed.mapInArrow(_compare, PAIRS).groupBy("node", "other").agg(F.min("distance").alias("distance"))
         old = edges.withColumn("fresh", F.lit(False))
@@ -214,32 +222,32 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
         edges = merged
         if done >= LEAST_ROUNDS and changed < CHANGED * DEGREE * count:
             break
-    return Graph(members, nodes, edges, near, ids, scale)
+    return Graph(members, nodes, edges, near, ids, width)
 
 
 def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ``queries`` (``query_id, query``)."""
-    near, ids, scale = graph.landmarks, graph.landmark_ids, graph.scale
-    vectors = graph.nodes.select(F.col("node").alias("other"), "half")
+    near, ids = graph.landmarks, graph.landmark_ids
+    vectors = graph.nodes.select(F.col("node").alias("other"), "packed")
     adjacent = keep(
         graph.edges.join(vectors, "other")
         .groupBy("node")
-        .agg(F.collect_list(F.struct("other", "half")).alias("l"))
-        .select("node", F.col("l.other").alias("others"), F.col("l.half").alias("halves")),
+        .agg(F.collect_list(F.struct("other", "packed")).alias("l"))
+        .select("node", F.col("l.other").alias("others"), F.col("l.packed").alias("vectors")),
         "adjacent",
     )
 
     def enter(batches):
         for batch in batches:
             if batch.num_rows:
-                apart = _distances(matrix(batch.column("query")) * scale, near)
+                apart = _distances(matrix(batch.column("query")), near)
                 best = np.argsort(apart, axis=1, kind="stable")[:, :ENTRIES]
                 each = np.repeat(np.asarray(batch.column("query_id")), best.shape[1])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "query_id": pa.array(each),
                         "node": pa.array(ids[best.ravel()]),
-                        "distance": pa.array(np.take_along_axis(apart, best, 1).ravel(), pa.float32()),
+                        "distance": pa.array(np.take_along_axis(apart, best, 1).ravel(), pa.float64()),
                     }
                 )
 
@@ -248,18 +256,18 @@ def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
             found = []
             for row in range(batch.num_rows):
                 others = np.asarray(batch.column("others")[row].values)
-                halves = np.frombuffer(b"".join(batch.column("halves")[row].as_py()), np.float16)
-                query = np.asarray(batch.column("query")[row].values) * scale
-                apart = _distances(query[None, :], halves.reshape(len(others), -1))[0]
+                vectors = np.frombuffer(b"".join(batch.column("vectors")[row].as_py()), np.float32)
+                query = np.asarray(batch.column("query")[row].values)
+                apart = _distances(query[None, :], vectors.reshape(len(others), -1))[0]
                 found.append((np.full(len(others), batch.column("query_id")[row].as_py()), others, apart))
             if found:
                 q, node, distance = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_pydict(
-                    {"query_id": pa.array(q), "node": pa.array(node), "distance": pa.array(distance, pa.float32())}
+                    {"query_id": pa.array(q), "node": pa.array(node), "distance": pa.array(distance, pa.float64())}
                 )
 
-    reached = "query_id bigint, node bigint, distance float"
-    asked = keep(queries.select("query_id", "query"), "asked")
+    reached = "query_id bigint, node bigint, distance double"
+    asked = keep(queries.where(F.size("query") == graph.width).select("query_id", "query"), "asked")
     beam = keep(asked.mapInArrow(enter, reached).withColumn("expanded", F.lit(False)), "beam")
     for _ in range(HOPS):
         nearest = Window.partitionBy("query_id").orderBy("distance", "node")
@@ -268,7 +276,7 @@ def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
         if step.isEmpty():
             break
         seen = adjacent.join(bounded(step), "node").join(asked, "query_id")
-        found = seen.select("query_id", "query", "others", "halves").mapInArrow(expand, reached)
+        found = seen.select("query_id", "query", "others", "vectors").mapInArrow(expand, reached)
         done = step.withColumn("expanded_now", F.lit(True))
         old = beam.join(done, ["query_id", "node"], "left").withColumn(
             "expanded", F.col("expanded") | F.coalesce("expanded_now", F.lit(False))

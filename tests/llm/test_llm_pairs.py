@@ -170,6 +170,30 @@ def test_op2_recall(spark, sf_dir):
     assert hits / total >= 0.9
 
 
+def op2_recall_of(spark, tmp_path, whole, more=()):
+    """Recall at 10 of op2 on the rows of a matrix, whose ids are their numbers."""
+    rows = [(i, v.tolist()) for i, v in enumerate(whole)] + list(more)
+    folder = odd_table(spark, tmp_path, rows)
+    found = {}
+    for r in QUERIES["op2_nn_descent"](spark, folder).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in range(0, len(whole), 100):
+        apart = ((whole.astype(float) - whole[q]) ** 2).sum(axis=1)
+        best = [i for i in np.lexsort((np.arange(len(whole)), apart)) if i != q][:10]
+        hits += len(found.get(q, set()) & {int(i) for i in best})
+        total += len(best)
+    assert set(found) <= set(range(0, len(whole), 100))
+    return hits / total
+
+
+def test_op2_with_one_long_vector_and_other_widths(spark, tmp_path):
+    whole = np.random.default_rng(1).normal(size=(1500, 6)).astype(np.float32)
+    whole[7] *= 1e8
+    odd = [(5000, [1.0, 2.0]), (5001, [0.5] * 7), (5100, [0.25] * 12)]
+    assert op2_recall_of(spark, tmp_path, whole, odd) >= 0.9
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body>
 <nav><a href=/a>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article class="post"><header><h1>A &amp; B</h1></header><p><b>First&nbsp;  one<br>line<p>Second &lt;x&gt;</p>
