@@ -7,15 +7,20 @@ their vectors, the members of such a group are compared with one another, and a
 on only if it is better than the worst neighbour that one of the two has. Lists keep
 ``DEGREE`` neighbours. Rounds end when few places change. Groups do not grow with the data.
 
-Searching. A query starts at the landmarks nearest to it. In every hop the nearest
+Searching. The graph's links are the lists and, from each node, up to ``LINKS`` of the nodes that
+list it, first those that the fewest lists hold. A link of that kind can be taken both ways,
+so the nodes that such links connect reach one another; one node of each such component
+is an entry, and so is every node without one. A query starts at the landmarks and the
+entries nearest to it, and at its own node if its vector is indexed. In every hop the nearest
 ``WIDTH`` nodes of its beam that have not been expanded are joined with the graph, and
 their neighbours are merged into the beam of the ``BEAM`` nearest; a query ends when its beam is
 expanded. All queries take their hops together. At the end distances are computed in
 double precision on the original vectors, and nodes become the ids of their rows: the
 ``k + 1`` smallest of each node, which is all that k results can hold.
 
-The landmarks are a bounded sample (at most ``LANDMARKS`` vectors, which travel with the
-tasks); every row is indexed. The graph's vectors are in single precision, unscaled, and
+Landmarks and entries grow with the nodes. Up to ``LANDMARKS`` of them travel with the
+tasks; of more, that many do, and the others are joined by the nearest of those. Every row is
+indexed. The graph's vectors are in single precision, unscaled, and
 all distances in double precision, so vectors of any lengths stand beside one another.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
@@ -26,22 +31,27 @@ distances rank by the smaller id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callscope.llm.common import bounded, forget, keep
+from callscope.llm.components import components
 from callscope.llm.vectors import best_per_query, matrix
 
-#: Landmarks are one for so many nodes, and at most so many.
+#: Landmarks are one for so many nodes; up to so many travel with the tasks.
 SPREAD, LANDMARKS = 1024, 4096
 #: Cells of a node, and nodes compared at once in a cell.
 CELLS, BLOCK = 4, 2048
 DEGREE = 24
 #: Nodes that have a node in their list, of which so many join its group.
 REVERSE = 12
+#: Links of the search from a node to nodes that list it.
+LINKS = 24
 ENTRIES = 8
 BEAM = 384
 WIDTH = 32
@@ -81,18 +91,91 @@ def _pairs(nodes: np.ndarray, others: np.ndarray, distance: np.ndarray) -> dict:
 PAIRS = "node bigint, other bigint, distance double"
 
 
+class Marks:
+    """Finds the nearest of some nodes (``node, packed``) for rows of any number."""
+
+    def __init__(self, marks: DataFrame):
+        marks = keep(marks, "marks")
+        count = marks.count()
+        sample = marks.orderBy(F.xxhash64("node"), "node").limit(LANDMARKS).collect()
+        self.ids = np.array([r["node"] for r in sample], np.int64)
+        self.top = _rows(pa.array([bytes(r["packed"]) for r in sample], pa.binary()))
+        self.table = None
+        if count > len(sample):
+            placed = keep(self._at_top(marks, "node", 1), "placed")
+            sizes = placed.groupBy("mark").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+            dealt = placed.join(bounded(keep(sizes, "sizes")), "mark")
+            pieces = dealt.groupBy("mark", F.pmod(F.xxhash64("node"), "shares").alias("share")).agg(
+                F.collect_list(F.struct("node", "packed")).alias("l")
+            )
+            self.table = keep(
+                pieces.select("mark", F.col("l.node").alias("others"), F.col("l.packed").alias("vectors")), "by_mark"
+            )
+
+    def _at_top(self, rows: DataFrame, key: str, count: int) -> DataFrame:
+        ids, top = self.ids, self.top
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    apart = _distances(_rows(batch.column("packed")), top)
+                    best = np.argsort(apart, axis=1, kind="stable")[:, :count]
+                    each = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            key: batch.column(key).take(each),
+                            "packed": batch.column("packed").take(each),
+                            "mark": pa.array(ids[best.ravel()], pa.int64()),
+                            "distance": pa.array(np.take_along_axis(apart, best, 1).ravel(), pa.float64()),
+                        }
+                    )
+
+        return rows.select(key, "packed").mapInArrow(run, f"{key} bigint, packed binary, mark bigint, distance double")
+
+    def nearest(self, rows: DataFrame, key: str, count: int) -> DataFrame:
+        """``key, packed, mark, distance``: the ``count`` nearest of each of ``rows`` (``key, packed``)."""
+        if self.table is None:
+            return self._at_top(rows, key, count)
+
+        def run(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    others = np.asarray(batch.column("others")[row].values)
+                    near = _rows(batch.column("vectors")[row].values)
+                    apart = _distances(_rows(batch.column("packed").slice(row, 1)), near)[0]
+                    best = np.argsort(apart, kind="stable")[:count]
+                    each = pa.array(np.full(len(best), row))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            key: batch.column(key).take(each),
+                            "packed": batch.column("packed").take(each),
+                            "mark": pa.array(others[best], pa.int64()),
+                            "distance": pa.array(apart[best], pa.float64()),
+                        }
+                    )
+
+        cells = self._at_top(rows, key, CELLS).drop("distance").join(self.table, "mark").drop("mark")
+        found = cells.mapInArrow(run, f"{key} bigint, packed binary, mark bigint, distance double")
+        order = Window.partitionBy(key).orderBy("distance", "mark")
+        return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count).drop("n")
+
+
 class Graph:
-    """The tables of an index: members of each node, vectors, edges and landmarks."""
+    """The tables of an index: members of each node, vectors, links, landmarks and entries."""
+
+    def __init__(self, members: DataFrame, nodes: DataFrame, links: DataFrame, landmarks: Marks, entries: Marks, width: int):
+        self.members, self.nodes, self.links, self.width = members, nodes, links, width
+        self.landmarks, self.entries = landmarks, entries
+
 
-    def __init__(self, members: DataFrame, nodes: DataFrame, edges: DataFrame, near: np.ndarray, ids: np.ndarray, width: int):
-        self.members, self.nodes, self.edges, self.width = members, nodes, edges, width
-        self.landmarks, self.landmark_ids = near, ids
+def _plain(vector: str) -> Column:
+    """Negative zeros become zeros, so that equal vectors are equal arrays."""
+    return F.transform(vector, lambda x: x + F.lit(0.0).cast("float"))
 
 
 def _members(vectors: DataFrame, k: int) -> DataFrame:
     """``node, vector, ids``: the k + 1 smallest ids of every distinct vector."""
-    # Negative zeros become zeros, so that equal vectors are equal arrays.
-    rows = vectors.select("vec_id", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")).alias("vector"))
+    rows = vectors.select("vec_id", _plain("vector").alias("vector"))
     order = Window.partitionBy("vector").orderBy("vec_id")
     first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     return first.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -105,40 +188,25 @@ def _width(vectors: DataFrame) -> int | None:
     return first and first["width"]
 
 
-def _packed(members: DataFrame) -> DataFrame:
-    """``node, packed``: the vectors in single precision."""
+def _packed(vectors: DataFrame, key: str = "node", vector: str = "vector") -> DataFrame:
+    """``key, packed``: the vectors in single precision."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 rows = matrix(batch.column(1)).astype(np.float32)
                 yield pa.RecordBatch.from_pydict(
-                    {"node": batch.column(0), "packed": pa.array([r.tobytes() for r in rows], pa.binary())}
+                    {key: batch.column(0), "packed": pa.array([r.tobytes() for r in rows], pa.binary())}
                 )
 
-    return members.select("node", "vector").mapInArrow(run, "node bigint, packed binary")
+    return vectors.select(key, vector).mapInArrow(run, f"{key} bigint, packed binary")
 
 
-def _start(nodes: DataFrame, near: np.ndarray) -> DataFrame:
+def _start(nodes: DataFrame, landmarks: Marks) -> DataFrame:
     """First neighbours: the nearest in each block of the cells of the nearest landmarks."""
-
-    def cells(batches):
-        for batch in batches:
-            if batch.num_rows:
-                apart = _distances(_rows(batch.column("packed")), near)
-                first = np.argsort(apart, axis=1, kind="stable")[:, :CELLS]
-                each = np.repeat(np.arange(batch.num_rows), first.shape[1])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "node": batch.column("node").take(pa.array(each)),
-                        "packed": batch.column("packed").take(pa.array(each)),
-                        "cell": pa.array(first.ravel(), pa.int32()),
-                    }
-                )
-
-    placed = keep(nodes.mapInArrow(cells, "node bigint, packed binary, cell int"), "cells")
+    placed = keep(landmarks.nearest(nodes, "node", CELLS).withColumnRenamed("mark", "cell").drop("distance"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
-    blocks = placed.join(F.broadcast(sizes), "cell").withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
+    blocks = placed.join(bounded(keep(sizes, "sizes")), "cell").withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
 
     def nearest(block: pa.Table) -> pa.Table:
         ids, rows = np.asarray(block["node"]), _rows(block["packed"])
@@ -162,6 +230,22 @@ def _lists(pairs: DataFrame) -> DataFrame:
     return once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DEGREE).drop("n")
 
 
+def _reverse(edges: DataFrame) -> DataFrame:
+    """``node, other``: up to ``LINKS`` nodes that list a node, first those in the fewest lists."""
+    listed = edges.groupBy(F.col("other").alias("node")).agg(F.count("*").alias("listed"))
+    order = Window.partitionBy("other").orderBy("listed", "distance", "node")
+    by = edges.join(listed, "node", "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+    first = by.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LINKS)
+    return first.select(F.col("other").alias("node"), F.col("node").alias("other"))
+
+
+def _entries(nodes: DataFrame, reverse: DataFrame) -> DataFrame:
+    """One node of each component of the links that can be taken both ways, and nodes without any."""
+    found = keep(components(reverse.select(F.col("node").alias("a"), F.col("other").alias("b"))), "components")
+    inner = found.where("node != root").select("node")
+    return nodes.join(inner, "node", "left_anti")
+
+
 def _compare(batches):
     """Pairs among each node's neighbours that are better than the worst one's place."""
     for batch in batches:
@@ -190,11 +274,10 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
     members = keep(_members(vectors.where(F.size("vector") == width), k), "members")
     count = members.count()
     nodes = keep(_packed(members), "nodes")
-    landmarks = min(LANDMARKS, -(-count // SPREAD))
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(landmarks).collect()
-    ids = np.array([r["node"] for r in sample])
-    near = np.frombuffer(b"".join(bytes(r["packed"]) for r in sample), np.float32).reshape(len(ids), -1)
-    edges = keep(_lists(_start(nodes, near).withColumn("fresh", F.lit(True))), "edges")
+    wanted = -(-count // SPREAD)
+    few = nodes.orderBy(F.xxhash64("node"), "node").limit(wanted)
+    landmarks = Marks(few if wanted <= LANDMARKS else nodes.where(F.pmod(F.xxhash64("node"), F.lit(SPREAD)) == 0))
+    edges = keep(_lists(_start(nodes, landmarks).withColumn("fresh", F.lit(True))), "edges")
     for done in range(1, ROUNDS + 1):
         worst = edges.groupBy("node").agg(
             F.when(F.count("*") >= DEGREE, F.max("distance")).otherwise(float("inf")).alias("worst")
@@ -222,35 +305,22 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
         edges = merged
         if done >= LEAST_ROUNDS and changed < CHANGED * DEGREE * count:
             break
-    return Graph(members, nodes, edges, near, ids, width)
+    reverse = keep(_reverse(edges), "reverse")
+    links = keep(edges.select("node", "other").union(reverse).distinct(), "links")
+    return Graph(members, nodes, links, landmarks, Marks(_entries(nodes, reverse)), width)
 
 
 def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ``queries`` (``query_id, query``)."""
-    near, ids = graph.landmarks, graph.landmark_ids
     vectors = graph.nodes.select(F.col("node").alias("other"), "packed")
     adjacent = keep(
-        graph.edges.join(vectors, "other")
+        graph.links.join(vectors, "other")
         .groupBy("node")
         .agg(F.collect_list(F.struct("other", "packed")).alias("l"))
         .select("node", F.col("l.other").alias("others"), F.col("l.packed").alias("vectors")),
         "adjacent",
     )
 
-    def enter(batches):
-        for batch in batches:
-            if batch.num_rows:
-                apart = _distances(matrix(batch.column("query")), near)
-                best = np.argsort(apart, axis=1, kind="stable")[:, :ENTRIES]
-                each = np.repeat(np.asarray(batch.column("query_id")), best.shape[1])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": pa.array(each),
-                        "node": pa.array(ids[best.ravel()]),
-                        "distance": pa.array(np.take_along_axis(apart, best, 1).ravel(), pa.float64()),
-                    }
-                )
-
     def expand(batches):
         for batch in batches:
             found = []
@@ -268,7 +338,16 @@ def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
 
     reached = "query_id bigint, node bigint, distance double"
     asked = keep(queries.where(F.size("query") == graph.width).select("query_id", "query"), "asked")
-    beam = keep(asked.mapInArrow(enter, reached).withColumn("expanded", F.lit(False)), "beam")
+    packed = _packed(asked, "query_id", "query")
+    # A node that is an entry for itself alone is found if it is among the k + 1 nearest entries.
+    entered = [
+        marks.nearest(packed, "query_id", count).select("query_id", F.col("mark").alias("node"), "distance")
+        for marks, count in ((graph.landmarks, ENTRIES), (graph.entries, max(ENTRIES, k + 1)))
+    ]
+    own = asked.select("query_id", _plain("query").alias("vector")).join(graph.members, "vector")
+    entered.append(own.select("query_id", "node", F.lit(0.0).alias("distance")))
+    first = functools.reduce(DataFrame.unionByName, entered).groupBy("query_id", "node").agg(F.min("distance").alias("distance"))
+    beam = keep(first.withColumn("expanded", F.lit(False)), "beam")
     for _ in range(HOPS):
         nearest = Window.partitionBy("query_id").orderBy("distance", "node")
         step = beam.where("NOT expanded").withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= WIDTH)

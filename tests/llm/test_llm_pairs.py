@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from callscope.llm import minhash, templates, toplists
+from callscope.llm import minhash, nndescent, templates, toplists
 from callscope.llm.components import components
 from callscope.llm.queries import QUERIES
 
@@ -194,6 +194,37 @@ def test_op2_with_one_long_vector_and_other_widths(spark, tmp_path):
     assert op2_recall_of(spark, tmp_path, whole, odd) >= 0.9
 
 
+def test_op2_enters_tight_groups(spark, tmp_path):
+    noise = np.random.default_rng(2)
+    centres = 10 * noise.normal(size=(50, 8))
+    # Each group of 40 near copies lists only itself; there are far fewer landmarks than groups.
+    whole = np.repeat(centres, 40, axis=0) + 1e-3 * noise.normal(size=(2000, 8))
+    assert op2_recall_of(spark, tmp_path, whole.astype(np.float32)) >= 0.95
+
+
+def test_op2_with_more_landmarks_and_entries_than_travel(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nndescent, "LANDMARKS", 6)
+    monkeypatch.setattr(nndescent, "SPREAD", 64)
+    whole = np.random.default_rng(3).normal(size=(1500, 6)).astype(np.float32)
+    assert op2_recall_of(spark, tmp_path, whole) >= 0.9
+
+
+def test_op2_every_node_can_be_reached(spark):
+    whole = np.random.default_rng(4).normal(size=(800, 24)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(whole)], "vec_id bigint, vector array<float>")
+    graph = nndescent.build(vectors)
+    onward = {}
+    for r in graph.links.collect():
+        onward.setdefault(r["node"], []).append(r["other"])
+    seen = set(graph.entries.ids.tolist())
+    todo = list(seen)
+    while todo:
+        new = set(onward.get(todo.pop(), ())) - seen
+        seen |= new
+        todo += new
+    assert seen == set(range(800))
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body>
 <nav><a href=/a>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article class="post"><header><h1>A &amp; B</h1></header><p><b>First&nbsp;  one<br>line<p>Second &lt;x&gt;</p>
