@@ -2,10 +2,11 @@
 
 Method: every container element of a page is hashed from the bottom up (its tag, class,
 id, text and the hashes of what it contains). Spark counts, per host, on how many
-pages each subtree occurs; subtrees on at least ``PAGES`` pages and a share of
-``SHARE`` of the host's pages are the site's template and are deleted wherever they
-occur on that host. Paragraphs and headings are never a template by themselves
-while the page marks its article, so a passage that many articles share stays.
+pages of different text each subtree occurs. Subtrees on ``PAGES`` pages, or on ``LEAST`` pages and a
+share of ``SHARE`` of the host's pages, are the site's template and are deleted wherever they
+occur on that host. Pages of one text count once, so copies of a page do not delete it. Where a page
+marks no article, headings, list items and other blocks that recur in that share go too.
+Paragraphs are never a template by themselves, so a passage that many articles share stays.
 
 What a template cannot show (parts that differ from page to page) goes by its markup: elements
 for menus, forms, scripts and the like, and class, id or role words for adverts,
@@ -13,8 +14,8 @@ notices, sidebars and comments. Then the article's blocks are read in page order
 
 Defined results: null or empty html gives an empty text; a null url is a host of its
 own; markup that is cut off or not closed is read as far as it goes; pages
-without an article or main element or role main give the text of their body; repeated rows are pages of
-their own. Other columns are kept.
+without an article or main element or role main give the text of their body; repeated rows each
+get their text. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import fresh, keep, with_columns
 
-PAGES = 10
+#: Pages that make a template on a host of any size, and on one where they are a share.
+PAGES, LEAST = 10, 3
 SHARE = 0.3
 
 # The markup's vocabulary.
@@ -42,6 +44,8 @@ INLINE = frozenset(
 CONTAINERS = frozenset(
     "aside details div dl fieldset figure footer form header menu nav ol section table ul".split()
 )
+#: Further blocks that can be a template on pages that mark no article.
+BLOCKS = frozenset("address blockquote center h1 h2 h3 h4 h5 h6 li".split())
 JUNK = frozenset(
     "nav footer aside form script style noscript template iframe object svg canvas button select "
     "textarea dialog menu head title input audio video noframes".split()
@@ -180,20 +184,30 @@ def parse(page: str) -> Node:
     return root
 
 
-def subtrees(page: str | None) -> set[int]:
-    """Hashes of the page's containers that hold text and do not hold its article."""
-    found, todo = set(), [parse(page or "")]
+def subtrees(page: str | None) -> tuple[int, set[int], set[int]]:
+    """A hash of the page's text, and those of its subtrees that hold text and do not hold its
+    article: containers, and further blocks if it marks none."""
+    root = parse(page or "")
+    found, blocks, todo = set(), set(), [root]
     while todo:
         node = todo.pop()
-        if node.tag in CONTAINERS and node.pieces and not node.holds:
-            found.add(node.hash)
+        if node.pieces and not node.holds:
+            if node.tag in CONTAINERS:
+                found.add(node.hash)
+            elif node.tag in BLOCKS and not root.holds:
+                blocks.add(node.hash)
         todo += [p for p in node.parts if isinstance(p, Node)]
-    return found
+    text = _text(root) or "\x00".join(root.pieces)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), found, blocks
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The article's blocks, one a line."""
-    root = parse(page or "")
+    return _text(parse(page or ""), template)
+
+
+def _text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+    removable = CONTAINERS if root.holds else CONTAINERS | BLOCKS
     blocks: list[str] = []
     held: list[str] = []
 
@@ -213,7 +227,7 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
             if chosen:
                 held.append(part)
         else:
-            if not part.holds and (part.junk or (part.hash in template and part.tag in CONTAINERS)):
+            if not part.holds and (part.junk or (part.hash in template and part.tag in removable)):
                 flush() if part.tag not in INLINE else None
                 continue
             chosen = chosen or part.main
@@ -236,16 +250,27 @@ def site_templates(pages: DataFrame, page: str = "html", url: str = "url") -> Da
 
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array([sorted(subtrees(t)) for t in texts.to_pylist()], pa.list_(pa.int64()))]
+            each = [subtrees(t) for t in texts.to_pylist()]
+            lists = [pa.array([sorted(x[k]) for x in each], pa.list_(pa.int64())) for k in (1, 2)]
+            return [pa.array([x[0] for x in each], pa.int64()), *lists]
 
         return work
 
+    fields = [("page", "bigint"), ("found", "array<bigint>"), ("blocks", "array<bigint>")]
+    found = with_columns(rows, "html", fields, make, drop="html")
+    marked = lambda block: lambda h: F.struct(h.alias("hash"), F.lit(block).alias("block"))
     # A null among a page's hashes counts the page itself.
-    found = with_columns(rows, "html", [("found", "array<bigint>")], make, drop="html")
-    each = found.select("host", F.explode(F.concat("found", F.array(F.lit(None).cast("bigint")))).alias("hash"))
-    counts = keep(each.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(f"pages >= {PAGES}"), "subtrees")
+    every = F.concat(
+        F.transform("found", marked(False)),
+        F.transform("blocks", marked(True)),
+        F.array(marked(False)(F.lit(None).cast("bigint"))),
+    )
+    each = found.select("host", "page", F.explode(every).alias("s")).select("host", "page", "s.*").distinct()
+    counts = keep(each.groupBy("host", "hash", "block").agg(F.count("*").alias("pages")).where(f"pages >= {LEAST}"), "subtrees")
     hosts = counts.where("hash IS NULL").select("host", F.col("pages").alias("all"))
-    recurring = counts.where("hash IS NOT NULL").join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all"))
+    recurring = counts.where("hash IS NOT NULL").join(hosts, "host").where(
+        (F.col("pages") >= SHARE * F.col("all")) | (~F.col("block") & (F.col("pages") >= PAGES))
+    )
     return recurring.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 

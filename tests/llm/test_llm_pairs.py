@@ -264,3 +264,23 @@ def test_recurring_subtrees_go(spark):
     assert texts[90] == "" and texts[91] == "alone"
     assert found.count() == len(rows)
     assert templates.extract(frame.limit(0)).count() == 0
+
+
+def test_templates_of_small_and_of_hot_hosts(spark):
+    def page(n, box="", marked=True):
+        text = f"<p>text {n}</p>"
+        return f"<body>{box}{f'<article>{text}</article>' if marked else text}</body>"
+
+    box = "<section>The box of a section</section>"
+    # 12 of 200 pages, far below the share; the box stands within the article.
+    rows = [(n, "https://hot.org/", f"<article>{box if n < 12 else ''}<p>text {n}</p></article>") for n in range(200)]
+    rows += [(300 + n, "https://small.org/", page(n, "<h2>Our site</h2><div>Menu of all</div>", False)) for n in range(4)]
+    # Copies of one page are one page, and headings of an article stay.
+    rows += [(400 + n, "https://copies.org/", "<div><h2>Same</h2>all of it</div>") for n in range(12)]
+    rows += [(500 + n, "https://heads.org/", f"<article><h2>History</h2><p>text {n}</p></article>") for n in range(12)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in templates.extract(frame).collect()}
+    assert all(texts[n] == f"text {n}" for n in range(200))
+    assert all(texts[300 + n] == f"text {n}" for n in range(4))
+    assert all(texts[400 + n] == "Same\nall of it" for n in range(12))
+    assert all(texts[500 + n] == f"History\ntext {n}" for n in range(12))
