@@ -203,6 +203,18 @@ def test_quality_of_odd_rows(spark, texts):
     assert quality.score(docs.limit(0), machine).count() == 0
 
 
+def test_quality_sample_is_of_documents_that_are_there(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.append(len(rows)))
+    rows = [(n, f"text {n}", 10) for n in range(40)] + [(1, f"other {n}", 10) for n in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    wanted = docs.select("doc_id").distinct().where(~quality.held_out()).count()
+    quality.train(docs, labels, sample=100)
+    quality.train(docs, labels, sample=20)
+    assert seen == [wanted, 20]
+
+
 def test_machine_equals_all_pairs():
     noise = np.random.default_rng(1)
     machine = quality.Machine(0.3, noise.normal(size=20), noise.normal(size=(20, 4)))
