@@ -25,19 +25,23 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates.
+    """One row of every group of near duplicates: that with the smallest id.
 
-    Repeated rows of one id and text stay once; documents without an id all stay.
+    A row without an id comes after all others. Rows of one id are told apart by their texts;
+    rows equal in both stay once. Rows without id and shingles all stay.
     """
     ready(spark)
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"))
-    marks = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("rows")
+    row = F.struct(
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text")
+    )
+    groups = minhash.near_duplicates(docs.select(row.alias("row"), "text"), id="row")
+    marks = groups.where("NOT row.none OR n_shingles > 0").groupBy("row").agg(
+        F.max(F.col("row") != F.col("component_id")).alias("copy"), F.count("*").alias("rows")
     )
     marks = keep(marks.where("copy OR rows > 1"), "copies")
-    marked = docs.join(bounded(marks), "doc_id", "left")
+    marked = docs.withColumn("row", row).join(bounded(marks), "row", "left")
     once = marked.where("copy IS NULL")
-    repeated = marked.where("NOT copy").dropDuplicates(["doc_id", "text"])
+    repeated = marked.where("NOT copy").dropDuplicates(["row"])
     return once.union(repeated).select(*COLUMNS)
 
 

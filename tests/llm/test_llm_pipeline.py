@@ -125,3 +125,17 @@ def test_stages_keep_odd_rows(spark):
     assert clean[4] == "[secret]" and clean[None] is None and clean[3] == ""
     assert corpus_pipeline.mix(spark, docs.limit(0), SMALL).count() == 0
     assert corpus_pipeline.tokenize(spark, docs, SMALL).count() == len(rows)
+
+
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    ready(spark)
+    x, y, z, p = (" ".join(f"{w}{n}" for n in range(12)) for w in "xyzp")
+    texts = [
+        (5, x), (9, x.upper()), (9, y), (7, p), (7, p.upper()),
+        (None, z), (None, z), (None, z.upper()), (None, x), (None, None), (None, None),
+    ]
+    rows = [(i, t, "en", "s", 1) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    single = corpus_pipeline.deduplicate(spark, docs, SMALL).collect()
+    found = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in single)
+    assert found == sorted([("5", x), ("9", y), ("7", p), ("None", z), ("None", ""), ("None", "")])
