@@ -139,9 +139,31 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP13 = r"""
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+),
+keyed AS (
+    SELECT *, translate(trim(line, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+),
+recurring AS (
+    SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+),
+marked AS (
+    SELECT doc_id, n, line, owner IS NOT NULL AND owner != doc_id AS gone FROM keyed LEFT JOIN recurring USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 ORACLE = {
     "op1_mix": OP1,
     "op7_secrets": OP7,
     "op9_near_duplicates": OP9,
     "op10_top_lists": OP10,
+    "op13_lines": OP13,
 }

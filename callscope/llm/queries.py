@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, minhash, mixing, nndescent, planes, quality, secrets, shards, templates, toplists
+from callscope.llm import (
+    bpe,
+    dialogue,
+    lines,
+    minhash,
+    mixing,
+    nndescent,
+    planes,
+    quality,
+    secrets,
+    shards,
+    spelling,
+    templates,
+    toplists,
+)
 from callscope.llm.common import ready, table, word_count
 from callscope.llm.oracle import ORACLE
 from callscope.llm.vectors import is_query, usable
@@ -140,3 +154,38 @@ def op2_nn_descent(spark, sf_dir):
     vectors = rows.where(nonzero).select("vec_id", F.col("embedding").alias("vector"))
     asked = vectors.where(is_query()).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     return nndescent.neighbours(vectors, asked, 10)
+
+
+@query
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def repair_report(conversations: DataFrame, size: int = dialogue.CHUNK) -> DataFrame:
+    """Damage, then the report of the repair with the hash of the repaired rows, for every given conversation."""
+    summed, repaired = dialogue.repair(dialogue.damage(conversations), size)
+    given = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    hashed = dialogue.digests(repaired)
+    known = F.struct(F.col("conv_id")).alias("key")  # equal also where both are null
+    joined = (
+        given.select("conv_id", known)
+        .join(summed.select(known, *[c for c in summed.columns if c != "conv_id"]), "key", "left")
+        .join(hashed.select(known, "repaired_sha256"), "key", "left")
+    )
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256")
+    )
+
+
+@query
+def op12_repair(spark, sf_dir):
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -1,0 +1,286 @@
+"""Spelling variants, conversation repair and line dedup against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from functools import lru_cache
+
+import numpy as np
+import pytest
+
+from callscope.llm import dialogue, lines, spelling
+from callscope.llm.oracle import ORACLE
+from callscope.llm.queries import QUERIES, repair_report
+from compare import connect, differences
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BLANK = " \t\n\x0b\x0c\r"
+
+
+# Spelling variants.
+
+
+def counted(docs):
+    words = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            words[run] += 1
+    return {w: n for w, n in words.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants_of(words):
+    cut = defaultdict(set)  # words by what is left without one letter, or with all
+    for w in words:
+        for left in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            cut[left].add(w)
+    near = defaultdict(set)
+    for group in cut.values():
+        for a in group:
+            near[a] |= {b for b in group if b not in near[a] and one_edit(a, b)}
+    best = {w: min(found, key=lambda x: (-words[x], x)) for w, found in near.items() if found}
+    form = {w: b for w, b in best.items() if words[b] >= 5 * words[w]}
+    rows = set()
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        f = form.get(w)
+        rows.add((w, f, root, n, len(near[w]), words[f] if f else None))
+    return rows
+
+
+def spelled(df):
+    return [tuple(r) for r in df.select("word", "form", "root", "n", "n_near", "form_n").collect()]
+
+
+@pytest.mark.parametrize("limit", [2, 4096])
+def test_variants_of_random_words(spark, limit):
+    chance = random.Random(8)
+    words = ["".join(chance.choice("abé") for _ in range(chance.choice([6, 6, 7, 8, 9, 13]))) for _ in range(250)]
+    words += ["abcdefg" + "x" * 3000, "abcdefg" + "x" * 2999, "bbcdefg" + "x" * 3000]
+    docs = []
+    for n in range(60):
+        chosen = chance.choices(words, weights=[1 / (k + 1) for k in range(len(words))], k=120) + words[-3:]
+        docs.append((n, " ".join(w.upper() if chance.random() < 0.2 else w for w in chosen), "w"))
+    docs += [(n, "qqqqqq " * (n % 9 == 0) + "qqqqqr " * (n % 2) + "qqqqrr " * 4, "c") for n in range(100, 160)]
+    docs += [(None, "caféine caféine", "n"), (3, None, "e"), (4, "", "e"), docs[0], docs[0]]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, word string")
+    found = spelled(spelling.variants(frame, limit=limit))
+    expected = variants_of(counted([d[:2] for d in docs]))
+    assert len(found) == len(expected) and set(found) == expected
+    assert any(root not in (word, form) for word, form, root, *_ in expected)
+
+
+def test_variants_of_an_empty_table(spark):
+    assert spelled(spelling.variants(spark.createDataFrame([], "doc_id bigint, text string"))) == []
+
+
+def test_lists_are_bounded(spark):
+    words = [("aaaaaa" + a + b + c, 5) for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij"]
+    posted = spelling.postings(spark.createDataFrame(words, "word string, n bigint"), 50)
+    assert max(r["count"] for r in posted.groupBy("key").count().collect()) <= 10 * 10
+
+
+def test_op11_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    found = spelled(QUERIES["op11_spelling"](spark, sf_dir))
+    expected = variants_of(counted(docs))
+    assert len(found) == len(expected) and set(found) == expected
+
+
+# Conversation repair.
+
+
+def damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        conv_text, turn_text = (" " if x is None else str(x) for x in (conv, turn))
+        fault = zlib.crc32(f"{conv_text}:{turn_text}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    return out
+
+
+def repaired(rows):
+    """One conversation's rows after damage, by a search over all edits."""
+    rows = sorted(
+        rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).hexdigest())
+    )
+    faults, seen = [], set()
+    for _, _, role, text in rows:
+        last = text.rstrip(BLANK)[-1:]
+        kind = "blank" if not last else "duplicate" if (role, text) in seen else "" if last in ".!?" else "truncated"
+        faults.append(kind)
+        seen.add((role, text))
+    after = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    @lru_cache(None)
+    def best(i, state, inserts=0):
+        """Cost, letters and roles of the cheapest end."""
+        ways = []
+        grown = "u" if state != "u" else "a"
+        if inserts < 3:
+            cost, letters, roles = best(i, grown, inserts + 1)
+            ways.append((cost + 3, "I" + letters, ((None, grown), *roles)))
+        if i == len(rows):
+            if state in ("", "a"):
+                ways.append((0, "", ()))
+            return min(ways) if ways else (10**6, "", ())
+        cost, letters, roles = best(i + 1, state)
+        ways.append((cost + 4, "D" + letters, roles))
+        if faults[i] not in ("blank", "duplicate"):
+            more = 3 if faults[i] == "truncated" else 0
+            own = rows[i][2][:1]
+            if own and own in after[state]:
+                cost, letters, roles = best(i + 1, own)
+                ways.append((cost + more, "K" + letters, ((i, None), *roles)))
+            cost, letters, roles = best(i + 1, grown)
+            ways.append((cost + more + 3, "R" + letters, ((i, grown), *roles)))
+        return min(ways, key=lambda w: w[:2])
+
+    cost, audit, roles = best(0, "")
+    names = {"u": "user", "a": "assistant"}
+    whole = [f"{names.get(new, rows[i][2] if i is not None else '')}:{rows[i][3] if i is not None else ''}" for i, new in roles]
+    turns = [r[1] for r in rows if r[1] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    pairs = [a[2][:1] + b[2][:1] for a, b in zip(rows, rows[1:])]
+    kinds = Counter(faults)
+    return (
+        gaps,
+        kinds["blank"],
+        kinds["duplicate"],
+        kinds["truncated"],
+        sum(p not in ("su", "ua", "au") for p in pairs),
+        cost,
+        audit,
+        hashlib.sha256("\n".join(whole).encode()).hexdigest(),
+    )
+
+
+COLUMNS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def all_repaired(rows):
+    groups = {conv: [] for conv, *_ in rows}
+    for row in damaged(rows):
+        groups[row[0]].append(row)
+    return {conv: repaired(found) for conv, found in groups.items()}
+
+
+def report(df):
+    found = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in df.collect()}
+    return found
+
+
+def random_rows(chance, convs):
+    rows = []
+    for conv in [*range(convs), None]:
+        for turn in range(chance.randrange(1, 40)):
+            role = chance.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None])
+            text = chance.choice(["Yes.", "No!", "Why", "", " \n", None, f"It is {turn}.", f"And {turn}?\n", f"cut {turn}", "Yes."])
+            rows.append((conv, None if chance.random() < 0.05 else turn * chance.choice([1, 1, 2]), role, text))
+    rows += rows[:3] + [(900, None, None, None)]
+    chance.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("size", [1, 3, 16_384])
+def test_repair_in_chunks(spark, size):
+    rows = random_rows(random.Random(size), 30)
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string")
+    found = report(repair_report(frame, size))
+    expected = all_repaired(rows)
+    assert set(found) == set(expected)
+    wrong = {c: (found[c], expected[c]) for c in expected if found[c] != expected[c]}
+    assert not wrong
+
+
+def test_fix_ups_stop_where_costs_run_alike():
+    chance = random.Random(2)
+    for _ in range(300):
+        codes = bytes(chance.choice([1, 2, 3, 2, 3, 6, 7, 8, 10, 0]) for _ in range(chance.randrange(1, 12)))
+        tail = dialogue.before(dialogue.GUESS, chance.choice([2, 3, 8]))
+        head = dialogue.back(codes, dialogue.GUESS)
+        assert dialogue.fixed(codes, dialogue.GUESS, head, tail) == dialogue.back(codes, tail)
+
+
+def test_repair_of_an_empty_table(spark):
+    frame = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert repair_report(frame).count() == 0
+
+
+def test_op12_equals_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    found = QUERIES["op12_repair"](spark, sf_dir)
+    assert found.count() == len({r[0] for r in rows})
+    assert report(found) == all_repaired(rows)
+
+
+# Line dedup.
+
+
+def without_lines(docs):
+    key = lambda line: line.strip(BLANK).translate(LOWER)
+    held = defaultdict(set)
+    for doc_id, text in docs:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 20:
+                held[key(line)].add(-(10**18) if doc_id is None else doc_id)
+    out = []
+    for doc_id, text in docs:
+        every = (text or "").split("\n")
+        own = -(10**18) if doc_id is None else doc_id
+        kept = [x for x in every if len(held[key(x)]) < 3 or max(held[key(x)]) == own]
+        out.append((doc_id, len(every), len(every) - len(kept), "\n".join(kept)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("shard_keys, probes", [(1 << 18, 1 << 20), (7, 5)])
+def test_lines_against_brute_force(spark, shard_keys, probes):
+    chance = random.Random(13)
+    pool = [f"Line {n} of a text, ÄÖÜ, that may recur" for n in range(60)]
+    pool += [f"  line {n} OF a text, ÄÖÜ, that may recur\t" for n in range(30)]
+    pool += ["short", "", " ", "ÄÖÜÄÖÜÄÖÜÄÖÜÄÖÜÄÖÜÄ", "ÄÖÜÄÖÜÄÖÜÄÖÜÄÖÜÄÖÜÄÖ", "line separators stay in the line", "a" * 50_000]
+    docs = [(n, "\n".join(chance.choices(pool, k=chance.randrange(0, 12))), "x") for n in range(120)]
+    docs += [(None, pool[0], "y"), (None, pool[1] + "\n" + pool[1], "y"), (5, None, "z"), docs[7], docs[7], (8, pool[2], "q")]
+    docs += [(n, "every document has this very line\n" + str(n), "h") for n in range(200, 400)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, place string")
+    found = lines.dedup_lines(frame, shard_keys=shard_keys, probes=probes)
+    assert found.columns == ["doc_id", "place", "text", "n_lines", "n_dropped"]
+    rows = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in found.collect())
+    assert rows == without_lines([d[:2] for d in docs])
+    assert lines.dedup_lines(frame.limit(0)).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    keys = np.random.default_rng(1).integers(0, 2**63, (50_000, 2)).astype(np.uint64)
+    perfect = lines.PerfectHash.of(keys[:, 0], keys[:, 1])
+    assert sorted(perfect.number(keys[:, 0], keys[:, 1]).tolist()) == list(range(50_000))
+    packed = lines.PerfectHash(perfect.sizes, np.unpackbits(np.packbits(perfect.bits), count=len(perfect.bits)).astype(bool))
+    assert (packed.number(keys[:, 0], keys[:, 1]) == perfect.number(keys[:, 0], keys[:, 1])).all()
+
+
+def test_op13_equals_sql(spark, sf_dir):
+    with connect(sf_dir) as duck:
+        assert differences(QUERIES["op13_lines"](spark, sf_dir), duck, ORACLE["op13_lines"]) == []
