@@ -30,10 +30,13 @@ def _is_done(event_type: Column) -> Column:
 
 
 def group_chunks(chunks: DataFrame, span: int = SPAN, *more_keys: Column) -> DataFrame:
-    """Chunks of a request gathered ``span`` at a time; batch or streaming."""
+    """Chunks of a request gathered ``span`` at a time; batch or streaming.
+
+    A chunk that was sent again is gathered once.
+    """
     piece = F.floor((F.col("seq") - 1) / span).alias("piece")
     row = F.struct("seq", "ts", "event_type", "delta")
-    return chunks.groupBy("request_id", piece, *more_keys).agg(F.collect_list(row).alias("rows"))
+    return chunks.groupBy("request_id", piece, *more_keys).agg(F.collect_set(row).alias("rows"))
 
 
 def _first_token_at(rows: Column, typed: bool) -> Column:
@@ -48,6 +51,9 @@ def _first_token_at(rows: Column, typed: bool) -> Column:
 def _summarize_group(groups: DataFrame, typed: bool) -> DataFrame:
     """One bounded summary per group of chunks."""
     ordered = groups.withColumn("rows", F.sort_array("rows"))
+    # One chunk per number; of different ones the earliest.
+    new = lambda r, i: (i == 0) | (F.try_element_at("rows", F.greatest(i, F.lit(1)))["seq"] != r["seq"])
+    ordered = ordered.withColumn("rows", F.filter("rows", new))
     if typed:
         # The reader stops at the completion event, whatever comes after it.
         done = F.array_min(
@@ -123,14 +129,33 @@ def ttft_from_groups(
     Requests join after their chunks are reduced to one row. A request without chunks
     has no token and no times; chunks without a request have no start to count from.
     """
+    return timed(reduce_groups(groups, typed, span, levels), requests)
+
+
+def reduce_groups(
+    groups: DataFrame, typed: bool = False, span: int = SPAN, levels: int = LEVELS
+) -> DataFrame:
+    """Grouped chunks as one row per request: ``end_at, token_at, chunks, done, text``."""
     pieces = _summarize_group(groups, typed)
     for level in range(levels):
         pieces = _merge_level(pieces, None if level == levels - 1 else span)
+    return pieces.drop("piece")
+
+
+def reduce_chunks(
+    chunks: DataFrame, typed: bool = False, span: int = SPAN, levels: int = LEVELS
+) -> DataFrame:
+    """The same from single chunks."""
+    return reduce_groups(group_chunks(chunks, span), typed, span, levels)
+
+
+def timed(replies: DataFrame, requests: DataFrame) -> DataFrame:
+    """Times of reduced replies from the sending of their requests on, and their labels."""
     sent = requests.select("request_id", "sent_at")
-    timed = sent.join(pieces, "request_id", "full")
+    joined = sent.join(replies, "request_id", "full")
     start, end = F.unix_micros("sent_at"), F.unix_micros("end_at")
     token = F.unix_micros("token_at")
-    return timed.withColumn("text", F.coalesce("text", fragments.empty())).select(
+    return joined.withColumn("text", F.coalesce("text", fragments.empty())).select(
         "request_id",
         F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
         (token - start).alias("ttft_us"),

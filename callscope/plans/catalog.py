@@ -15,7 +15,7 @@ from callscope.operators import cache, infer, layout, policy, runs, store, ttft
 from callscope.plans import views as V
 from callscope.session import configure, new_path
 from callscope.sources import replies, reports, requests
-from callscope.streaming import live
+from callscope.streaming import arrivals, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -608,16 +608,24 @@ def ttft_typed_events(spark, sf_dir):
 WINDOW, DELAY = "1 DAY", "1 HOUR"
 
 
-@query
-def ttft_from_chunks_stream(spark, sf_dir):
-    """Chunks read as a stream, gathered per window; read with what is still open."""
+def _replies_stream(spark, sf_dir, typed: bool):
+    """Chunks read as a stream; replies as written, and those still open from the log."""
     path = new_path(spark, "chunks")
     V.load_chunks(spark, sf_dir).write.parquet(path)
-    gathered = live.run_once(
-        live.chunk_stream(live.read_log(spark, path), WINDOW, DELAY), "chunk-groups"
-    )
-    chunks = spark.read.parquet(path)
-    return live.ttft_view(gathered, chunks, V.load_requests(spark, sf_dir), WINDOW)
+    stream = arrivals.reply_stream(live.read_log(spark, path), WINDOW, DELAY, typed)
+    written = live.run_once(stream, "replies", live.ROCKSDB)
+    return arrivals.reply_view(written, spark.read.parquet(path), V.load_requests(spark, sf_dir), typed)
+
+
+@query
+def ttft_from_chunks_stream(spark, sf_dir):
+    return _replies_stream(spark, sf_dir, typed=False)
+
+
+@query
+def ttft_typed_events_stream(spark, sf_dir):
+    """A typed reply is written at its completion event."""
+    return ttft.fill_missing_first_token(_replies_stream(spark, sf_dir, typed=True))
 
 
 @query

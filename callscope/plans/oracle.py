@@ -512,6 +512,7 @@ BODIES: dict[str, str] = {
     "ttft_from_chunks": _ttft(typed=False),
     "ttft_typed_events": _ttft(typed=True),
     "ttft_from_chunks_stream": _ttft(typed=False),
+    "ttft_typed_events_stream": _ttft(typed=True),
     "cache_health": _HEALTH,
     "cache_health_stream": _HEALTH,
     "warm_sessions": f"""

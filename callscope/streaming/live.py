@@ -40,11 +40,20 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def run_once(stream: DataFrame, name: str) -> DataFrame:
-    """Read the log up and return what was written."""
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_once(stream: DataFrame, name: str, provider: str | None = None) -> DataFrame:
+    """Read the log up and return what was written; ``provider`` keeps the state of this stream."""
     spark = stream.sparkSession
     path = new_path(spark, name)
-    append_to(stream, path, new_path(spark, f"{name}-state")).awaitTermination()
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, provider or before)
+    try:
+        append_to(stream, path, new_path(spark, f"{name}-state")).awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(path)
 
 
