@@ -15,7 +15,7 @@ from callscope.operators import cache, infer, layout, policy, runs, store, ttft
 from callscope.plans import views as V
 from callscope.session import configure, new_path
 from callscope.sources import replies, reports, requests
-from callscope.streaming import arrivals, live
+from callscope.streaming import arrivals, live, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -636,9 +636,11 @@ def cache_health(spark, sf_dir):
 
 @query
 def cache_health_stream(spark, sf_dir):
-    log = live.read_log(spark, V.log_path(sf_dir, "events"))
-    closed = live.run_once(live.health_stream(V.calls(log), WINDOW, DELAY), "cache-health")
-    return _micros(live.health_view(closed, V.load_calls(spark, sf_dir), WINDOW), "window_start")
+    """The log read as a stream into a table of sums, which is all the view reads."""
+    log = V.calls(live.read_log(spark, V.log_path(sf_dir, "events")))
+    table = tables.health_table(spark, new_path(spark, "cache-health"))
+    held = table.follow_once(log, lambda rows: cache.cache_health(rows, WINDOW))
+    return _micros(cache.health_rates(held), "window_start")
 
 
 @query
@@ -649,10 +651,10 @@ def warm_sessions(spark, sf_dir):
 
 @query
 def warm_sessions_stream(spark, sf_dir):
-    """Sessions read as a stream; read with those that may still grow."""
+    """The log read as a stream into a table of stretches, which the view joins to sessions."""
     log = V.calls(live.read_log(spark, V.log_path(sf_dir, "events")))
-    closed = live.run_once(live.session_stream(log, RETENTION, DELAY), "sessions")
-    sessions = live.session_view(closed, V.load_calls(spark, sf_dir), RETENTION)
+    table = tables.session_table(spark, new_path(spark, "sessions"), RETENTION)
+    sessions = table.follow_once(log, lambda rows: tables.stretches(rows, RETENTION))
     return _micros(sessions, "first_call_at", "last_call_at")
 
 
