@@ -125,6 +125,23 @@ def test_top_lists_with_ties_and_zeros(width):
         assert [(-s, i) for s, i in zip(scores, ids)] == best
 
 
+def test_top_lists_of_huge_numbers_and_floors():
+    chance = np.random.default_rng(4)
+    rows = chance.integers(-(2**61), 2**61, (300, 3))
+    lists = toplists.SortedLists(np.arange(300), rows)
+    clipped = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for query_id in (0, 7):
+        ids, scores = lists.top(query_id, rows[query_id], 5)
+        exact = [(clipped(sum(int(a) * int(b) for a, b in zip(r, rows[query_id]))), -i) for i, r in enumerate(rows) if i != query_id]
+        assert [(s, -i) for s, i in zip(scores.tolist(), ids.tolist())] == sorted(exact, reverse=True)[:5]
+    rows = chance.integers(-1000, 1000, (500, 8))
+    lists = toplists.SortedLists(np.arange(500), rows)
+    ids, scores = lists.top(3, rows[3], 10)
+    floored = lists.best(np.array([3]), rows[3:4], 10, [int(scores[4])])[0]
+    assert floored[1].tolist()[:5] == scores.tolist()[:5] and (floored[1] >= scores[4]).sum() >= 5
+    assert len(lists.best(np.array([3]), rows[3:4], 10, [10**12])[0][0]) == 0
+
+
 ODD = [
     (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [None, 1.0]),
     (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [0.0, 0.0]), (9, []), (200, [-1.0, 0.25]),
