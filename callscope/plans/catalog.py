@@ -11,7 +11,8 @@ from callscope import schemas
 from callscope.functions import metrics as M
 from callscope.functions import text as X
 from callscope.functions.registry import register
-from callscope.operators import cache, infer, layout, policy, runs, store, ttft
+from callscope.operators import cache, infer, layout, once, policy, runs, store, ttft
+from callscope.operators import policy_table as policy_tables
 from callscope.plans import views as V
 from callscope.session import configure, new_path
 from callscope.sources import replies, reports, requests
@@ -429,6 +430,16 @@ def apply_policy(spark, sf_dir):
     )
 
 
+@query
+def apply_policy_table(spark, sf_dir):
+    """Whole documents under a policy of many rules that is read from a table."""
+    documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = V.policy_table(V.table(spark, sf_dir, "benchmark"))
+    return policy_tables.apply_policy_table(documents, rules).select(
+        "doc_id", "verdict", F.array_join("categories", ",").alias("categories")
+    )
+
+
 # Aggregations
 
 
@@ -679,3 +690,11 @@ def classify_batch(spark, sf_dir):
     documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
     answered = infer.classify_batch(documents, infer.rule_predictor(V.RULES))
     return answered.select("doc_id", "label", "input_tokens", "cached_tokens", "error")
+
+
+@query
+def classify_once(spark, sf_dir):
+    """The same with a ledger, in which every different document is sent once."""
+    documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    answered = once.classify_once(documents, infer.rule_predictor(V.RULES), new_path(spark, "ledger"), "v1")
+    return answered.select("doc_id", "label", "input_tokens", "cached_tokens", "error")

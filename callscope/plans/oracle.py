@@ -539,6 +539,21 @@ BODIES: dict[str, str] = {
           CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
+BODIES["classify_once"] = BODIES["classify_batch"]
+
+# A pattern matches where its phrase does once line ends are blanks.
+BODIES["apply_policy_table"] = r"""
+    SELECT doc_id, CASE max(severity) WHEN 3 THEN 'BLOCK' WHEN 2 THEN 'REVIEW' ELSE 'ALLOW' END AS verdict,
+      coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories
+    FROM documents LEFT JOIN (
+      SELECT DISTINCT 'category ' || item_id % 20 AS category, phrase, 3 - length(phrase) % 3 AS severity
+      FROM (
+        SELECT item_id, unnest(list_concat(regexp_extract_all(text, '[A-Za-z]{3,} [A-Za-z]{3,}'),
+          regexp_extract_all(regexp_replace(text, '^[^ ]* ', ''), '[A-Za-z]{3,} [A-Za-z]{3,}'))) AS phrase
+        FROM benchmark)
+    ) ON contains(replace(text, chr(10), ' '), phrase)
+    GROUP BY doc_id"""
+
 # The cut variants answer the same questions.
 BODIES |= {f"{name}_cut": BODIES[name] for name in ("call_ordinal", "warm_sessions", "attach_baseline")}
 

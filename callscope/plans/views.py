@@ -30,6 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def policy_table(benchmark: DataFrame) -> DataFrame:
+    """Pairs of neighbouring words of the benchmark as rules of twenty categories.
+
+    A category has rules of all three verdicts; words may be parted by a blank or a line end.
+    """
+    text, pair = F.col("text"), r"[A-Za-z]{3,} [A-Za-z]{3,}"
+    later = F.regexp_replace(text, r"^[^ ]* ", "")  # the pairs between those
+    found = F.array_union(
+        F.regexp_extract_all(text, F.lit(pair), F.lit(0)), F.regexp_extract_all(later, F.lit(pair), F.lit(0))
+    )
+    phrases = benchmark.select("item_id", F.explode(found).alias("phrase"))
+    verdict = F.element_at(F.array(F.lit("BLOCK"), F.lit("REVIEW"), F.lit("ALLOW")), (F.length("phrase") % 3 + 1).cast("int"))
+    return phrases.select(
+        F.concat(F.lit("category "), (F.col("item_id") % 20).cast("string")).alias("category"),
+        verdict.alias("verdict"),
+        F.replace("phrase", F.lit(" "), F.lit(r"[ \n]")).alias("pattern"),
+    ).distinct()
+
+
 def log_path(sf_dir: str, name: str) -> str:
     """A table's path for a stream, as a pattern: it may be a single file or a folder."""
     return f"{sf_dir}/{name}.parque[t]"
