@@ -26,6 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callscope.llm.bpe import WordIds
+from callscope.llm.bpe import MEMORY, WORD_END, WordIds
 from callscope.llm.common import slices, with_columns
 from callscope.session import new_path
 
 #: Between a letter or digit and a mark that is no part of a contraction or special token.
-JOINTS = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[&%#*$!.,;:?])")
+JOINTS = re.compile(r"[&%#*$!.,;:?](?<=[A-Za-z0-9À-ÖØ-öø-ÿ].)")
+
+#: Words that go through the library together.
+TOGETHER = 200
 
 BLOCK = 4096
 CHUNK = 1 << 18
@@ -88,6 +92,55 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+class Remembered(WordIds):
+    """Looks every piece up once; only those not found are told apart and learnt."""
+
+    def gather(self, words: list, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.index) > MEMORY:
+            self.clear()
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            self.learn(dict.fromkeys(words[k] for k in unknown))
+            at[unknown] = [self.index[words[k]] for k in unknown]
+        sizes = self.sizes[at]
+        total = np.r_[0, np.cumsum(sizes)]
+        flat = np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(total[-1])
+        return self.ids[flat], total[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
+
+
+@functools.lru_cache(maxsize=2)
+def _remembered(path: str) -> Remembered:
+    """The pieces this process has met, from task to task (``MEMORY`` of them at most, and a batch)."""
+    tokenizer = _tokenizer(path)
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def coded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Pieces of letters are a word each, and a word's last token shows that it ends
+        # it: many of them go through the library as one text.
+        letters = [p.isalpha() for p in pieces]
+        words = [p for p, one in zip(pieces, letters) if one]
+        found: list = []
+        for start in range(0, len(words), TOGETHER):
+            part = words[start : start + TOGETHER]
+            ids = coded([" ".join(part)])[0]
+            cuts = np.flatnonzero(ends[ids]) + 1
+            # Letters unknown to the library make other words: those parts go piece by piece.
+            found += np.split(ids, cuts[:-1]) if len(cuts) == len(part) else coded(part)
+        rest = coded([p for p, one in zip(pieces, letters) if not one])
+        of_words, of_rest = iter(found), iter(rest)
+        each = [next(of_words if one else of_rest) for one in letters]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.concatenate([*each, np.zeros(0, np.int32)]), sizes
+
+    return Remembered(ids_of)
+
+
 def _pieces(text: str) -> list[str]:
     """What a text is encoded as, piece by piece; in lower case where that is surely the
     library's (Latin-1 without special tokens)."""
@@ -96,7 +149,7 @@ def _pieces(text: str) -> list[str]:
         text = text if "<|" in text else text.lower()
     except UnicodeEncodeError:
         pass
-    return JOINTS.sub(" ", text).replace("\n", " ").split(" ")
+    return JOINTS.sub(r" \g<0>", text).replace("\n", " ").split(" ")
 
 
 def encode(docs: DataFrame, path: str, end: int = 1, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -104,18 +157,11 @@ def encode(docs: DataFrame, path: str, end: int = 1, text: str = "text", ids: st
 
     The vocabulary's words end at white space, and a mark after a letter or digit begins
     a new word, so a text is the sequence of the pieces between blanks and such places;
-    each distinct one is encoded once per task.
+    each distinct one is encoded once per Python process, which keeps it for later tasks.
     """
 
     def make():
-        tokenizer = _tokenizer(path)
-
-        def ids_of(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            coded = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            return np.fromiter((i for c in coded for i in c), np.int32, sizes.sum()), sizes
-
-        known = WordIds(ids_of)
+        known = _remembered(path)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             pieces, counts = [], []
