@@ -231,7 +231,8 @@ def sliced_previous(
 ) -> Sliced:
     """``column`` of the key's row before this one, NULL on its first row."""
     keys = list(keys)
-    last = F.max_by(column, F.struct(*order))
+    held = sliced.rows if sliced.hot is None else sliced.hot
+    last = F.max_by(column, order_key(held, order) if len(order) > 1 else F.struct(*order))
     along = Window.partitionBy(*keys).orderBy(SLICE)
     carry = _carry(sliced.hot, keys, last, F.lag("_carry").over(along))
     window = _local(keys, order)

@@ -11,7 +11,7 @@ from callscope import schemas
 from callscope.functions import metrics as M
 from callscope.functions import text as X
 from callscope.functions.registry import register
-from callscope.operators import cache, infer, layout, once, policy, runs, store, ttft
+from callscope.operators import cache, infer, layout, lineage, once, policy, runs, store, ttft
 from callscope.operators import policy_table as policy_tables
 from callscope.plans import views as V
 from callscope.session import configure, new_path
@@ -380,6 +380,15 @@ def chain_depth(spark, sf_dir):
     return store.chain_links(store.delete(*_store(spark, sf_dir)))
 
 
+@query
+def chain_depth_incremental(spark, sf_dir):
+    """The same, kept up to date: early turns, then the later ones and the deletions."""
+    created, gone = _store(spark, sf_dir)
+    early = F.col("turn") < 3
+    changes = [(created.where(early), None), (created.where(~early), gone)]
+    return lineage.lineage_of(spark, changes, buckets=16)
+
+
 @query
 def rebuild_context(spark, sf_dir):
     """The stored context a follow-up to the end of each chat would bring back."""

@@ -539,6 +539,7 @@ BODIES: dict[str, str] = {
           CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
+BODIES["chain_depth_incremental"] = BODIES["chain_depth"]
 BODIES["classify_once"] = BODIES["classify_batch"]
 
 # A pattern matches where its phrase does once line ends are blanks.

@@ -62,3 +62,28 @@ def durable(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a path below the shared folder, and read from there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def committed(spark: SparkSession, path: str, key: str, done: bool = True) -> list[int]:
+    """The numbers n of the folders ``key=n`` in a folder, in order; only those a job has committed, if ``done``."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = []
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        name, _, number = status.getPath().getName().partition("=")
+        if name == key and (not done or files.exists(jvm.Path(status.getPath(), "_SUCCESS"))):
+            numbers.append(int(number))
+    return sorted(numbers)

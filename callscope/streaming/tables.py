@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from callscope.operators import cache
-from callscope.session import new_path
+from callscope.session import committed, new_path, remove
 
 Merge = Callable[[DataFrame], DataFrame]
 
@@ -38,16 +38,8 @@ class Parts:
 
         Only what a job has committed counts.
         """
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found: dict[str, list[int]] = {"upto": [-1], "part": []}
-        for status in files.listStatus(path) if files.exists(path) else []:
-            kind, _, number = status.getPath().getName().partition("=")
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if kind in found and files.exists(done):
-                found[kind].append(int(number))
-        last = max(found["upto"])
-        return last, sorted(n for n in found["part"] if n > last)
+        last = max(committed(self.spark, self.path, "upto"), default=-1)
+        return last, [n for n in committed(self.spark, self.path, "part") if n > last]
 
     def add(self, rows: DataFrame, batch: int) -> None:
         """Write a batch's part, in place of an earlier try."""
@@ -68,8 +60,7 @@ class Parts:
         self.read().write.mode("overwrite").parquet(f"{self.path}/upto={parts[-1]}")
         gone = [f"part={n}" for n in parts] + [f"upto={last}"] * (last >= 0)
         for name in gone:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, f"{self.path}/{name}")
 
     def follow(self, stream: DataFrame, summarize: Merge, checkpoint: str) -> StreamingQuery:
         """Read the log up, a part per micro-batch."""
