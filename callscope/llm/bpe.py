@@ -9,6 +9,9 @@ their words, so every distinct word is merged once per task.
 The vocabulary file is a parameter: a JSON file of a BPE model with word ends, lower
 case, byte-level symbols, and special tokens that are cut out of the raw text first.
 
+Where this code's Unicode tables and the library's may differ (beyond the scripts of ``PLAIN``), the
+library itself normalises the text and parts it into words; merging stays the same.
+
 Defined results: a null or empty text has no ids and decodes to the empty string;
 unknown ids in ``decode`` are skipped and null ids too; repeated rows are encoded like any other; other
 columns are kept, and an old column with a result's name is replaced.
@@ -33,6 +36,10 @@ BLANK = r"\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
 WORD_END = "</w>"
 
+#: Characters that letters, digits, blanks and lower case are alike of in all tables: Latin, Greek,
+#: Cyrillic, punctuation, Kana, ideographs, Hangul.
+PLAIN = r"\x00-\u0557\u2000-\u2063\u3000-\u30FE\u4E00-\u9FA5\uAC00-\uD7A3"
+
 #: Distinct words remembered per task; more only costs merging some of them again.
 MEMORY = 400_000
 
@@ -134,6 +141,26 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
+class LibraryWords:
+    """Words as the tokenizers library parts them."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.parts = tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.bytes = {s: b for b, s in enumerate(byte_symbols())}
+
+    def of(self, text: str) -> list[str]:
+        found = self.parts.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [bytes(self.bytes[c] for c in word).decode("utf-8") for word, _ in found]
+
+
+@functools.lru_cache(maxsize=4)
+def library_words(path: str) -> LibraryWords:
+    return LibraryWords(path)
+
+
 class WordIds:
     """Ids of distinct words, kept in flat arrays from batch to batch."""
 
@@ -174,7 +201,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def make():
         merges = load(path)
-        find = regex.compile(PIECES).findall
+        find_plain = regex.compile(PIECES).findall
+        strange = regex.compile(f"[^{PLAIN}]").search
+
+        def find(part: str) -> list[str]:
+            if not part.isascii() and strange(part):
+                return library_words(path).of(part)
+            return find_plain(lowered(part))
+
         cut = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")").split
 
         def ids_of(words: list) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +236,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                         if part in merges.special:
                             words.append((merges.special[part],))
                         else:
-                            words += find(lowered(part))
+                            words += find(part)
                 elif value:
-                    words += find(lowered(value))
+                    words += find(value)
                 counts.append(len(words) - before)
             flat, offsets = words_of.gather(words, counts)
             return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
