@@ -97,7 +97,8 @@ def op6_quality(spark, sf_dir):
 @query
 def op7_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = secrets.scan_versions(docs)
+    # Half of the documents, by a hash of their ids, stand for the versions of an earlier scan.
+    found, _ = secrets.scan_in_waves(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     spans = F.array_join(secrets.listed(), ",")
     return found.select(
         "doc_id",

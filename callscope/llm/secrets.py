@@ -134,9 +134,27 @@ def scan_versions(
     new = scan(unseen(versions.select(blob_of(content).alias("blob"), content.alias("text")), ledger, rules), rules)
     new = keep(new, "ledger")
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
+    return findings(versions, whole, rules, text), whole
+
+
+def scan_in_waves(
+    versions: DataFrame, earlier: Column, rules: tuple[Rule, ...] = RULES, text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """The same for versions that come in two waves: the ledger of the ``earlier`` ones is written
+    and read back, and of the others only blobs that it lacks are scanned. Versions of which
+    it is not known (null) come later. Findings are those of all."""
+    first = F.coalesce(earlier, F.lit(False))
+    _, ledger = scan_versions(versions.where(first), None, rules, text)
+    _, whole = scan_versions(versions.where(~first), ledger, rules, text)
+    return findings(versions, whole, rules, text), whole
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``versions`` with ``blob`` and ``{kind}_spans`` from a ledger that has all their blobs."""
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     per_blob = (
-        whole.where(F.array_contains(current, F.concat_ws(":", "kind", "version")))
+        ledger.where(F.array_contains(current, F.concat_ws(":", "kind", "version")))
         .where(F.size("found") > 0)
         .groupBy("blob")
         .agg(*[F.first(F.when(F.col("kind") == r.kind, F.col("found")), True).alias(f"{r.kind}_spans") for r in rules])
@@ -145,12 +163,11 @@ def scan_versions(
     kept = [c for c in versions.columns if c.lower() not in added]
     marked = versions.select(*[F.col(f"`{c}`") for c in kept], blob_of(content).alias("blob"))
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    found = marked.join(per_blob, "blob", "left").select(
+    return marked.join(per_blob, "blob", "left").select(
         *[F.col(f"`{c}`") for c in kept],
         "blob",
         *[F.coalesce(f"{r.kind}_spans", none).alias(f"{r.kind}_spans") for r in rules],
     )
-    return found, whole
 
 
 def _numbered(n: int):
