@@ -68,6 +68,13 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns ``given_0, given_1, ...``, which no name of an operator's own can
+    meet, and the new name of each old one."""
+    names = {c: f"given_{n}" for n, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``limit`` bytes in a column, one row at least."""
     values = batch.column(column)

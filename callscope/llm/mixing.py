@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callscope.llm.common import fresh, numbered
+
 ONE = 1 << 24
 DIGITS = 6  # hexadecimal digits that hold a number below ONE
 
@@ -86,8 +88,15 @@ def copies(
     limit: int = 2,
     seed: str = "mix",
 ) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``."""
-    rows = docs.withColumn("_size", size).withColumns(
+    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``, which replace
+    columns of those names; all others pass through."""
+    results = ("_size", "_source_size", "_target", "_copies")
+    kept = [c for c in docs.columns if c.lower() not in results]
+    given, names = numbered(docs.withColumn(fresh(docs.columns, "counted"), size))
+    *_, counted = names.values()
+    id, source = names[id], names[source]
+    text = names[text] if text else None
+    rows = given.withColumnRenamed(counted, "_size").withColumns(
         {
             "_named": F.col(f"`{source}`").isNotNull(),
             "_source": F.coalesce(F.col(f"`{source}`"), F.lit("")),
@@ -140,12 +149,17 @@ def copies(
     placed = rows.join(starts, [*key, "_band", "_range"]).withColumn("_end", end)
     whole = F.expr(f"shiftright(_end, {DIGITS * 4}) - shiftright(_end - _each, {DIGITS * 4})")
     return placed.withColumn("_copies", whole).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "_size", "_source_size", "_target", "_copies"
+        *[F.col(names[c]).alias(c) for c in kept], *results
     )
 
 
 def mix(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    counted = copies(docs, size, **options)
-    repeated = counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = docs.withColumn(fresh(docs.columns, "counted"), size)
+    given, names = numbered(sized)
+    *own, counted = names.values()
+    named = {k: names[options.get(k, default)] for k, default in (("id", "doc_id"), ("source", "source"))}
+    text = options.get("text", "text")
+    taken = copies(given, F.col(counted), **options | named | {"text": names[text] if text else None})
+    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    return repeated.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own)])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callscope.llm.common import keep
+from callscope.llm.common import keep, numbered
 
 
 def text_bytes(text: Column) -> Column:
@@ -32,9 +32,11 @@ def shard(docs: DataFrame, shards: int = 16, id: str = "doc_id", size: str = "si
 
     The broadcast tables have one row per partition and one per shard.
     """
-    order = [F.col(f"`{c}`") for c in (id, size, *ties)]
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    parted = docs.select(*[F.col(f"`{c}`") for c in kept]).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    given, names = numbered(docs.select(*[F.col(f"`{c}`") for c in kept]))
+    size = names[size]
+    order = [names[id], size, *[names[c] for c in ties]]
+    parted = given.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     parted = keep(parted, "parted")
     totals = parted.groupBy("_part").agg(F.sum(f"`{size}`").alias("_bytes"), F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,13 +55,13 @@ def shard(docs: DataFrame, shards: int = 16, id: str = "doc_id", size: str = "si
     middle = F.col("_bytes_before") + F.col("_from") + F.expr(f"`{size}` div 2")
     # In whole numbers; decimals as bytes times shards may exceed 64 bits.
     cut = F.floor(middle.cast("decimal(30,0)") * shards / F.col("_all").cast("decimal(30,0)"))
-    numbered = keep(
+    rows = keep(
         placed.withColumn("shard", F.least(cut.cast("int"), F.lit(shards - 1)))
         .withColumn("_row", F.col("_rows_before") + F.col("_nth"))
-        .select(*[F.col(f"`{c}`") for c in kept], "shard", "_row"),
+        .select(*names.values(), "shard", "_row"),
         "numbered",
     )
-    first = numbered.groupBy("shard").agg(F.min("_row").alias("_first"))
-    return numbered.join(F.broadcast(first), "shard").select(
-        *[F.col(f"`{c}`") for c in kept], "shard", (F.col("_row") - F.col("_first")).alias("slot")
+    first = rows.groupBy("shard").agg(F.min("_row").alias("_first"))
+    return rows.join(F.broadcast(first), "shard").select(
+        *[F.col(n).alias(c) for c, n in names.items()], "shard", (F.col("_row") - F.col("_first")).alias("slot")
     )
