@@ -31,11 +31,20 @@ def delete(store: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def delete_outcomes(store: DataFrame, ids: DataFrame) -> DataFrame:
-    """What became of each id to delete: ``deleted`` or ``not found``."""
-    stored = store.select("response_id", F.lit("deleted").alias("outcome"))
-    asked = ids.select("response_id").distinct()
-    return asked.join(stored, "response_id", "left").withColumn(
-        "outcome", F.coalesce("outcome", F.lit("not found"))
+    """What became of each id to delete: ``deleted``, ``not found`` or ``failed``.
+
+    Where ``ids`` has the HTTP ``status`` of the call, one of 400 and more other than 404 is a failure, unless
+    another call for the id went through. 404 is what a store says of an id it does not have.
+    """
+    stored = store.select("response_id", F.lit(True).alias("_stored"))
+    failed = (F.col("status") >= 400) & (F.col("status") != 404) if "status" in ids.columns else F.lit(False)
+    asked = ids.groupBy("response_id").agg(F.bool_and(F.coalesce(failed, F.lit(False))).alias("_failed"))
+    return asked.join(stored, "response_id", "left").select(
+        "response_id",
+        F.when(F.col("_failed"), "failed")
+        .when(F.col("_stored"), "deleted")
+        .otherwise("not found")
+        .alias("outcome"),
     )
 
 

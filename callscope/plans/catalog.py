@@ -11,7 +11,7 @@ from callscope import schemas
 from callscope.functions import metrics as M
 from callscope.functions import text as X
 from callscope.functions.registry import register
-from callscope.operators import cache, infer, layout, lineage, once, policy, runs, store, ttft
+from callscope.operators import cache, id_store, infer, layout, lineage, once, policy, runs, store, ttft
 from callscope.operators import policy_table as policy_tables
 from callscope.plans import views as V
 from callscope.session import configure, new_path
@@ -342,6 +342,34 @@ def delete_outcomes(spark, sf_dir):
     return store.delete_outcomes(created, ids)
 
 
+def _id_store(spark, sf_dir):
+    """The responses on disk by id, in two appends."""
+    created, gone = _store(spark, sf_dir)
+    kept = id_store.IdStore(spark, new_path(spark, "responses"), buckets=16)
+    early = F.col("turn") < 2
+    for part in (created.where(early), created.where(~early)):
+        kept.append(part)
+    return kept, gone
+
+
+@query
+def retrieve_by_id(spark, sf_dir):
+    """The responses of the first chats of each ten, by their ids."""
+    kept, gone = _id_store(spark, sf_dir)
+    kept.delete(gone)
+    wanted = V.load_stored(spark, sf_dir).where(F.col("conv_id") % 10 == 0).select("response_id")
+    return kept.retrieve(wanted).select("response_id", "found", "status", "input_tokens", "output_tokens")
+
+
+@query
+def delete_by_id(spark, sf_dir):
+    """What is left after deletions that rewrite nothing; every third call failed."""
+    kept, gone = _id_store(spark, sf_dir)
+    status = F.when(F.col("response_id") % 3 == 0, 503).otherwise(200)
+    kept.delete(gone.withColumn("status", status))
+    return kept.rows().select("response_id", "role")
+
+
 @query
 def delete_stored(spark, sf_dir):
     created, gone = _store(spark, sf_dir)

@@ -539,6 +539,13 @@ BODIES: dict[str, str] = {
           CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
+BODIES["retrieve_by_id"] = """
+    SELECT s.response_id, l.response_id IS NOT NULL AS found,
+      CASE WHEN l.response_id IS NOT NULL THEN 'completed' END AS status, l.input_tokens, l.output_tokens
+    FROM stored s LEFT JOIN live l USING (response_id) WHERE s.conv_id % 10 = 0"""
+BODIES["delete_by_id"] = """
+    SELECT response_id, role FROM stored
+    WHERE response_id NOT IN (SELECT response_id FROM deleted WHERE response_id % 3 != 0)"""
 BODIES["chain_depth_incremental"] = BODIES["chain_depth"]
 BODIES["classify_once"] = BODIES["classify_batch"]
 
