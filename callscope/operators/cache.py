@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import constants as K
@@ -173,3 +173,33 @@ def health_rates(health: DataFrame) -> DataFrame:
         M.mean(F.col("hits"), good).alias("hit_rate"),
         M.mean(F.col("latency_sum_ms"), good).alias("mean_latency_ms"),
     )
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two texts share from their start, by halving steps."""
+    shorter = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+
+    def further(shared: Column, step: Column) -> Column:
+        there = step <= shorter - shared
+        same = F.left(a, shared + step) == F.left(b, shared + step)
+        return F.when(F.when(there, same).otherwise(False), shared + step).otherwise(shared)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def shared_prefix(requests: DataFrame, keys: tuple[str, ...] = ("cache_key",), body: str = "body") -> DataFrame:
+    """The characters that all request bodies of a cache key begin with, which is what its cache can hold.
+
+    All texts between the first and the last in order share what these two share, so an aggregate of both
+    per key is enough, combined before the shuffle; no pair of requests is formed. Null bodies are none.
+    """
+    text = F.col(body)
+    ends = requests.groupBy(*keys).agg(
+        F.count(text).alias("requests"),
+        F.min(text).alias("_first"),
+        F.max(text).alias("_last"),
+        F.min(F.length(text)).cast("bigint").alias("shortest_chars"),
+    )
+    shared = common_prefix(F.col("_first"), F.col("_last")).cast("bigint")
+    return ends.select(*keys, "requests", shared.alias("shared_chars"), "shortest_chars")

@@ -53,6 +53,12 @@ def requests_responses(spark, sf_dir):
     )
 
 
+@query
+def shared_prefix(spark, sf_dir):
+    """What all request bodies of a cache key begin with."""
+    return cache.shared_prefix(QUERIES["requests_responses"](spark, sf_dir))
+
+
 @query
 def requests_breakpoint(spark, sf_dir):
     plain = V.load_messages(spark, sf_dir).drop("cache_key", "previous_response_id")

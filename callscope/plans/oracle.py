@@ -539,6 +539,11 @@ BODIES: dict[str, str] = {
           CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
+BODIES["shared_prefix"] = f"""
+    SELECT cache_key, requests, shortest_chars,
+      len(list_filter(range(1, shortest_chars + 1), lambda n: left(low, n) = left(high, n))) AS shared_chars
+    FROM (SELECT cache_key, count(body) AS requests, min(body) AS low, max(body) AS high,
+        min(length(body)) AS shortest_chars FROM ({BODIES["requests_responses"]}) GROUP BY cache_key)"""
 BODIES["retrieve_by_id"] = """
     SELECT s.response_id, l.response_id IS NOT NULL AS found,
       CASE WHEN l.response_id IS NOT NULL THEN 'completed' END AS status, l.input_tokens, l.output_tokens
