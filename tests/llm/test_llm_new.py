@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -350,3 +351,21 @@ def test_scan_in_waves_equals_one_scan(spark):
     assert Counter(map(str, one.collect())) == Counter(map(str, two.select(*one.columns).collect()))
     # Blobs of the earlier wave are not scanned again.
     assert whole.count() == ledger.count() == len({text or "" for _, text in rows}) * len(secrets.RULES)
+
+
+def plain_text(page):
+    """The text of a page that marks its article once, by patterns."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    inner = re.sub(r"<!--.*?-->", "", inner, flags=re.S)
+    inner = re.sub(r"<(aside|form|script|style|nav|footer)\b.*?</\1>", "\n", inner, flags=re.S).replace("\n", " ")
+    inner = re.sub(r"</?(?:p|h[1-6]|li|ul|ol|div|section|table|tr|td|blockquote|pre)\b[^>]*>", "\n", inner)
+    inner = re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", inner))
+    blocks = (" ".join(html.unescape(b).split()) for b in inner.split("\n"))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_op5_equals_plain_reading_of_the_article(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    expected = {(p["page_id"], p["url"], text := plain_text(p["html"]), len(text)) for p in pages}
+    found = QUERIES["op5_templates"](spark, sf_dir).collect()
+    assert len(found) == len(pages) and {(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in found} == expected
