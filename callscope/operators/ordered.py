@@ -272,3 +272,51 @@ def running_sum(
     """Add ``name``, the sum of ``value`` over the key's rows up to this one."""
     sliced = slice_hot_keys(df, keys, order, **cut)
     return sliced_running_sum(sliced, keys, order, value, name).rows.drop(SLICE)
+
+
+def known_along(
+    df: DataFrame,
+    keys: Sequence[str],
+    slices: Sequence[str],
+    order: Sequence[str],
+    sums: dict[str, Column],
+    last: dict[str, Column],
+    backwards: bool = False,
+) -> DataFrame:
+    """Add running sums up to each row, and the last value that is not NULL up to it.
+
+    For rows that lie in slices of bounded size as they are: ``slices`` number them along a key, ``order`` is
+    that within one. Each slice is a window partition; what the slices before it hand over comes from one
+    row per slice. ``backwards`` reads every key from its end.
+    """
+    keys, slices = list(keys), list(slices)
+    turned = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
+    along = [F.col(c).desc() if backwards else F.col(c).asc() for c in slices]
+    inside = Window.partitionBy(*keys, *slices).orderBy(*turned)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = df.withColumns({f"_{n}": v for n, v in {**sums, **last}.items()}).withColumns(
+        {n: F.sum(f"_{n}").over(upto) for n in sums} | {n: F.last(f"_{n}", True).over(upto) for n in last}
+    )
+    # The last row of a slice has what the slice knows.
+    ends = held.groupBy(*keys, *slices).agg(
+        *[F.sum(f"_{n}").alias(f"_{n}") for n in sums],
+        *[
+            (F.min_by if backwards else F.max_by)(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.struct(*order))).alias(f"_{n}")
+            for n in last
+        ],
+    )
+    before = Window.partitionBy(*keys).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        *keys,
+        *slices,
+        *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums],
+        *[F.last(f"_{n}", True).over(before).alias(f"_{n}") for n in last],
+    )
+    names = [*sums, *last]
+    carry = carry.select(*[F.col(c).alias(f"_at_{c}") for c in [*keys, *slices]], *[F.col(f"_{n}").alias(f"_before_{n}") for n in names])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*keys, *slices]])
+    joined = held.join(carry, same, "left")
+    return joined.withColumns(
+        {n: F.col(n) + F.coalesce(f"_before_{n}", F.lit(0)) for n in sums}
+        | {n: F.coalesce(n, f"_before_{n}") for n in last}
+    ).drop(*[f"_{n}" for n in names], *[f"_before_{n}" for n in names], *[f"_at_{c}" for c in [*keys, *slices]])

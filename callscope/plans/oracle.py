@@ -539,6 +539,7 @@ BODIES: dict[str, str] = {
           CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
+BODIES["report_files"] = BODIES["report_roundtrip"]
 BODIES["shared_prefix"] = f"""
     SELECT cache_key, requests, shortest_chars,
       len(list_filter(range(1, shortest_chars + 1), lambda n: left(low, n) = left(high, n))) AS shared_chars

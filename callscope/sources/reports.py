@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from callscope.functions import metrics as M
 from callscope.functions.constants import LINE_ENDS
+from callscope.operators.ordered import known_along
 
 # The line formats of a captured report.
 SECTION = r"^\s*(?:MODEL: |STEP 1 )"
@@ -48,6 +49,69 @@ def report_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def read_split_reports(spark: SparkSession, path: str) -> DataFrame:
+    """The same lines from files of any size, which Spark reads in splits.
+
+    Rows of a split are in the file's order, and splits are by their place in it, so sections, headers and
+    line numbers are running sums and last known values along file, split and row. A section begins at
+    its header line, or at a blank line that only blank ones part from it, as in
+    :func:`report_lines`; the empty line behind a section's last line end is not listed.
+    """
+    splits = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("report"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+        "value",
+    )
+    # Line ends that Spark does not read as such; only behind these may a section begin.
+    rows = splits.select(
+        "file", "report", "split", "row", F.posexplode(F.split("value", "[\\x85\u2028\u2029]")).alias("part", "text")
+    )
+    place = ["row", "part"]
+    header = F.col("text").rlike(rf"{SECTION}|{TTFT_SECTION}")
+    blank = F.col("text").rlike(r"^\s*\z")
+    ahead = known_along(
+        rows.withColumn("blank", blank).withColumn("header_here", header),
+        ["file"], ["split"], place, {}, {"next_header": F.when(~F.col("blank"), F.col("header_here"))}, backwards=True,
+    )
+    # The row before the first of a file would end a preamble, so the first begins no section of its own.
+    first = (F.col("split") == 0) & (F.row_number().over(_first_rows()) == 1)
+    marked = ahead.withColumn("begins", F.coalesce("next_header", F.lit(False)) & (F.col("blank") | F.col("header_here")))
+    marked = marked.withColumn("lines", F.split("text", rf"\r\n|[{LINE_ENDS}]")).withColumn("first", first)
+    shown = F.trim(F.regexp_extract("text", rf"^\s*([^{LINE_ENDS}]*)", 1))
+    along = known_along(
+        marked,
+        ["file"],
+        ["split"],
+        place,
+        {"section": (F.col("begins") & ~F.col("first")).cast("int"), "upto": F.size("lines").cast("bigint")},
+        {"header": F.when(F.col("begins"), shown)},
+    )
+    start = F.when(F.col("begins"), F.col("upto") - F.size("lines"))
+    along = known_along(along, ["file"], ["split"], place, {}, {"start": start})
+    opening = (
+        along.where("NOT blank")
+        .groupBy("file")
+        .agg(F.min_by(F.when(~F.col("begins"), shown), F.struct("split", *place)).alias("opening"))
+    )
+    along = along.join(opening, "file", "left")
+    numbered = along.select(
+        "report",
+        F.col("section").cast("int").alias("section"),
+        F.coalesce("header", "opening", F.lit("")).alias("header"),
+        (F.col("upto") - F.size("lines") - F.coalesce("start", F.lit(0))).alias("before"),
+        F.posexplode("lines").alias("nth", "line"),
+    )
+    return numbered.select(
+        "report", "section", "header", (F.col("before") + F.col("nth")).cast("int").alias("line_no"), "line"
+    )
+
+
+def _first_rows() -> WindowSpec:
+    return Window.partitionBy("file", "split").orderBy("row", "part")
+
+
 def _int(column: str, pattern: str, group: int) -> Column:
     return F.regexp_extract(column, pattern, group).cast("bigint")
 
