@@ -15,7 +15,7 @@ from callscope.operators import cache, id_store, infer, layout, lineage, once, p
 from callscope.operators import policy_table as policy_tables
 from callscope.plans import views as V
 from callscope.session import configure, new_path
-from callscope.sources import replies, reports, requests
+from callscope.sources import layouts, replies, reports, requests
 from callscope.streaming import arrivals, live, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,17 @@ def parse_replies(spark, sf_dir):
     )
 
 
+@query
+def parse_by_layout(spark, sf_dir):
+    """The same with the layouts read from a table."""
+    parsed = layouts.parse_by_layout(_raw(spark, sf_dir), layouts.layout_table(spark))
+    return parsed.groupBy("api", F.coalesce("error", "label").alias("outcome")).agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("latency_ms").cast("double").alias("latency_ms"),
+    )
+
+
 def _report(spark, sf_dir):
     numbered = runs.call_ordinal(V.labelled(V.load_calls(spark, sf_dir)))
     return reports.report_table(numbered)

@@ -539,6 +539,7 @@ BODIES: dict[str, str] = {
           CAST(NULL AS VARCHAR) AS error FROM {_judged()} JOIN documents USING (doc_id)""",
 }
 
+BODIES["parse_by_layout"] = BODIES["parse_replies"]
 BODIES["report_files"] = BODIES["report_roundtrip"]
 BODIES["shared_prefix"] = f"""
     SELECT cache_key, requests, shortest_chars,
