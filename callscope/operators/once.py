@@ -131,9 +131,11 @@ def classify_once(
 
     ``ledger`` is a folder that all machines reach. The messages are sent while this is
     called; the result then reads the ledger. An error is the row of this run only. Speculative
-    tasks would send twice, so they must be off.
+    tasks would send twice, so they are refused.
     """
     spark = messages.sparkSession
+    if spark.conf.get("spark.speculation", "false") == "true":
+        raise ValueError("speculative tasks would send messages twice")
     hashed = messages.withColumn("_message", message_hash(F.col(f"`{text}`")))
     texts = hashed.select(F.col("_message").alias("message"), F.col(f"`{text}`").cast("string").alias("text"))
     good = read_ledger(spark, ledger).where((F.col("version") == version) & F.col("error").isNull())
