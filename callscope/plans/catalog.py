@@ -181,13 +181,11 @@ def report_roundtrip(spark, sf_dir):
 
 @query
 def report_files(spark, sf_dir):
-    """Report rows written as text files, a section per run, and read back in splits."""
-    lines = reports.render_call_lines(_report(spark, sf_dir)).select("run_id", F.col("call_no").cast("bigint").alias("n"), "line")
-    heads = lines.select("run_id").distinct().select(
-        "run_id", F.lit(0).cast("bigint").alias("n"), F.concat(F.lit("  MODEL: run-"), F.col("run_id").cast("string")).alias("line")
-    )
+    """Report rows written as text files, each behind a header with its run, and read back in splits."""
+    lines = reports.render_call_lines(_report(spark, sf_dir))
+    header = F.concat(F.lit("  MODEL: run-"), F.col("run_id").cast("string"))
     path = new_path(spark, "reports")
-    heads.union(lines).repartition("run_id").sortWithinPartitions("run_id", "n").select("line").write.text(path)
+    lines.select(F.explode(F.array(header, F.col("line"))).alias("line")).write.text(path)
     parsed = reports.parse_call_rows(reports.read_split_reports(spark, path))
     run = F.regexp_extract(reports.section_model(F.col("header")), r"run-(\d+)", 1).cast("bigint")
     return parsed.select(
