@@ -6,6 +6,10 @@ reply is written in the batch that brings its completion event with all chunks b
 once no chunk has come for ``idle`` of event time. A chunk that is sent again is known by its
 number and changes nothing, before and after the reply was written. Then the state
 is cleared by the same timer.
+
+Neighbouring chunks of a request that lie in one Arrow batch of the log become one run before the
+shuffle, so the state is asked once per run and not once per chunk. A run carries its text and the
+times of its chunks: if some of them are known already, the others are cut out of it.
 """
 
 from __future__ import annotations
@@ -14,9 +18,12 @@ import functools
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +73,13 @@ _STATE = T.StructType(
 )
 OUTPUT = T.StructType([T.StructField("request_id", _LONG), T.StructField("whole", _BOOLEAN), *_STATE.fields])
 _Reply = Row(*OUTPUT.names)
+#: All that is kept of a request: when to wake, whether its reply was written, and its runs.
+_KEPT = T.StructType(
+    [T.StructField("wake", _LONG), T.StructField("written", _BOOLEAN), T.StructField("runs", T.ArrayType(_STATE))]
+)
+#: What a run remembers of each of its chunks: time, whether there is one, whether a token, length of the text shown.
+_CHUNK = np.dtype([("at", "<i8"), ("timed", "?"), ("token", "?"), ("size", "<i4")])
+_FIRST_LINE = re.compile(r"[^\n-\r\x1c-\x1e\x85\u2028\u2029]*")
 
 
 def _flat(piece: Piece) -> tuple:
@@ -127,11 +141,57 @@ def merged(a: Piece, b: Piece) -> Piece:
     )
 
 
-def add(pieces: list[Piece], chunk: Piece) -> None:
-    """Put a chunk into its place among the runs, which stay apart and in order."""
+def _line(text: str) -> tuple[str, bool, bool]:
+    line, limit = _FIRST_LINE.match(text)[0], K.LABEL_FALLBACK_CHARS
+    return line[:limit], bool(line[limit:].strip()), len(line) == len(text)
+
+
+def summary(text: str) -> tuple:
+    """``head`` to ``chars`` of a text, as :func:`callscope.functions.fragments.summarize`."""
+    edge = fragments.EDGE
+    words = tuple(_stated(w, text) for w in WORDS)
+    return text[:edge], text[-edge:], words, _line(text), _line(text.lstrip()), len(text)
+
+
+def cut(run: Piece, text: str, chunks: bytes, low: int, high: int) -> Piece:
+    """The chunks ``low`` to ``high`` of a run."""
+    each = np.frombuffer(chunks, _CHUNK)
+    ends = np.r_[0, np.cumsum(each["size"])]
+    first, last = low - run.low, high - run.low + 1
+    own = each[first:last]
+    times, tokens = own["at"][own["timed"]], own["at"][own["timed"] & own["token"]]
+    return Piece(
+        low,
+        high,
+        int(times.max()) if len(times) else None,
+        int(tokens[0]) if len(tokens) else None,
+        run.done and high == run.high,
+        last - first,
+        *summary(text[ends[first] : ends[last]]),
+    )
+
+
+def add(pieces: list[Piece], run: Piece, part: Callable[[int, int], Piece] | None = None) -> None:
+    """Put a run into its place among the runs, which stay apart and in order.
+
+    ``part`` gives some chunks of it, for a run that is known in part.
+    """
+    new, low = [], run.low
+    for known in pieces[max(bisect_right([p.low for p in pieces], low) - 1, 0) :]:
+        if known.low > run.high:
+            break
+        if known.low > low:
+            new.append((low, known.low - 1))
+        low = max(low, known.high + 1)
+    if low <= run.high:
+        new.append((low, run.high))
+    for low, high in new:
+        whole = (low, high) == (run.low, run.high)
+        _insert(pieces, run if whole else part(low, high))
+
+
+def _insert(pieces: list[Piece], chunk: Piece) -> None:
     at = bisect_right([p.low for p in pieces], chunk.low)
-    if at and pieces[at - 1].high >= chunk.low:
-        return  # known already
     pieces.insert(at, chunk)
     if at + 1 < len(pieces) and chunk.high + 1 == pieces[at + 1].low:
         pieces[at : at + 2] = [merged(chunk, pieces[at + 1])]
@@ -147,77 +207,123 @@ class ReplyState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.runs = handle.getListState("runs", _STATE)
-        self.written = handle.getValueState("written", "at long")
-        self.timer = handle.getValueState("timer", "at long")
+        # One value, as every look at a state is a message to the JVM and back.
+        self.kept = handle.getValueState("kept", _KEPT)
 
-    def _wake(self, last_us: int | None) -> None:
+    def _wake(self, now: int | None, last_us: int) -> int:
         """One timer, ``idle`` after the last chunk."""
-        now = self.timer.get()[0] if self.timer.exists() else None
-        at = (last_us or 0) // 1000 + self.idle_ms
+        at = last_us // 1000 + self.idle_ms
         if now is not None and at <= now:
-            return
+            return now
         if now is not None:
             self.handle.deleteTimer(now)
         self.handle.registerTimer(at)
-        self.timer.update((at,))
+        return at
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        chunks = sorted((_piece(row[1:]) for row in rows), key=lambda c: c.low)
-        self._wake(_least(None, max((c.end_us or 0 for c in chunks), default=0), max))
-        if self.written.exists():
+        n = len(_STATE) + 1
+        came = sorted(((_piece(row[1:n]), row[n], row[n + 1]) for row in rows), key=lambda c: c[0].low)
+        now, written, held = self.kept.get() or (None, False, [])
+        wake = self._wake(now, max((run.end_us or 0 for run, _, _ in came), default=0))
+        if written:
+            if wake != now:
+                self.kept.update((wake, True, []))
             return
-        runs = [_piece(r) for r in self.runs.get()] if self.runs.exists() else []
-        for chunk in chunks:
-            add(runs, chunk)
-        if runs and runs[0].low == 1 and runs[0].done:
+        runs = [_piece(r) for r in held]
+        for run, text, chunks in came:
+            add(runs, run, functools.partial(cut, run, text, chunks))
+        written = bool(runs) and runs[0].low == 1 and runs[0].done
+        if written:
             yield _Reply(key[0], True, *_flat(runs[0]))
-            self.runs.clear()
-            self.written.update((runs[0].high,))
-        else:
-            self.runs.put([_flat(r) for r in runs])
+        self.kept.update((wake, written, [] if written else [_flat(r) for r in runs]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        runs = [_piece(r) for r in self.runs.get()] if self.runs.exists() else []
+        runs = [_piece(r) for r in (self.kept.get() or (None, True, []))[2]]
         if runs:
             yield _Reply(key[0], False, *_flat(functools.reduce(merged, runs)))
-        for state in (self.runs, self.written, self.timer):
-            state.clear()
+        self.kept.clear()
 
     def close(self) -> None:
         pass
 
 
-def _single_chunks(chunks: DataFrame, typed: bool) -> DataFrame:
-    """Every chunk as a run of its own; ``seq`` is its number."""
+_RUNS = (
+    "request_id bigint, low bigint, high bigint, end_us bigint, token_us bigint, done boolean, chunks bigint,"
+    " text string, parts binary"
+)
+
+
+def _join_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of a batch as runs of neighbouring ones; of one number the earliest counts. A run ends at a completion."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if batch.column("seq").null_count:
+            raise ValueError("a chunk has no number")
+        order = pc.sort_indices(
+            batch, sort_keys=[(c, "ascending") for c in ("request_id", "seq", "at", "event_type", "delta")], null_placement="at_start"
+        )
+        batch = batch.take(order)
+        for last in (False, True):
+            request, none = (np.asarray(x) for x in (pc.fill_null(batch.column("request_id"), 0), batch.column("request_id").is_null()))
+            seq = np.asarray(batch.column("seq"))
+            same = (request[1:] == request[:-1]) & (none[1:] == none[:-1])
+            if not last:
+                batch = batch.filter(pa.array(np.r_[True, ~same | (seq[1:] != seq[:-1])]))
+        done, token = np.asarray(batch.column("done")), np.asarray(batch.column("token"))
+        timed, at = np.asarray(batch.column("at").is_valid()), np.asarray(pc.fill_null(batch.column("at"), 0))
+        starts = np.flatnonzero(np.r_[True, ~same | (seq[1:] != seq[:-1] + 1) | done[:-1]])
+        ends = np.r_[starts[1:], len(seq)]
+        offsets = np.r_[starts, len(seq)].astype(np.int32)
+        n = np.arange(len(seq))
+        latest = np.maximum.reduceat(np.where(timed, at, np.iinfo(np.int64).min), starts)
+        first = np.minimum.reduceat(np.where(timed & token, n, len(seq)), starts)
+        each = np.empty(len(seq), _CHUNK)
+        each["at"], each["timed"], each["token"] = at, timed, token
+        each["size"] = np.asarray(pc.utf8_length(batch.column("text")))
+        places = (offsets * _CHUNK.itemsize).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("request_id").take(pa.array(starts)),
+                pa.array(seq[starts]),
+                pa.array(seq[ends - 1]),
+                pa.array(latest, mask=~np.logical_or.reduceat(timed, starts)),
+                pa.array(at[np.minimum(first, len(seq) - 1)], mask=first == len(seq)),
+                pa.array(done[ends - 1]),
+                pa.array(ends - starts, pa.int64()),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), batch.column("text")), ""),
+                pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(each.tobytes())]),
+            ],
+            names=["request_id", "low", "high", "end_us", "token_us", "done", "chunks", "text", "parts"],
+        )
+
+
+def _runs(chunks: DataFrame, typed: bool, delay: str) -> DataFrame:
+    """Runs of neighbouring chunks; ``seq`` is a chunk's number. A run is as late as its last chunk."""
     is_text = F.col("event_type") == K.TEXT_EVENT
     text = F.coalesce("delta", F.lit(""))
     counts = F.coalesce(is_text, F.lit(False)) if typed else text != ""
-    shown = F.when(counts, text).otherwise(F.lit("")) if typed else text
-    at = F.unix_micros("ts")
-    s = fragments.summarize(F.col("_text"))
+    done = F.coalesce(F.col("event_type") == K.DONE_EVENT, F.lit(False)) if typed else F.lit(False)
     rows = chunks.select(
-        "request_id",
-        "seq",
-        at.alias("_at"),
-        F.when(counts, at).alias("_token"),
-        F.coalesce(F.col("event_type") == K.DONE_EVENT, F.lit(False)).alias("_done") if typed else F.lit(False).alias("_done"),
-        shown.alias("_text"),
-        "ts",
-    ).withColumn("_s", s)
-    return rows.select(
         F.col("request_id").cast("bigint").alias("request_id"),
-        F.col("seq").cast("bigint").alias("low"),
-        F.col("seq").cast("bigint").alias("high"),
-        F.col("_at").alias("end_us"),
-        F.col("_token").alias("token_us"),
-        F.col("_done").alias("done"),
-        F.lit(1).cast("bigint").alias("chunks"),
+        F.col("seq").cast("bigint").alias("seq"),
+        F.unix_micros("ts").alias("at"),
+        "event_type",
+        "delta",
+        counts.alias("token"),
+        done.alias("done"),
+        (F.when(counts, text).otherwise(F.lit("")) if typed else text).alias("text"),
+    )
+    runs = rows.mapInArrow(_join_neighbours, _RUNS).withColumn("ts", F.timestamp_micros("end_us"))
+    return runs.withWatermark("ts", delay).withColumn("_s", fragments.summarize(F.col("text"))).select(
+        *["request_id", "low", "high", "end_us", "token_us", "done", "chunks"],
         "_s.head",
         "_s.tail",
         *[F.col(f"_s.{w}").alias(w) for w in WORDS],
         *[F.col(f"_s.{of}.{part}").alias(f"{of}_{part}") for of in ("lead", "line") for part in LINE],
         F.col("_s.chars").alias("chars"),
+        "text",
+        "parts",
         "ts",
     )
 
@@ -231,7 +337,7 @@ def reply_stream(chunks: DataFrame, idle: str, delay: str, typed: bool = False)
     """
     spark = chunks.sparkSession
     idle_ms = spark.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {idle})")).first()[0]
-    rows = _single_chunks(chunks.withWatermark("ts", delay), typed)
+    rows = _runs(chunks, typed, delay)
     return rows.groupBy("request_id").transformWithState(ReplyState(idle_ms), OUTPUT, "Append", "EventTime")
 
 

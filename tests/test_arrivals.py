@@ -123,3 +123,56 @@ def test_state_of_a_request_has_a_fixed_size():
     for seq in order:
         arrivals.add(runs, chunk(seq, f"{seq} "))
     assert len(runs) == 1 and runs[0].line[0] == "".join(f"{n} " for n in range(1, 200))[:30]
+
+
+TEXTS = ["", " ", "block", "a block.", "  \n x", "unblock", "\u2028 Allow \x85b", "é block_ REVIEW!", "w " * 40, "x" * 31 + "\n", "\x1c\n review", "BLOCK\tallow "]
+
+
+def test_summary_of_a_text(spark):
+    """Texts are summarised in Python as by the built-in functions."""
+    chance = random.Random(5)
+    texts = TEXTS + ["".join(chance.choice(TEXTS + ["."]) for _ in range(4)) for _ in range(60)]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n bigint, t string")
+    rows = frame.select("n", fragments.summarize(F.col("t")).alias("s")).orderBy("n").collect()
+    for text, row in zip(texts, rows):
+        s = row.s
+        want = (s.head, s.tail, tuple(s[w] for w in arrivals.WORDS), tuple(s.lead), tuple(s.line), s.chars)
+        assert arrivals.summary(text) == want, repr(text)
+
+
+def test_neighbouring_chunks_reach_the_state_as_one_run(spark, tmp_path):
+    """A log of many chunks a request asks the state once per request and batch, not per chunk."""
+    rows = [(r, n, float(n), K.TEXT_EVENT, f"{n} ") for r in range(3) for n in range(1, 400)]
+    log = _log(spark, str(tmp_path / "chunks"), [rows])
+    runs = arrivals._runs(log, True, "1 HOUR")
+    assert runs.count() <= 6 and runs.agg(F.sum("chunks")).first()[0] == len(rows)
+
+
+@pytest.mark.parametrize("typed", [True, False])
+def test_runs_known_in_part(spark, tmp_path, typed):
+    """Runs that overlap: what is known counts once, the rest is cut out of them."""
+    chance = random.Random(11)
+    files = []
+    for _ in range(5):
+        rows = []
+        for request in range(12):
+            low = chance.randrange(1, 20)
+            for seq in range(low, low + chance.randrange(1, 12)):
+                kind = K.DONE_EVENT if seq == 26 and request % 2 else K.TEXT_EVENT
+                delta = PARTS[(seq * 7 + request) % len(PARTS)]
+                rows.append((request, seq, float(seq), kind, delta))
+        files.append(rows)
+    files.append([(r, n, float(n), K.TEXT_EVENT, PARTS[(n * 7 + r) % len(PARTS)]) for r in range(12) for n in range(1, 26)])
+    files.append([(r, 26, 26.0, K.DONE_EVENT if r % 2 else K.TEXT_EVENT, PARTS[(26 * 7 + r) % len(PARTS)]) for r in range(12)])
+    path = str(tmp_path / "chunks")
+    log = _log(spark, path, files)
+    stream = arrivals.reply_stream(live.read_log(spark, path, 1), "1 HOUR", "1 HOUR", typed)
+    written = live.run_once(stream, "replies", live.ROCKSDB)
+    assert written.where("whole").count() == (6 if typed else 0)
+    requests = _requests(spark, range(12))
+    want = ttft.ttft_from_chunks(log, requests, typed)
+    _equal(arrivals.reply_view(written, log, requests, typed), want)
+    if typed:  # what the state holds, without a look at the log
+        ids = written.select("request_id")
+        alone = arrivals.reply_view(written, log.limit(0), requests.join(ids, "request_id", "left_semi"), typed)
+        _equal(alone, want.join(ids, "request_id", "left_semi").select(*alone.columns))
