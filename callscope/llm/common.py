@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ SLICE_BYTES = 4 << 20
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the subpackage: small Arrow batches, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
     return configure(spark)
 
 
@@ -93,6 +95,25 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, whose process gives the memory back that a task had: workers wait for the next task
+    with what the last one left them."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return task
+
+
 def with_columns(
     df: DataFrame,
     source: str,
@@ -122,4 +143,4 @@ def with_columns(
                 arrays = part.columns[:width] + work(part.column(at))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(released(run), schema)

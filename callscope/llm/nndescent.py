@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callscope.llm.common import bounded, forget, keep
+from callscope.llm.common import bounded, forget, keep, released
 from callscope.llm.components import components
 from callscope.llm.vectors import best_per_query, matrix
 
@@ -55,6 +55,8 @@ LINKS = 24
 ENTRIES = 8
 BEAM = 384
 WIDTH = 32
+#: Rows whose distances are held at once, and pairs in a batch of results.
+STRIP, FOUND = 256, 50_000
 #: Building stops once a round changes fewer than this share of all list places, but not
 #: before so many rounds: how good the start was differs with the data.
 CHANGED, LEAST_ROUNDS = 0.05, 2
@@ -117,20 +119,23 @@ class Marks:
 
         def run(batches):
             for batch in batches:
-                if batch.num_rows:
-                    apart = _distances(_rows(batch.column("packed")), top)
+                for start in range(0, batch.num_rows, STRIP):
+                    part = batch.slice(start, STRIP)
+                    apart = _distances(_rows(part.column("packed")), top)
                     best = np.argsort(apart, axis=1, kind="stable")[:, :count]
-                    each = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
+                    each = pa.array(np.repeat(np.arange(part.num_rows), best.shape[1]))
                     yield pa.RecordBatch.from_pydict(
                         {
-                            key: batch.column(key).take(each),
-                            "packed": batch.column("packed").take(each),
+                            key: part.column(key).take(each),
+                            "packed": part.column("packed").take(each),
                             "mark": pa.array(ids[best.ravel()], pa.int64()),
                             "distance": pa.array(np.take_along_axis(apart, best, 1).ravel(), pa.float64()),
                         }
                     )
 
-        return rows.select(key, "packed").mapInArrow(run, f"{key} bigint, packed binary, mark bigint, distance double")
+        return rows.select(key, "packed").mapInArrow(
+            released(run), f"{key} bigint, packed binary, mark bigint, distance double"
+        )
 
     def nearest(self, rows: DataFrame, key: str, count: int) -> DataFrame:
         """``key, packed, mark, distance``: the ``count`` nearest of each of ``rows`` (``key, packed``)."""
@@ -155,7 +160,7 @@ class Marks:
                     )
 
         cells = self._at_top(rows, key, CELLS).drop("distance").join(self.table, "mark").drop("mark")
-        found = cells.mapInArrow(run, f"{key} bigint, packed binary, mark bigint, distance double")
+        found = cells.mapInArrow(released(run), f"{key} bigint, packed binary, mark bigint, distance double")
         order = Window.partitionBy(key).orderBy("distance", "mark")
         return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count).drop("n")
 
@@ -199,7 +204,7 @@ def _packed(vectors: DataFrame, key: str = "node", vector: str = "vector") -> Da
                     {key: batch.column(0), "packed": pa.array([r.tobytes() for r in rows], pa.binary())}
                 )
 
-    return vectors.select(key, vector).mapInArrow(run, f"{key} bigint, packed binary")
+    return vectors.select(key, vector).mapInArrow(released(run), f"{key} bigint, packed binary")
 
 
 def _start(nodes: DataFrame, landmarks: Marks) -> DataFrame:
@@ -210,15 +215,18 @@ def _start(nodes: DataFrame, landmarks: Marks) -> DataFrame:
 
     def nearest(block: pa.Table) -> pa.Table:
         ids, rows = np.asarray(block["node"]), _rows(block["packed"])
-        apart = _distances(rows, rows)
-        np.fill_diagonal(apart, np.inf)
         count = min(DEGREE, len(ids) - 1)
         if count < 1:
             return pa.table(_pairs(ids[:0], ids[:0], np.zeros(0)))
-        best = np.argpartition(apart, count - 1, axis=1)[:, :count]
-        return pa.table(
-            _pairs(np.repeat(ids, count), ids[best.ravel()], np.take_along_axis(apart, best, 1).ravel())
-        )
+        others, distance = [], []
+        for start in range(0, len(ids), STRIP):
+            apart = _distances(rows[start : start + STRIP], rows)
+            own = np.arange(len(apart))
+            apart[own, start + own] = np.inf
+            best = np.argpartition(apart, count - 1, axis=1)[:, :count]
+            others.append(ids[best.ravel()])
+            distance.append(np.take_along_axis(apart, best, 1).ravel())
+        return pa.table(_pairs(np.repeat(ids, count), np.concatenate(others), np.concatenate(distance)))
 
     return blocks.select("node", "packed", "cell", "share").groupBy("cell", "share").applyInArrow(nearest, PAIRS)
 
@@ -249,7 +257,7 @@ def _entries(nodes: DataFrame, reverse: DataFrame) -> DataFrame:
 def _compare(batches):
     """Pairs among each node's neighbours that are better than the worst one's place."""
     for batch in batches:
-        found = []
+        found, held = [], 0
         for row in range(batch.num_rows):
             others = np.asarray(batch.column("others")[row].values)
             worst = np.asarray(batch.column("worst")[row].values)
@@ -262,6 +270,10 @@ def _compare(batches):
             np.fill_diagonal(better, False)
             a, b = np.nonzero(better)
             found.append((others[a], others[b], apart[a, b]))
+            held += len(a)
+            if held >= FOUND:
+                yield pa.RecordBatch.from_pydict(_pairs(*(np.concatenate(x) for x in zip(*found))))
+                found, held = [], 0
         if found:
             yield pa.RecordBatch.from_pydict(_pairs(*(np.concatenate(x) for x in zip(*found))))
 
@@ -297,7 +309,7 @@ def build(vectors: DataFrame, k: int = 10) -> Graph | None:
             F.col("l.other").alias("others"), F.col("l.worst").alias("worst"),
             F.col("l.fresh").alias("fresh"), F.col("l.packed").alias("vectors"),
         )
-        found = listed.mapInArrow(_compare, PAIRS).groupBy("node", "other").agg(F.min("distance").alias("distance"))
+        found = listed.mapInArrow(released(_compare), PAIRS).groupBy("node", "other").agg(F.min("distance").alias("distance"))
         old = edges.withColumn("fresh", F.lit(False))
         merged = keep(_lists(old.unionByName(found.withColumn("fresh", F.lit(True)))), "edges")
         changed = merged.where("fresh").count()
@@ -355,7 +367,7 @@ def search(graph: Graph, queries: DataFrame, k: int = 10) -> DataFrame:
         if step.isEmpty():
             break
         seen = adjacent.join(bounded(step), "node").join(asked, "query_id")
-        found = seen.select("query_id", "query", "others", "vectors").mapInArrow(expand, reached)
+        found = seen.select("query_id", "query", "others", "vectors").mapInArrow(released(expand), reached)
         done = step.withColumn("expanded_now", F.lit(True))
         old = beam.join(done, ["query_id", "node"], "left").withColumn(
             "expanded", F.col("expanded") | F.coalesce("expanded_now", F.lit(False))

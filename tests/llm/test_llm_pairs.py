@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callscope.llm import minhash, nndescent, templates, toplists
@@ -301,3 +302,18 @@ def test_templates_of_small_and_of_hot_hosts(spark):
     assert all(texts[300 + n] == f"text {n}" for n in range(4))
     assert all(texts[400 + n] == "Same\nall of it" for n in range(12))
     assert all(texts[500 + n] == f"History\ntext {n}" for n in range(12))
+
+
+def test_pairs_of_a_join_come_in_small_batches():
+    """What many groups find is not held at once."""
+    chance = np.random.default_rng(2)
+    n, groups = 40, 200
+    each = {
+        "others": [list(range(g * n, g * n + n)) for g in range(groups)],
+        "worst": [[float("inf")] * n] * groups,
+        "fresh": [[True] * n] * groups,
+        "vectors": [[chance.normal(size=4).astype(np.float32).tobytes() for _ in range(n)] for _ in range(groups)],
+    }
+    found = list(nndescent._compare([pa.RecordBatch.from_pydict(each)]))
+    assert sum(b.num_rows for b in found) == groups * n * (n - 1)
+    assert max(b.num_rows for b in found) < nndescent.FOUND + n * n
