@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -196,9 +197,7 @@ class WordIds:
         return self.ids[flat], total[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of the whole text, an array of integers."""
-
+def _encoder(path: str) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
     def make():
         merges = load(path)
         find_plain = regex.compile(PIECES).findall
@@ -245,12 +244,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
         return work
 
-    return with_columns(docs, text, [(ids, "array<int>")], make)
+    return make
 
 
-def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``docs`` with the tokens of its ids, special ones too, joined by a blank."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of the whole text, an array of integers."""
+    return with_columns(docs, text, [(ids, "array<int>")], _encoder(path))
+
 
+def _decoder(path: str) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
     def make():
         merges = load(path)
         tokens = pa.array([merges.tokens.get(i) for i in range(merges.width)], pa.string())
@@ -270,4 +272,26 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
         return work
 
-    return with_columns(docs, ids, [(text, "string")], make)
+    return make
+
+
+def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``docs`` with the tokens of its ids, special ones too, joined by a blank."""
+    return with_columns(docs, ids, [(text, "string")], _decoder(path))
+
+
+def encode_decode(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop: str | None = None
+) -> DataFrame:
+    """``encode``, then ``decode`` of its ids, by the same worker."""
+
+    def make():
+        forth, back = _encoder(path)(), _decoder(path)()
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            found = forth(texts)
+            return found + back(found[0])
+
+        return work
+
+    return with_columns(docs, text, [(ids, "array<int>"), (decoded, "string")], make, drop=drop)

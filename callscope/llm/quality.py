@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import fresh, keep, with_columns
+from callscope.llm.common import fresh, keep, released, with_columns
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "d
                     {"id": [i], "found": [np.array(found, np.int32).tobytes()], "words": [words], "quality": [y]}
                 )
 
-    found = rows.mapInArrow(run, "id bigint, found binary, words bigint, quality bigint").collect()
+    found = rows.mapInArrow(released(run), "id bigint, found binary, words bigint, quality bigint").collect()
     examples = []
     for row in sorted(found, key=lambda r: (r["id"], bytes(r["found"]))):
         index = np.frombuffer(row["found"], np.int32).astype(np.int64)

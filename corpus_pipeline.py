@@ -63,8 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
     ready(spark)
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), VOCABULARY).drop("text")
-    return bpe.decode(coded, VOCABULARY)
+    return bpe.encode_decode(docs.select("doc_id", "source", "text"), VOCABULARY, drop="text")
 
 
 STAGES = [

@@ -6,12 +6,13 @@ import hashlib
 import os
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from callscope.llm import quality
-from callscope.llm.common import keep, ready
+from callscope.llm import bpe, quality
+from callscope.llm.common import keep, ready, released
 from callscope.llm.queries import VOCABULARY
 from test_llm_pairs import connected, linked, shingles
 from test_llm_text import PLAIN
@@ -139,3 +140,22 @@ def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
     single = corpus_pipeline.deduplicate(spark, docs, SMALL).collect()
     found = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in single)
     assert found == sorted([("5", x), ("9", y), ("7", p), ("None", z), ("None", ""), ("None", "")])
+
+
+def test_tokens_take_one_worker_a_task(spark):
+    """Texts are encoded and decoded by one Python step, with the results of the two steps."""
+    ready(spark)
+    docs = spark.createDataFrame([(1, "a", "One  two"), (2, None, None), (3, "b", "")], "doc_id bigint, source string, text string")
+    got = corpus_pipeline.tokenize(spark, docs, SMALL)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    coded = bpe.decode(bpe.encode(docs, VOCABULARY).drop("text"), VOCABULARY)
+    assert got.columns == coded.columns and sorted(got.collect(), key=lambda r: r.doc_id) == sorted(coded.collect(), key=lambda r: r.doc_id)
+
+
+def test_arrow_batches_are_bounded(spark):
+    """Rows of any size come to Python a few MB at a time, and a task ends with its results complete."""
+    ready(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    big = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 500000) AS t")
+    sizes = big.mapInArrow(released(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs)), "n bigint").collect()
+    assert sum(r.n for r in sizes) == 40 and max(r.n for r in sizes) <= 12
